@@ -33,26 +33,40 @@ _RFC_MONTH_FIRST = (
 )
 
 
-def _ntz(date_text: Column, hour: Column, minute: Column, second: Column, fraction: Column) -> Column:
-    def two(part: Column) -> Column:
-        return F.lpad(F.when(part == "", F.lit("0")).otherwise(part), 2, "0")
+def _moment(date_text: Column, hour: Column, minute: Column, second: Column, fraction: Column, offset: Column) -> Column:
+    """Pieces every notation is brought to before one common formatting step."""
+    return F.struct(
+        date_text.alias("date"), hour.alias("hour"), minute.alias("minute"), second.alias("second"),
+        fraction.alias("fraction"), offset.alias("offset"),
+    )
 
-    micros = F.rpad(F.substring(fraction, 1, 6), 6, "0")
-    text = F.concat(date_text, F.lit(" "), two(hour), F.lit(":"), two(minute), F.lit(":"), two(second), F.lit("."), micros)
-    return text.try_cast("timestamp_ntz")
 
+def _format(m: Column) -> Column:
+    """ISO text; aware values (offset known) become UTC with a ``Z``; NULL if no such moment exists."""
 
-def _format(moment: Column, offset_seconds: Column) -> Column:
-    """ISO text; aware values (offset known) become UTC with a ``Z``."""
+    def two(part: Column) -> Column:
+        return F.lpad(F.when(part == "", F.lit("0")).otherwise(part), 2, "0")
+
+    micros = F.rpad(F.substring(m["fraction"], 1, 6), 6, "0")
+    text = F.concat(
+        m["date"], F.lit(" "), two(m["hour"]), F.lit(":"), two(m["minute"]), F.lit(":"), two(m["second"]), F.lit("."), micros
+    )
+    shift = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.coalesce(m["offset"], F.lit(0)).cast("decimal(18,6)"))
     # Offsets stay below a day; larger ones are no valid zone.
-    usable = offset_seconds.isNull() | (F.abs(offset_seconds) < 86400)
-    shifted = moment - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.coalesce(offset_seconds, F.lit(0)).cast("decimal(18,6)"))
-    text = F.replace(shifted.cast("string"), F.lit(" "), F.lit("T"))
-    full = F.when(
-        text.contains("."),
-        F.concat(F.split_part(text, F.lit("."), F.lit(1)), F.lit("."), F.rpad(F.split_part(text, F.lit("."), F.lit(2)), 6, "0")),
-    ).otherwise(text)
-    return F.when(usable, F.concat(full, F.when(offset_seconds.isNull(), F.lit("")).otherwise(F.lit("Z"))))
+    usable = m["offset"].isNull() | (F.abs(m["offset"]) < 86400)
+
+    def written(shifted: Column) -> Column:
+        whole = F.split_part(shifted, F.lit("."), F.lit(1))
+        part = F.split_part(shifted, F.lit("."), F.lit(2))
+        return F.concat(
+            whole,
+            F.when(part == "", F.lit("")).otherwise(F.concat(F.lit("."), F.rpad(part, 6, "0"))),
+            F.when(m["offset"].isNull(), F.lit("")).otherwise(F.lit("Z")),
+        )
+
+    return F.when(
+        usable, let(F.translate((text.try_cast("timestamp_ntz") - shift).cast("string"), " ", "T"), written)
+    )
 
 
 def _iso_offset(zone: Column) -> Column:
@@ -78,7 +92,7 @@ def _iso(text: Column) -> Column:
             return F.get(g, F.lit(n - 1))
 
         date_text = F.concat_ws("-", at(1), at(3), at(4))
-        return _format(_ntz(date_text, at(5), at(7), at(8), at(9)), _iso_offset(at(10)))
+        return _moment(date_text, at(5), at(7), at(8), at(9), _iso_offset(at(10)))
 
     return F.when(text.rlike(_ISO), let(_groups(text, _ISO, 10), build))
 
@@ -96,7 +110,7 @@ def _iso_week(text: Column) -> Column:
         # Week 53 exists only when the Thursday of that week is still in the year.
         thursday = F.date_add(monday, (week - 1) * 7 + 3)
         valid = week.between(1, 53) & (F.year(thursday) == year)
-        return F.when(valid, _format(_ntz(day.cast("string"), at(5), at(7), at(8), at(9)), _iso_offset(at(10))))
+        return F.when(valid, _moment(day.cast("string"), at(5), at(7), at(8), at(9), _iso_offset(at(10))))
 
     return F.when(text.rlike(_ISO_WEEK), let(_groups(text, _ISO_WEEK, 10), build))
 
@@ -133,17 +147,18 @@ def _rfc_one(text: Column, pattern: str, day_at: int, month_at: int) -> Column:
             F.lpad(month.cast("string"), 2, "0"),
             F.lpad(at(day_at), 2, "0"),
         )
-        return F.when(month > 0, _format(_ntz(date_text, at(4), at(5), at(6), F.lit("")), _rfc_offset(at(7), at(8))))
+        return F.when(month > 0, _moment(date_text, at(4), at(5), at(6), F.lit(""), _rfc_offset(at(7), at(8))))
 
     return F.when(text.rlike(pattern), let(_groups(text, pattern, 8), build))
 
 
+def _rfc(text: Column) -> Column:
+    return F.coalesce(_rfc_one(text, _RFC_DAY_FIRST, 1, 2), _rfc_one(text, _RFC_MONTH_FIRST, 2, 1))
+
+
 def normalize_rfc2822(value: Column | str) -> Column:
     """RFC-2822 dates; a weekday is ignored, right or wrong."""
-    return let(
-        strip(value),
-        lambda text: F.coalesce(_rfc_one(text, _RFC_DAY_FIRST, 1, 2), _rfc_one(text, _RFC_MONTH_FIRST, 2, 1)),
-    )
+    return let(let(strip(value), _rfc), _format)
 
 
 def normalize_datetime(value: Column | str) -> Column:
@@ -154,7 +169,7 @@ def normalize_datetime(value: Column | str) -> Column:
         return (
             F.when(text == "", F.lit(None).cast("string"))
             .when(text.rlike(_DATE_ONLY), text)
-            .otherwise(let(iso_text, lambda iso: F.coalesce(_iso(iso), _iso_week(iso), normalize_rfc2822(text))))
+            .otherwise(let(let(iso_text, lambda iso: F.coalesce(_iso(iso), _iso_week(iso), _rfc(text))), _format))
         )
 
     return let(strip(value), build)

@@ -337,16 +337,21 @@ def date_candidates(field: str) -> Column:
     return merge_values(*sources)
 
 
-def dated(field: str) -> Column:
-    """``struct(value, raw)``: the first that parses, and all candidates if it is not the first text."""
-    return let(
-        date_candidates(field),
-        lambda texts: let(
+def page_dates() -> Column:
+    """Per field ``struct(value, raw)``: the first text that parses, and all texts if that is not the first."""
+
+    def pick(texts: Column) -> Column:
+        return let(
             N.first(F.array_compact(F.transform(texts, normalize_datetime))),
             lambda value: F.struct(
                 value.alias("value"), F.when(F.get(texts, F.lit(0)) != value, texts).alias("raw")
             ),
-        ),
+        )
+
+    # One array of all fields, so the parser is in the plan once.
+    picked = F.transform(F.array(*[date_candidates(field) for field in rules.DATE_SOURCES]), pick)
+    return let(
+        picked, lambda p: F.struct(*[F.get(p, F.lit(i)).alias(field) for i, field in enumerate(rules.DATE_SOURCES)])
     )
 
 
@@ -376,7 +381,7 @@ def page_metadata(parsed: DataFrame) -> DataFrame:
             "_labels": labels(),
             "_crumbs": breadcrumbs(),
             "_types": schema_types(),
-            **{f"_{name}": dated(name) for name in dates},
+            "_dates": page_dates(),
             "_modified": normalize_rfc2822(header("last-modified")),
             "_ctype": F.nullif(content_type_norm(header("content-type")), F.lit("")),
         }
@@ -386,7 +391,7 @@ def page_metadata(parsed: DataFrame) -> DataFrame:
         "title": F.col("_title"),
         "canonical_url": F.col("_canonical"),
         "page_id": F.get("_ids", F.lit(0)),
-        **{name: F.col(f"_{name}.value") for name in dates},
+        **{name: F.col(f"_dates.{name}.value") for name in dates},
         "authors": null_if_empty(authors()),
         "language": language(),
         "content_type": F.col("_ctype"),
@@ -409,7 +414,7 @@ def page_metadata(parsed: DataFrame) -> DataFrame:
         "page_id": null_if_empty(unique_strings(F.col("_ids"))),
         "content_type": F.when(F.col("_ctype") != header("content-type"), header("content-type")),
         "page_type": F.col("_kind.evidence"),
-        **{name: F.col(f"_{name}.raw") for name in dates},
+        **{name: F.col(f"_dates.{name}.raw") for name in dates},
         "last_modified_header": F.when(F.col("_modified") != header("last-modified"), header("last-modified")),
     }
     return base.select(

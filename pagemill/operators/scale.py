@@ -35,15 +35,16 @@ def join_dimension(
     max_rows: int = BROADCAST_ROWS,
     max_bytes: int = BROADCAST_BYTES,
     salts: int = SALTS,
+    small: bool | None = None,
 ) -> DataFrame:
     """Join facts to one row per key of a dimension that may or may not be small.
 
     A small dimension is broadcast. A large one is copied ``salts`` times and the
     facts spread by a hash of ``spread``, so a job with a third of all pages
-    still fills many tasks.
+    still fills many tasks. ``small`` passes on an earlier measurement.
     """
     keys = list(keys)
-    if is_small(dimension, max_rows, max_bytes):
+    if is_small(dimension, max_rows, max_bytes) if small is None else small:
         return facts.join(F.broadcast(dimension), keys, how)
     salted = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     marked = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
