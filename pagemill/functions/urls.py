@@ -144,31 +144,36 @@ def _resolve_parts(base: Column, ref: Column) -> Column:
     )
 
 
+def _relative(p: Column) -> Column:
+    """Whether ``p.r`` has to be seen from ``p.b`` at all: no other scheme of its own."""
+    return (
+        p["b"].isNotNull()
+        & p["b"]["scheme"].isin(list(rules.HIERARCHICAL_SCHEMES))
+        & ((p["r"]["scheme"] == "") | (p["r"]["scheme"] == p["b"]["scheme"]))
+    )
+
+
+def _both(base: Column | str, ref: Column | str) -> Column:
+    return F.struct(url_parts(base).alias("b"), url_parts(ref).alias("r"))
+
+
 def resolve_parts(base: Column | str, ref: Column | str) -> Column:
     """Parsed form of ``ref`` resolved against ``base``; NULL if unparseable."""
-    both = F.struct(url_parts(base).alias("b"), url_parts(ref).alias("r"))
-    return let(
-        both,
-        lambda p: F.when(
-            p["b"].isNotNull()
-            & p["b"]["scheme"].isin(list(rules.HIERARCHICAL_SCHEMES))
-            & ((p["r"]["scheme"] == "") | (p["r"]["scheme"] == p["b"]["scheme"])),
-            _resolve_parts(p["b"], p["r"]),
-        ).otherwise(p["r"]),
-    )
+    return let(_both(base, ref), lambda p: F.when(_relative(p), _resolve_parts(p["b"], p["r"])).otherwise(p["r"]))
 
 
 def url_resolve(base: Column | str, ref: Column | str) -> Column:
-    """Relative to absolute."""
+    """Relative to absolute; a link with another scheme stays as it is written."""
     base, ref = col(base), col(ref)
-    parts = let(
-        resolve_parts(base, ref),
-        lambda p: F.when(
-            p["scheme"].isin(list(rules.HIERARCHICAL_SCHEMES)),
-            unparse(p["scheme"], p["authority"], p["path"], p["params"], p["query"], p["fragment"]),
-        ).otherwise(ref),
-    )
-    return F.when(base == "", ref).when(ref == "", base).otherwise(parts)
+
+    def build(p: Column) -> Column:
+        joined = let(
+            _resolve_parts(p["b"], p["r"]),
+            lambda r: unparse(r["scheme"], r["authority"], r["path"], r["params"], r["query"], r["fragment"]),
+        )
+        return F.when(p["r"].isNull(), F.lit(None).cast("string")).when(_relative(p), joined).otherwise(ref)
+
+    return F.when(base == "", ref).when(ref == "", base).otherwise(let(_both(base, ref), build))
 
 
 def _decode(text: Column) -> Column:

@@ -119,7 +119,7 @@ def _asset_failed() -> Column:
 
 def _answered_assets(candidates: DataFrame, asset_responses: DataFrame) -> DataFrame:
     answers = asset_responses.groupBy("job_id", "url").agg(
-        F.first(F.struct("status_code", "content_type", "body_size", "error_type", "error_message")).alias("_answer")
+        F.min(F.struct("status_code", "content_type", "body_size", "error_type", "error_message")).alias("_answer")
     )
     return candidates.join(answers, ["job_id", "url"], "left")
 
