@@ -25,7 +25,9 @@ def url_parts(url: Column | str) -> Column:
 
     NULL for text whose authority has unbalanced brackets.
     """
-    cleaned = F.translate(F.ltrim(col(url), F.lit(_C0_AND_SPACE)), "\t\r\n", "")
+    text = col(url)
+    broken = text.contains("\n") | text.contains("\t") | text.contains("\r")
+    cleaned = F.ltrim(F.when(broken, F.translate(text, "\t\r\n", "")).otherwise(text), F.lit(_C0_AND_SPACE))
     groups = F.split(
         F.regexp_replace(cleaned, _SPLIT, _MARK.join(f"${n}" for n in range(1, 6))), _MARK, 5
     )
@@ -33,16 +35,15 @@ def url_parts(url: Column | str) -> Column:
     def build(parts: Column) -> Column:
         path = F.get(parts, F.lit(2))
         authority = F.get(parts, F.lit(1))
-        # Parameters are what follows the first ';' of the last path segment.
-        has_params = path.rlike(r";[^/]*\z")
-        plain = F.when(has_params, url_parts_path(path)).otherwise(path)
-        params = F.when(has_params, F.regexp_extract(path, r"\A(?:(?s:.*)/)?[^/;]*;([^/]*)\z", 1)).otherwise(F.lit(""))
+        params = F.when(
+            path.contains(";"), F.regexp_extract(path, r"\A(?:(?s:.*)/)?[^/;]*;([^/]*)\z", 1)
+        ).otherwise(F.lit(""))
         return F.when(
             authority.contains("[") == authority.contains("]"),
             F.struct(
                 F.lower(F.get(parts, F.lit(0))).alias("scheme"),
                 authority.alias("authority"),
-                plain.alias("path"),
+                url_parts_path(path).alias("path"),
                 params.alias("params"),
                 F.get(parts, F.lit(3)).alias("query"),
                 F.get(parts, F.lit(4)).alias("fragment"),
@@ -54,8 +55,9 @@ def url_parts(url: Column | str) -> Column:
 
 def authority_host(authority: Column) -> Column:
     """Lower-case host of an authority: no user info, no port, no brackets."""
+    plain = ~(authority.contains("@") | authority.contains(":") | authority.contains("["))
     host = F.regexp_replace(authority, r"\A(?:.*@)?(?:[^\[]*\[([^\]]*)\].*|([^:]*).*)\z", "$1$2")
-    return F.lower(host)
+    return F.lower(F.when(plain, authority).otherwise(host))
 
 
 def url_host(url: Column | str) -> Column:
@@ -129,7 +131,10 @@ def _resolve_parts(base: Column, ref: Column) -> Column:
             F.when(F.array_contains(s, ".") | F.array_contains(s, ".."), _remove_dot_segments(s)).otherwise(s), "/"
         ),
     )
-    merged = let(merged, lambda m: F.when(m == "", F.lit("/")).otherwise(m))
+    # Most links start at the root and have no dot segments: nothing to merge.
+    merged = F.when(ref["path"].startswith("/") & ~ref["path"].contains("/."), ref["path"]).otherwise(
+        let(merged, lambda m: F.when(m == "", F.lit("/")).otherwise(m))
+    )
     same_document = (ref["path"] == "") & (ref["params"] == "")
     return (
         F.when(ref["authority"] != "", out(ref["authority"], ref["path"], ref["params"], ref["query"]))
@@ -153,13 +158,15 @@ def _relative(p: Column) -> Column:
     )
 
 
-def _both(base: Column | str, ref: Column | str) -> Column:
-    return F.struct(url_parts(base).alias("b"), url_parts(ref).alias("r"))
+def _both(base_parts: Column, ref: Column | str) -> Column:
+    return F.struct(base_parts.alias("b"), url_parts(ref).alias("r"))
 
 
-def resolve_parts(base: Column | str, ref: Column | str) -> Column:
-    """Parsed form of ``ref`` resolved against ``base``; NULL if unparseable."""
-    return let(_both(base, ref), lambda p: F.when(_relative(p), _resolve_parts(p["b"], p["r"])).otherwise(p["r"]))
+def resolve_parts(base_parts: Column, ref: Column | str) -> Column:
+    """Parsed form of ``ref`` resolved against a parsed base; NULL if unparseable."""
+    return let(
+        _both(base_parts, ref), lambda p: F.when(_relative(p), _resolve_parts(p["b"], p["r"])).otherwise(p["r"])
+    )
 
 
 def url_resolve(base: Column | str, ref: Column | str) -> Column:
@@ -173,7 +180,7 @@ def url_resolve(base: Column | str, ref: Column | str) -> Column:
         )
         return F.when(p["r"].isNull(), F.lit(None).cast("string")).when(_relative(p), joined).otherwise(ref)
 
-    return F.when(base == "", ref).when(ref == "", base).otherwise(let(_both(base, ref), build))
+    return F.when(base == "", ref).when(ref == "", base).otherwise(let(_both(url_parts(base), ref), build))
 
 
 def _decode(text: Column) -> Column:
@@ -210,49 +217,65 @@ def requery(query: Column | str) -> Column:
     return F.when(query == "", F.lit("")).otherwise(encode_pairs(query_pairs(query)))
 
 
-def _collapse_slashes(path: Column) -> Column:
-    return F.regexp_replace(path, "/{2,}", "/")
+def _clean_path(path: Column) -> Column:
+    """Rooted path without repeated slashes."""
+    single = F.when(path.contains("//"), F.regexp_replace(path, "/{2,}", "/")).otherwise(path)
+    return let(single, lambda v: F.when(v.startswith("/"), v).otherwise(F.concat(F.lit("/"), v)))
 
 
-def _rooted(path: Column) -> Column:
-    return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+def link_parts(raw: Column, base_parts: Column | None = None) -> Column:
+    """``struct(url, host, path)`` of a trimmed link in discovery form, or NULL.
 
+    Callers with many links per page pass the page's parsed address, so it is
+    parsed once.
+    """
+    absolute = url_parts(raw) if base_parts is None else resolve_parts(base_parts, raw)
 
-def normalize_link(ref: Column | str, base: Column | str | None = None) -> Column:
-    """Canonical form of a discovered link, NULL when it cannot be followed."""
-    raw = strip(ref)
-    absolute = url_parts(raw) if base is None else F.when(
-        col(base) == "", url_parts(raw)
-    ).otherwise(resolve_parts(base, raw))
+    def query_of(p: Column) -> Column:
+        kept = F.filter(
+            query_pairs(p["query"]),
+            lambda kv: (kv["k"] != "") & ~starts_with_any(F.lower(kv["k"]), rules.TRACKING_KEY_PREFIXES),
+        )
+        return F.when(p["query"] == "", F.lit("")).otherwise(encode_pairs(kept))
 
     def build(p: Column) -> Column:
-        path = _rooted(_collapse_slashes(p["path"]))
-        path = let(path, lambda v: F.when(F.lower(v).isin(list(rules.INDEX_PATHS)), F.lit("/")).otherwise(v))
-        query = F.when(p["query"] == "", F.lit("")).otherwise(
-            encode_pairs(
-                F.filter(
-                    query_pairs(p["query"]),
-                    lambda kv: (kv["k"] != "")
-                    & ~starts_with_any(F.lower(kv["k"]), rules.TRACKING_KEY_PREFIXES),
-                )
-            )
+        path = let(
+            _clean_path(p["path"]),
+            lambda v: F.when(F.lower(v).isin(list(rules.INDEX_PATHS)), F.lit("/")).otherwise(v),
         )
+        named = F.struct(F.lower(p["authority"]).alias("authority"), path.alias("path"), query_of(p).alias("query"))
         return F.when(
             p["scheme"].isin("http", "https") & (p["authority"] != ""),
-            unparse(p["scheme"], F.lower(p["authority"]), path, F.lit(""), query, F.lit("")),
+            let(
+                named,
+                lambda v: F.struct(
+                    F.concat(
+                        p["scheme"], F.lit("://"), v["authority"], v["path"],
+                        F.when(v["query"] == "", F.lit("")).otherwise(F.concat(F.lit("?"), v["query"])),
+                    ).alias("url"),
+                    authority_host(v["authority"]).alias("host"),
+                    url_parts_path(v["path"]).alias("path"),
+                ),
+            ),
         )
 
-    return F.when(
-        (raw == "") | raw.startswith("#") | starts_with_any(F.lower(raw), rules.SKIPPED_PREFIXES),
-        F.lit(None).cast("string"),
-    ).otherwise(let(absolute, build))
+    skipped = (
+        (raw == "") | raw.startswith("#") | (raw.contains(":") & starts_with_any(F.lower(raw), rules.SKIPPED_PREFIXES))
+    )
+    return F.when(~skipped, let(absolute, build))
+
+
+def normalize_link(ref: Column | str, base: Column | str | None = None) -> Column:
+    """Canonical form of a discovered link, NULL when it cannot be followed."""
+    base_parts = None if base is None else url_parts(base)
+    return let(strip(ref), lambda raw: link_parts(raw, base_parts)["url"])
 
 
 def _crawl_parts(url: Column | str) -> Column:
     """Scheme, authority, path and query of the crawl form."""
 
     def build(p: Column) -> Column:
-        path = F.regexp_replace(_rooted(_collapse_slashes(p["path"])), r"/+\z", "")
+        path = F.rtrim(_clean_path(p["path"]), F.lit("/"))
         query = F.when(p["query"] == "", F.lit("")).otherwise(
             encode_pairs(F.sort_array(query_pairs(p["query"])))
         )
@@ -273,7 +296,13 @@ def normalize_url(url: Column | str) -> Column:
     """U4: the key pages are visited, stored and compared by."""
     return let(
         _crawl_parts(url),
-        lambda p: unparse(p["scheme"], p["authority"], p["path"], F.lit(""), p["query"], F.lit("")),
+        lambda p: F.when(
+            p["authority"] != "",
+            F.concat(
+                p["scheme"], F.lit("://"), p["authority"], p["path"],
+                F.when(p["query"] == "", F.lit("")).otherwise(F.concat(F.lit("?"), p["query"])),
+            ),
+        ).otherwise(unparse(p["scheme"], p["authority"], p["path"], F.lit(""), p["query"], F.lit(""))),
     )
 
 
@@ -289,7 +318,9 @@ def _path_segments(url: Column | str) -> Column:
 
 def url_parts_path(path: Column) -> Column:
     """Path without the parameters of its last segment."""
-    return F.regexp_replace(path, r"(?s)\A((?:.*/)?[^/;]*);[^/]*\z", "$1")
+    return F.when(
+        path.contains(";"), F.regexp_replace(path, r"(?s)\A((?:.*/)?[^/;]*);[^/]*\z", "$1")
+    ).otherwise(path)
 
 
 def url_to_rel_path(url: Column | str, suffix: str) -> Column:
@@ -334,38 +365,34 @@ def asset_rel_path(url: Column | str) -> Column:
 def dedup_key(url: Column | str) -> Column:
     """U8: one trailing slash less, except for the root; the query stays."""
     url = col(url)
-    without = F.regexp_replace(url, r"\A([^?#]*)/(\?[^#]*)?(?:#.*)?\z", "$1$2")
-    is_root = url.rlike(r"\A[^:/?#]+://[^/?#]*/(?:[?#].*)?\z")
-    return F.when(is_root, url).otherwise(without)
+    ends = url.endswith("/") | url.contains("/?")
+    # The first path segment must exist for a slash to be a trailing one.
+    without = F.regexp_replace(url, r"\A([^:/?#]+://[^/?#]*/[^?#]*)/(\?.*)?\z", "$1$2")
+    return F.when(ends, without).otherwise(url)
 
 
 def is_same_domain(url: Column | str, domains: Column | str) -> Column:
     """Host equals an allowed domain or is below one."""
-    return let(
-        url_host(url),
-        lambda host: F.exists(
-            F.transform(col(domains), F.lower),
-            lambda d: (host == d) | host.endswith(F.concat(F.lit("."), d)),
-        ),
-    )
+    return let(url_host(url), lambda host: _within(host, F.transform(col(domains), F.lower)))
 
 
-def _without_www(host: Column) -> Column:
+def _within(host: Column, lowered_domains: Column) -> Column:
+    return F.exists(lowered_domains, lambda d: (host == d) | host.endswith(F.concat(F.lit("."), d)))
+
+
+def without_www(host: Column) -> Column:
     return F.regexp_replace(F.lower(strip(host)), r"\Awww\.", "")
 
 
+def host_is_internal(host: Column, bare_domains: Column) -> Column:
+    """U10 for a host and domains that went through ``without_www``."""
+    bare = F.when(host.startswith("www."), F.substring(host, F.lit(5), F.length(host))).otherwise(host)
+    return _within(host, bare_domains) | (host.startswith("www.") & let(bare, lambda b: _within(b, bare_domains)))
+
+
 def is_internal(url: Column | str, domains: Column | str) -> Column:
     """As U9, a leading ``www.`` on either side not counting."""
-    return let(
-        url_host(url),
-        lambda host: F.exists(
-            F.transform(col(domains), _without_www),
-            lambda d: (host == d)
-            | host.endswith(F.concat(F.lit("."), d))
-            | (_without_www(host) == d)
-            | _without_www(host).endswith(F.concat(F.lit("."), d)),
-        ),
-    )
+    return let(url_host(url), lambda host: host_is_internal(host, F.transform(col(domains), without_www)))
 
 
 def glob_to_regex(glob: Column | str) -> Column:
@@ -410,14 +437,17 @@ def matches_patterns(url: Column | str, includes: Column | str, excludes: Column
     )
 
 
-def looks_like_asset(url: Column | str) -> Column:
-    """Image extension, or a file name that hints at one."""
+def path_looks_like_asset(path: Column) -> Column:
+    """U12 for a path alone."""
+    lowered = F.lower(path)
+    return ends_with_any(lowered, rules.IMAGE_EXTENSIONS) | contains_any(
+        F.substring_index(lowered, "/", -1), rules.ASSET_NAME_HINTS
+    )
 
-    def build(path: Column) -> Column:
-        name = F.regexp_extract(path, r"([^/]*)\z", 1)
-        return ends_with_any(path, rules.IMAGE_EXTENSIONS) | contains_any(name, rules.ASSET_NAME_HINTS)
 
-    return let(url_parts(F.lower(col(url))), lambda p: build(p["path"]))
+def looks_like_asset(url: Column | str) -> Column:
+    """Image extension, or a file name that hints at one."""
+    return let(url_parts(F.lower(col(url))), lambda p: path_looks_like_asset(p["path"]))
 
 
 def is_static_asset(url: Column | str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill import rules
 from pagemill.functions.text import let
-from pagemill.functions.urls import glob_to_regex, normalize_extension, normalize_url, url_parts
+from pagemill.functions.urls import glob_to_regex, normalize_extension, normalize_url, url_parts, without_www
 
 JOB_SCHEMA = (
     "job_id string, start_url string, allowed_domains array<string>, include_patterns array<string>, "
@@ -32,6 +32,7 @@ def prepare_jobs(jobs: DataFrame) -> DataFrame:
         "job_id",
         "start_url",
         "domains",
+        F.transform("domains", without_www).alias("bare_domains"),
         F.transform("include_patterns", glob_to_regex).alias("include_regexes"),
         F.transform("exclude_patterns", glob_to_regex).alias("exclude_regexes"),
         F.transform(extensions, normalize_extension).alias("extensions"),

@@ -100,53 +100,62 @@ def payload_links(responses: DataFrame) -> DataFrame:
     )
 
 
-def _sorted_links(candidates: Column, base: Column) -> Column:
-    normal = F.transform(candidates, lambda raw: urls.normalize_link(raw, base))
+def _sorted_links(candidates: Column, base_parts: Column) -> Column:
+    normal = F.transform(F.transform(candidates, strip), lambda raw: urls.link_parts(raw, base_parts)["url"])
     return F.array_sort(F.array_distinct(F.array_compact(normal)))
 
 
 def extract_links(parsed: DataFrame) -> DataFrame:
     """L4: sorted distinct links, assets and payload links of each page."""
-    return parsed.select(
-        "job_id",
-        "page_id",
-        _sorted_links(href_candidates("nodes"), F.col("url")).alias("links"),
-        _sorted_links(asset_candidates("nodes"), F.col("url")).alias("assets"),
-        _sorted_links(payload_candidates("links_payload"), F.col("url")).alias("payload_links"),
+    lists = let(
+        urls.url_parts("url"),
+        lambda base: F.struct(
+            _sorted_links(href_candidates("nodes"), base).alias("links"),
+            _sorted_links(asset_candidates("nodes"), base).alias("assets"),
+            _sorted_links(payload_candidates("links_payload"), base).alias("payload_links"),
+        ),
     )
+    return parsed.select("job_id", "page_id", lists.alias("_l")).select("job_id", "page_id", "_l.*")
 
 
 def _reason(c: Column, job: Column) -> Column:
     """Rules 1 to 9, first hit wins; NULL for links that are kept unless repeated."""
-    raw, link = c["trimmed"], c["normalized_url"]
+    raw, link = c["trimmed"], c["link"]
     lowered = F.lower(raw)
-    has_colon = raw.contains(":")
+    address = F.lower(link["url"])
     return (
         F.when(raw == "", "invalid-url")
         .when(raw.startswith("#"), "anchor-only")
-        .when(starts_with_any(lowered, rules.SKIPPED_PREFIXES), "mailto/tel/javascript")
+        .when(raw.contains(":") & starts_with_any(lowered, rules.SKIPPED_PREFIXES), "mailto/tel/javascript")
         .when(
             link.isNull(),
-            F.when(has_colon & ~starts_with_any(lowered, ("http://", "https://")), "non-http").otherwise("invalid-url"),
+            F.when(raw.contains(":") & ~starts_with_any(lowered, ("http://", "https://")), "non-http").otherwise(
+                "invalid-url"
+            ),
+        )
+        .when(F.exists(job["extensions"], lambda e: address.endswith(e)), "attachment")
+        .when(urls.is_static_asset(link["url"]), "ignored-static-asset")
+        .when(urls.path_looks_like_asset(link["path"]), "asset-like-url")
+        .when(~urls.host_is_internal(link["host"], job["bare_domains"]), "external-domain")
+        .when(
+            ~urls.matches_regexes(link["url"], job["include_regexes"], job["exclude_regexes"]), "excluded-by-pattern"
         )
-        .when(F.exists(job["extensions"], lambda e: F.lower(link).endswith(e)), "attachment")
-        .when(urls.is_static_asset(link), "ignored-static-asset")
-        .when(urls.looks_like_asset(link), "asset-like-url")
-        .when(~urls.is_internal(link, job["domains"]), "external-domain")
-        .when(~urls.matches_regexes(link, job["include_regexes"], job["exclude_regexes"]), "excluded-by-pattern")
     )
 
 
-def _decide(candidates: Column, base: Column, job: Column) -> Column:
+def _decide(candidates: Column, base_parts: Column, job: Column) -> Column:
     """L5 and L6 for the candidate array of one page."""
     normalized = F.transform(
-        candidates,
-        lambda c: F.struct(
-            c["source"].alias("source"),
-            c["pos"].alias("pos"),
-            c["raw_url"].alias("raw_url"),
-            strip(c["raw_url"]).alias("trimmed"),
-            urls.normalize_link(c["raw_url"], base).alias("normalized_url"),
+        F.transform(
+            candidates,
+            lambda c: F.struct(c.alias("c"), strip(c["raw_url"]).alias("trimmed")),
+        ),
+        lambda t: F.struct(
+            t["c"]["source"].alias("source"),
+            t["c"]["pos"].alias("pos"),
+            t["c"]["raw_url"].alias("raw_url"),
+            t["trimmed"].alias("trimmed"),
+            urls.link_parts(t["trimmed"], base_parts).alias("link"),
         ),
     )
     judged = F.transform(
@@ -157,7 +166,7 @@ def _decide(candidates: Column, base: Column, job: Column) -> Column:
                 c["source"].alias("source"),
                 c["pos"].alias("pos"),
                 c["raw_url"].alias("raw_url"),
-                c["normalized_url"].alias("normalized_url"),
+                c["link"]["url"].alias("normalized_url"),
                 _reason(c, job).alias("reason"),
             ),
         ),
@@ -213,7 +222,7 @@ def _tagged(source: str, candidates: Column) -> Column:
 
 def page_decisions(parsed: DataFrame, jobs: DataFrame) -> DataFrame:
     """One row per page with its ``decisions`` array (L5, L6); other columns stay."""
-    job_columns = ("domains", "include_regexes", "exclude_regexes", "extensions")
+    job_columns = ("bare_domains", "include_regexes", "exclude_regexes", "extensions")
     candidates = F.concat(
         _tagged(PAYLOAD, payload_candidates("links_payload")),
         _tagged(HTML, href_candidates("nodes")),
@@ -221,7 +230,9 @@ def page_decisions(parsed: DataFrame, jobs: DataFrame) -> DataFrame:
     )
     dimension = jobs.select("job_id", F.struct(*job_columns).alias("_job"))
     joined = join_dimension(parsed, dimension, ["job_id"], ["page_id"])
-    return joined.withColumn("decisions", _decide(candidates, F.col("url"), F.col("_job"))).drop("_job")
+    # Bound outside the per-link lambdas, so the page's address is parsed once.
+    decisions = let(urls.url_parts("url"), lambda base: _decide(candidates, base, F.col("_job")))
+    return joined.withColumn("decisions", decisions).drop("_job")
 
 
 def link_decisions(decided: DataFrame) -> DataFrame:

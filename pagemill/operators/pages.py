@@ -17,17 +17,18 @@ def describe_pages(responses: DataFrame) -> DataFrame:
 
     Runs before anything is shuffled so that ``html`` itself can be dropped.
     """
-    return (
-        responses.withColumn("content_type", content_type_header())
-        .withColumn("normalized_url", normalize_url("url"))
-        .withColumn("is_html", ct.is_html_document("content_type", "normalized_url", "html"))
-        .withColumn("is_error", ct.is_error("status_code"))
-        .withColumn("raw_title", ct.raw_title("html"))
-        .withColumn("content_hash", ct.content_hash("html"))
-        .withColumn("html_length", F.length("html"))
-        .withColumn("html_small", F.length(strip("html")) < rules.SMALL_HTML_LENGTH)
-        .withColumn("html_path", url_to_rel_path("url", ".html"))
-        .withColumn("markdown_path", url_to_rel_path("url", ".md"))
+    named = responses.withColumns({"content_type": content_type_header(), "normalized_url": normalize_url("url")})
+    return named.withColumns(
+        {
+            "is_html": ct.is_html_document("content_type", "normalized_url", "html"),
+            "is_error": ct.is_error("status_code"),
+            "raw_title": ct.raw_title("html"),
+            "content_hash": ct.content_hash("html"),
+            "html_length": F.length("html"),
+            "html_small": F.length(strip("html")) < rules.SMALL_HTML_LENGTH,
+            "html_path": url_to_rel_path("url", ".html"),
+            "markdown_path": url_to_rel_path("url", ".md"),
+        }
     )
 
 

@@ -58,12 +58,22 @@ def as_responses(table: DataFrame) -> DataFrame:
     return table.select(*columns).withColumn("headers", clean_headers("headers"))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores on an input of few splits; a scan with enough of them stays as it is.
+
+    Per-page work is heavy next to reading, and a file of one row group is one task.
+    """
+    context = scan.sparkSession.sparkContext
+    wanted = context.defaultParallelism
+    return scan.repartition(wanted) if scan.rdd.getNumPartitions() < wanted else scan
+
+
 def read_responses(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Scan stored responses. Without a ``job_id`` all pages belong to one job."""
     reader = spark.read
     if fmt == "json":
         reader = reader.schema(RESPONSE_SCHEMA)
-    return as_responses(reader.format(fmt).load(path))
+    return as_responses(spread(reader.format(fmt).load(path)))
 
 
 def content_type_header(headers: Column | str = "headers") -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pagemill.operators.jobs import JOB_SCHEMA, prepare_jobs
 from pagemill.operators.pages import describe_pages
 from pagemill.sources.html_tree import parse_pages
-from pagemill.sources.responses import as_responses
+from pagemill.sources.responses import as_responses, spread
 
 HOST = "regexp_extract(url, '^https?://([^/?#]+)', 1)"
 
@@ -45,7 +45,7 @@ def with_pages(body: str) -> str:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 STATUS = "CASE WHEN page_id % 17 = 0 THEN 404 WHEN page_id % 19 = 0 THEN 500 ELSE 200 END"
@@ -147,7 +147,7 @@ def rich_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One job per host: its first page as start, ``/blocked/`` excluded."""
     starts = (
-        pages(spark, sf_dir)
+        spark.read.parquet(f"{sf_dir}/pages.parquet")
         .groupBy(F.expr(HOST).alias("job_id"))
         .agg(F.min_by("url", "page_id").alias("start_url"))
     )
