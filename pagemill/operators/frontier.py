@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +26,9 @@ def link_edges(pages: DataFrame) -> DataFrame:
             "job_id",
             normalize_url("requested_url").alias("src"),
             F.col("normalized_url").alias("from_url"),
-            F.posexplode("internal_links").alias("pos", "link"),
+            "internal_links",
         )
+        .select("job_id", "src", "from_url", F.posexplode("internal_links").alias("pos", "link"))
         .select("job_id", "src", "from_url", normalize_url("link").alias("dst"), "pos")
     )
 
@@ -60,15 +60,17 @@ def crawl_frontier(edges: DataFrame, jobs: DataFrame, fetched: DataFrame) -> Dat
     normalized_url)``; jobs as from ``prepare_jobs``. A visit is a page if it was
     admitted and has a response; visits end with the page that fills ``max_pages``.
     """
-    limits = jobs.select("job_id", "domains", "include_regexes", "exclude_regexes", "max_pages", "max_depth")
+    limits = durable(jobs.select("job_id", "domains", "include_regexes", "exclude_regexes", "max_pages", "max_depth"))
     small = is_small(limits)
 
     def with_limits(rows: DataFrame) -> DataFrame:
         return join_dimension(rows, limits, ["job_id"], ["url"], small=small)
 
     # The edges are shuffled once, here; every level then moves only its frontier.
-    graph = edges.repartition("job_id", "src").persist(StorageLevel.MEMORY_AND_DISK)
-    deepest = jobs.agg(F.max("max_depth")).first()[0]
+    # Written once, they also survive lost executors and keep the levels' plans short.
+    graph = durable(edges.repartition("job_id", "src"))
+    answers = durable(fetched.repartition("job_id", "url"))
+    deepest = limits.agg(F.max("max_depth")).first()[0]
     if deepest is None:
         deepest = -1
     queue = jobs.select(
@@ -80,57 +82,55 @@ def crawl_frontier(edges: DataFrame, jobs: DataFrame, fetched: DataFrame) -> Dat
             F.lit(None).cast("string").alias("from_url"),
         ).alias("entry"),
     )
+    admission = _admission(F.col("url"))
     levels: list[DataFrame] = []
-    try:
-        for depth in range(deepest + 1):
-            fresh = queue
-            if levels:
-                seen = reduce(DataFrame.unionByName, levels)
-                fresh = queue.join(seen.select("job_id", "url"), ["job_id", "url"], "left_anti")
-                so_far = seen.groupBy("job_id").agg(
-                    F.max("visit_order").alias("_visits"), F.max("page_rank").alias("_pages")
-                )
-            judged = (
-                with_limits(fresh)
-                .filter(F.col("max_depth") >= depth)
-                .withColumn("admission", _admission(F.col("url")))
-                .join(fetched, ["job_id", "url"], "left")
-                .withColumn("is_page", (F.col("admission") == OK) & F.col("page_id").isNotNull())
-                .select(
-                    "job_id", "url", "entry.*", "admission", "is_page", "max_pages",
-                    F.when(F.col("is_page"), F.col("page_id")).alias("page_id"),
-                    F.when(F.col("is_page"), F.col("normalized_url")).alias("normalized_url"),
-                )
+    for depth in range(deepest + 1):
+        fresh = queue
+        if levels:
+            seen = reduce(DataFrame.unionByName, levels)
+            fresh = queue.join(seen.select("job_id", "url"), ["job_id", "url"], "left_anti")
+            so_far = seen.groupBy("job_id").agg(
+                F.max("visit_order").alias("_visits"), F.max("page_rank").alias("_pages")
             )
-            ranked = running_totals(
-                judged,
-                ["job_id"],
-                ["src_order", "pos", "url"],
-                {"visit_order": F.lit(1).cast("bigint"), "page_rank": F.col("is_page").cast("bigint")},
+        judged = (
+            with_limits(fresh)
+            .filter(F.col("max_depth") >= depth)
+            .withColumn("admission", admission)
+            .join(answers, ["job_id", "url"], "left")
+            .withColumn("is_page", (F.col("admission") == OK) & F.col("page_id").isNotNull())
+            .select(
+                "job_id", "url", "entry.*", "admission", "is_page", "max_pages",
+                F.when(F.col("is_page"), F.col("page_id")).alias("page_id"),
+                F.when(F.col("is_page"), F.col("normalized_url")).alias("normalized_url"),
             )
-            if levels:
-                totals = ("visit_order", "_visits"), ("page_rank", "_pages")
-                ranked = join_dimension(ranked, so_far, ["job_id"], ["url"], small=small)
-                ranked = ranked.withColumns({name: F.col(name) + F.col(base) for name, base in totals})
-            level = durable(
-                ranked.filter(F.col("page_rank") - F.col("is_page").cast("bigint") < F.col("max_pages")).select(
-                    "job_id", "url", F.lit(depth).alias("depth"), F.col("from_url").alias("discovered_from"),
-                    "src_order", "pos", "visit_order", "admission", "is_page", "page_rank", "page_id", "normalized_url",
-                )
-            )
-            levels.append(level)
-            if level.isEmpty():
-                break
-            queue = (
-                level.filter("is_page")
-                .select("job_id", F.col("url").alias("src"), F.col("visit_order").alias("src_order"))
-                .join(graph, ["job_id", "src"])
-                .groupBy("job_id", F.col("dst").alias("url"))
-                .agg(F.min(F.struct("src_order", "pos", "from_url")).alias("entry"))
+        )
+        ranked = running_totals(
+            judged,
+            ["job_id"],
+            ["src_order", "pos", "url"],
+            {"visit_order": F.lit(1).cast("bigint"), "page_rank": F.col("is_page").cast("bigint")},
+        )
+        if levels:
+            totals = ("visit_order", "_visits"), ("page_rank", "_pages")
+            ranked = join_dimension(ranked, so_far, ["job_id"], ["url"], small=small)
+            ranked = ranked.withColumns({name: F.col(name) + F.col(base) for name, base in totals})
+        level = durable(
+            ranked.filter(F.col("page_rank") - F.col("is_page").cast("bigint") < F.col("max_pages")).select(
+                "job_id", "url", F.lit(depth).alias("depth"), F.col("from_url").alias("discovered_from"),
+                "src_order", "pos", "visit_order", "admission", "is_page", "page_rank", "page_id", "normalized_url",
             )
-        return reduce(DataFrame.unionByName, levels)
-    finally:
-        graph.unpersist()
+        )
+        levels.append(level)
+        if level.isEmpty():
+            break
+        queue = (
+            level.filter("is_page")
+            .select("job_id", F.col("url").alias("src"), F.col("visit_order").alias("src_order"))
+            .join(graph, ["job_id", "src"])
+            .groupBy("job_id", F.col("dst").alias("url"))
+            .agg(F.min(F.struct("src_order", "pos", "from_url")).alias("entry"))
+        )
+    return reduce(DataFrame.unionByName, levels)
 
 
 def queue_entries(visits: DataFrame, edges: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pagemill.session import ensure_checkpoint_dir
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 SALTS = 32
+SMALL_ROWS = 500_000
 HOT_KEYS = 256
 HOT_SHARE = 1 / 1000
 
@@ -106,19 +107,23 @@ def durable(table: DataFrame) -> DataFrame:
 
 
 def running_totals(
-    table: DataFrame, group: Sequence[str], order: Sequence[str], totals: dict[str, Column]
+    table: DataFrame, group: Sequence[str], order: Sequence[str], totals: dict[str, Column], small_rows: int = SMALL_ROWS
 ) -> DataFrame:
     """Inclusive running sums per group, in a unique order, for groups of any size.
 
-    The table is range-partitioned by (group, order); each slice is summed on its
-    own and shifted by the sums of the slices before it. A group never meets in
-    one task; only one row per group and slice is brought together.
+    A table of up to ``small_rows`` rows is one plain window. A larger one is
+    range-partitioned by (group, order); each slice is summed on its own and
+    shifted by the sums of the slices before it. Then a group never meets in one
+    task; only one row per group and slice is brought together.
     """
     group, order = list(group), list(order)
+    fixed = durable(table)
+    kept = [name for name in table.columns if name not in totals]
+    if fixed.limit(small_rows + 1).count() <= small_rows:
+        window = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return fixed.select(*kept, *[F.sum(value).over(window).alias(name) for name, value in totals.items()])
     # Slice numbers depend on sampled ranges: fix them before they are used twice.
-    slices = durable(
-        table.repartitionByRange(*group, *order).withColumn("_slice", F.spark_partition_id())
-    )
+    slices = durable(fixed.repartitionByRange(*group, *order).withColumn("_slice", F.spark_partition_id()))
     within = Window.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = slices.select("*", *[F.sum(value).over(within).alias(f"_run_{name}") for name, value in totals.items()])
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -132,7 +137,6 @@ def running_totals(
         )
     )
     joined = local.join(offsets, [*group, "_slice"])
-    kept = [name for name in table.columns if name not in totals]
     return joined.select(
         *kept, *[(F.col(f"_run_{name}") + F.col(f"_off_{name}")).alias(name) for name in totals]
     )
