@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemill import rules
-from pagemill.functions.text import col, contains_any, ends_with_any, let, lstrip, non_empty, starts_with_any, strip
+from pagemill.functions.text import cached_expression, col, contains_any, ends_with_any, let, lstrip, non_empty, starts_with_any, strip
 from pagemill.functions.urls import url_parts
 
 
@@ -25,6 +25,7 @@ def is_binary_type(content_type: Column | str) -> Column:
     return starts_with_any(content_type_norm(content_type), rules.BINARY_CONTENT_TYPE_PREFIXES)
 
 
+@cached_expression
 def is_html_document(content_type: Column | str, url: Column | str, html: Column | str) -> Column:
     """By type, else by path suffix, else by the look of the first characters."""
     sample = F.lower(F.substring(lstrip(F.coalesce(col(html), F.lit(""))), 1, rules.HTML_SNIFF_LENGTH))
@@ -43,6 +44,7 @@ def is_error(status_code: Column | str) -> Column:
     return F.coalesce(col(status_code) >= 400, F.lit(False))
 
 
+@cached_expression
 def raw_title(html: Column | str) -> Column:
     """Text of the first title element, entities untouched."""
     return non_empty(F.regexp_extract(col(html), r"(?is)<title[^>]*>(.*?)</title>", 1))

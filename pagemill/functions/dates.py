@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemill import rules
-from pagemill.functions.text import col, let, strip
+from pagemill.functions.text import cached_expression, col, let, strip
 
 _DATE_ONLY = r"\A\d{4}-\d{2}-\d{2}\z"
 # date (extended or basic), any one-character separator, time, optional zone
@@ -161,6 +161,7 @@ def normalize_rfc2822(value: Column | str) -> Column:
     return let(let(strip(value), _rfc), _format)
 
 
+@cached_expression
 def normalize_datetime(value: Column | str) -> Column:
     """Date-only text stays, ISO and RFC-2822 become ISO, else NULL."""
 

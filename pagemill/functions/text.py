@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,26 @@ WHITESPACE = (
 )
 
 
+def cached_expression(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Build a large expression of column names once per JVM.
+
+    Expressions are immutable and unbound, so the same one can serve any number of
+    plans; building one anew costs hundreds of calls into the JVM.
+    """
+    built: dict[tuple, Column] = {}
+
+    @wraps(build)
+    def get(*args, **kwargs):
+        if kwargs or not all(arg is None or isinstance(arg, (str, bool)) for arg in args):
+            return build(*args, **kwargs)
+        key = (id(SparkContext._gateway), args)
+        if key not in built:
+            built[key] = build(*args)
+        return built[key]
+
+    return get
+
+
 def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemill import rules
-from pagemill.functions.text import col, contains_any, ends_with_any, let, starts_with_any, strip
+from pagemill.functions.text import cached_expression, col, contains_any, ends_with_any, let, starts_with_any, strip
 
 # RFC 3986, appendix B, with the scheme limited to its legal alphabet. The five
 # groups are joined with U+0001 so one regex pass yields all parts.
@@ -20,6 +20,7 @@ _MARK = "\u0001"
 _C0_AND_SPACE = "".join(chr(code) for code in range(0x21))
 
 
+@cached_expression
 def url_parts(url: Column | str) -> Column:
     """Split into scheme, authority, path, params, query, fragment.
 
@@ -60,6 +61,7 @@ def authority_host(authority: Column) -> Column:
     return F.lower(F.when(plain, authority).otherwise(host))
 
 
+@cached_expression
 def url_host(url: Column | str) -> Column:
     return let(url_parts(url), lambda p: authority_host(p["authority"]))
 
@@ -169,6 +171,7 @@ def resolve_parts(base_parts: Column, ref: Column | str) -> Column:
     )
 
 
+@cached_expression
 def url_resolve(base: Column | str, ref: Column | str) -> Column:
     """Relative to absolute; a link with another scheme stays as it is written."""
     base, ref = col(base), col(ref)
@@ -265,6 +268,7 @@ def link_parts(raw: Column, base_parts: Column | None = None) -> Column:
     return F.when(~skipped, let(absolute, build))
 
 
+@cached_expression
 def normalize_link(ref: Column | str, base: Column | str | None = None) -> Column:
     """Canonical form of a discovered link, NULL when it cannot be followed."""
     base_parts = None if base is None else url_parts(base)
@@ -292,6 +296,7 @@ def _crawl_parts(url: Column | str) -> Column:
     return let(url_parts(strip(url)), build)
 
 
+@cached_expression
 def normalize_url(url: Column | str) -> Column:
     """U4: the key pages are visited, stored and compared by."""
     return let(
@@ -323,6 +328,7 @@ def url_parts_path(path: Column) -> Column:
     ).otherwise(path)
 
 
+@cached_expression
 def url_to_rel_path(url: Column | str, suffix: str) -> Column:
     """File path a page is stored at."""
 
@@ -344,6 +350,7 @@ def url_to_rel_path(url: Column | str, suffix: str) -> Column:
     return let(_path_segments(url), build)
 
 
+@cached_expression
 def asset_rel_path(url: Column | str) -> Column:
     """File path an asset is stored at."""
 
@@ -371,6 +378,7 @@ def dedup_key(url: Column | str) -> Column:
     return F.when(ends, without).otherwise(url)
 
 
+@cached_expression
 def is_same_domain(url: Column | str, domains: Column | str) -> Column:
     """Host equals an allowed domain or is below one."""
     return let(url_host(url), lambda host: _within(host, F.transform(col(domains), F.lower)))
@@ -390,11 +398,13 @@ def host_is_internal(host: Column, bare_domains: Column) -> Column:
     return _within(host, bare_domains) | (host.startswith("www.") & let(bare, lambda b: _within(b, bare_domains)))
 
 
+@cached_expression
 def is_internal(url: Column | str, domains: Column | str) -> Column:
     """As U9, a leading ``www.`` on either side not counting."""
     return let(url_host(url), lambda host: host_is_internal(host, F.transform(col(domains), without_www)))
 
 
+@cached_expression
 def glob_to_regex(glob: Column | str) -> Column:
     """Anchored Java regex of a shell glob (``*``, ``?``, ``[seq]``, ``[!seq]``)."""
     tokens = F.regexp_extract_all(
@@ -445,6 +455,7 @@ def path_looks_like_asset(path: Column) -> Column:
     )
 
 
+@cached_expression
 def looks_like_asset(url: Column | str) -> Column:
     """Image extension, or a file name that hints at one."""
     return let(url_parts(F.lower(col(url))), lambda p: path_looks_like_asset(p["path"]))
@@ -465,6 +476,7 @@ def is_attachment(url: Column | str, extensions: Column | str) -> Column:
     return F.exists(F.transform(col(extensions), normalize_extension), lambda e: lowered.endswith(e))
 
 
+@cached_expression
 def is_configured_attachment(url: Column | str, extensions: Column | str) -> Column:
     """The path alone ends with a configured extension."""
     return let(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pagemill import rules
 from pagemill.functions import nodes as N
-from pagemill.functions.text import let
+from pagemill.functions.text import cached_expression, let
 from pagemill.operators.scale import join_dimension
 
 _CUT = "struct<node_id:int,end_id:int,chars:int,runs:int,blocks:int>"
@@ -147,9 +147,14 @@ def _container(nodes: Column, kept: Column, cuts: Column) -> Column:
     return F.coalesce(let(marked, by_selector), longest, body)
 
 
+@cached_expression
+def _container_of_columns() -> Column:
+    return _container(F.col("nodes"), F.col("kept"), F.col("cuts"))
+
+
 def primary_container(stripped: DataFrame) -> DataFrame:
     """C4: adds ``container``, the chosen node; NULL stands for the whole document."""
-    return stripped.withColumn("container", _container(F.col("nodes"), F.col("kept"), F.col("cuts")))
+    return stripped.withColumn("container", _container_of_columns())
 
 
 def extract_content(parsed: DataFrame, mode: str = "main") -> DataFrame:
@@ -170,17 +175,8 @@ def extract_content(parsed: DataFrame, mode: str = "main") -> DataFrame:
     )
 
 
-def extract_job_content(parsed: DataFrame, jobs: DataFrame) -> DataFrame:
-    """C5 with each job's own mode. An unknown mode fails the run."""
-    dimension = jobs.select(
-        "job_id", F.lower(F.trim(F.when(F.col("content_extraction") == "", "main").otherwise(F.col("content_extraction")))).alias("_mode")
-    )
-    marked = join_dimension(parsed, dimension, ["job_id"], ["page_id"]).withColumn(
-        "_mode",
-        F.when(F.col("_mode").isin(list(rules.CONTENT_MODES)), F.col("_mode")).otherwise(
-            F.raise_error(F.concat(F.lit("unknown content mode "), F.col("_mode")))
-        ),
-    )
+@cached_expression
+def _content_by_mode() -> Column:
     nodes = F.col("nodes")
 
     def chosen(mode: str) -> Column:
@@ -200,13 +196,26 @@ def extract_job_content(parsed: DataFrame, jobs: DataFrame) -> DataFrame:
 
         return let(boilerplate_cuts(nodes, mode), build)
 
-    picked = (
+    return (
         F.when(F.col("_mode") == "raw", F.struct(F.lit(-1).alias("container_id"), nodes.alias("content")))
         .when(F.col("_mode") == "main", chosen("main"))
         .otherwise(chosen("aggressive"))
     )
+
+
+def extract_job_content(parsed: DataFrame, jobs: DataFrame) -> DataFrame:
+    """C5 with each job's own mode. An unknown mode fails the run."""
+    dimension = jobs.select(
+        "job_id", F.lower(F.trim(F.when(F.col("content_extraction") == "", "main").otherwise(F.col("content_extraction")))).alias("_mode")
+    )
+    marked = join_dimension(parsed, dimension, ["job_id"], ["page_id"]).withColumn(
+        "_mode",
+        F.when(F.col("_mode").isin(list(rules.CONTENT_MODES)), F.col("_mode")).otherwise(
+            F.raise_error(F.concat(F.lit("unknown content mode "), F.col("_mode")))
+        ),
+    )
     return (
-        marked.withColumn("_picked", picked)
+        marked.withColumn("_picked", _content_by_mode())
         .withColumn("container_id", F.col("_picked.container_id"))
         .withColumn("content", F.col("_picked.content"))
         .drop("_picked", "_mode")

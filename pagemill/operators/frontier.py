@@ -44,11 +44,11 @@ def fetched_pages(pages: DataFrame) -> DataFrame:
     ).select("job_id", "url", "_p.page_id", "_p.normalized_url")
 
 
-def _admission(url: Column) -> Column:
+def _admission() -> Column:
     """Domain first, then patterns."""
     return (
-        F.when(~is_same_domain(url, "domains"), BAD_DOMAIN)
-        .when(~matches_regexes(url, F.col("include_regexes"), F.col("exclude_regexes")), BAD_PATTERN)
+        F.when(~is_same_domain("url", "domains"), BAD_DOMAIN)
+        .when(~matches_regexes(F.col("url"), F.col("include_regexes"), F.col("exclude_regexes")), BAD_PATTERN)
         .otherwise(OK)
     )
 
@@ -82,7 +82,7 @@ def crawl_frontier(edges: DataFrame, jobs: DataFrame, fetched: DataFrame) -> Dat
             F.lit(None).cast("string").alias("from_url"),
         ).alias("entry"),
     )
-    admission = _admission(F.col("url"))
+    admission = _admission()
     levels: list[DataFrame] = []
     for depth in range(deepest + 1):
         fresh = queue

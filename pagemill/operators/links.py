@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pagemill import rules
 from pagemill.functions import urls
 from pagemill.functions.nodes import attr
-from pagemill.functions.text import col, let, starts_with_any, strip
+from pagemill.functions.text import cached_expression, col, let, starts_with_any, strip
 from pagemill.operators.scale import join_dimension
 
 PAYLOAD, HTML, ASSETS = "result.links", "html-fallback", "html-assets"
@@ -220,19 +220,23 @@ def _tagged(source: str, candidates: Column) -> Column:
     )
 
 
-def page_decisions(parsed: DataFrame, jobs: DataFrame) -> DataFrame:
-    """One row per page with its ``decisions`` array (L5, L6); other columns stay."""
-    job_columns = ("bare_domains", "include_regexes", "exclude_regexes", "extensions")
+@cached_expression
+def _decisions() -> Column:
     candidates = F.concat(
         _tagged(PAYLOAD, payload_candidates("links_payload")),
         _tagged(HTML, href_candidates("nodes")),
         _tagged(ASSETS, asset_candidates("nodes")),
     )
+    # Bound outside the per-link lambdas, so the page's address is parsed once.
+    return let(urls.url_parts("url"), lambda base: _decide(candidates, base, F.col("_job")))
+
+
+def page_decisions(parsed: DataFrame, jobs: DataFrame) -> DataFrame:
+    """One row per page with its ``decisions`` array (L5, L6); other columns stay."""
+    job_columns = ("bare_domains", "include_regexes", "exclude_regexes", "extensions")
     dimension = jobs.select("job_id", F.struct(*job_columns).alias("_job"))
     joined = join_dimension(parsed, dimension, ["job_id"], ["page_id"])
-    # Bound outside the per-link lambdas, so the page's address is parsed once.
-    decisions = let(urls.url_parts("url"), lambda base: _decide(candidates, base, F.col("_job")))
-    return joined.withColumn("decisions", decisions).drop("_job")
+    return joined.withColumn("decisions", _decisions()).drop("_job")
 
 
 def link_decisions(decided: DataFrame) -> DataFrame:
@@ -245,10 +249,12 @@ def _picked(decision: str) -> Column:
     return F.array_sort(F.array_distinct(F.transform(kept, lambda d: d["normalized_url"])))
 
 
+@cached_expression
 def internal_links() -> Column:
     return _picked(KEEP)
 
 
+@cached_expression
 def asset_links() -> Column:
     return _picked(ASSET)
 
@@ -260,6 +266,7 @@ def page_links(decided: DataFrame) -> DataFrame:
     )
 
 
+@cached_expression
 def source_count(source: str) -> Column:
     return F.size(F.filter("decisions", lambda d: d["source"] == source))
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pagemill import rules
 from pagemill.functions import nodes as N
-from pagemill.functions.text import let, strip
+from pagemill.functions.text import cached_expression, let, strip
 
 # Marks from the private use area, replaced before the text is returned.
 _BLOCK, _LINE, _KEEP, _SPACE = "\ue000", "\ue001", "\ue002", "\ue003"
@@ -193,11 +193,14 @@ def markdown_text(nodes: Column, content: Column, container_id: Column) -> Colum
     return let(base, lambda b: _tidy(F.array_join(_markdown_fragments(nodes, content, b), "")))
 
 
+@cached_expression
+def _markdown_of_columns() -> Column:
+    return markdown_text(F.col("nodes"), F.col("content"), F.col("container_id"))
+
+
 def to_markdown(extracted: DataFrame) -> DataFrame:
     """Adds ``markdown``."""
-    return extracted.withColumn(
-        "markdown", markdown_text(F.col("nodes"), F.col("content"), F.col("container_id"))
-    )
+    return extracted.withColumn("markdown", _markdown_of_columns())
 
 
 def _escape(text: Column) -> Column:

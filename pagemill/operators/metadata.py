@@ -14,6 +14,7 @@ from pagemill.functions import nodes as N
 from pagemill.functions.content_types import content_type_norm
 from pagemill.functions.dates import normalize_datetime, normalize_rfc2822
 from pagemill.functions.text import (
+    cached_expression,
     first_non_empty,
     let,
     merge_values,
@@ -71,6 +72,7 @@ def meta_pairs(evidence: DataFrame) -> DataFrame:
     return evidence.select("job_id", "page_id", F.inline(entries))
 
 
+@cached_expression
 def meta_first(attr: str, key: str) -> Column:
     """Content of the first meta with exactly this key; later ones are not tried."""
     return non_empty(N.first(F.filter("metas", lambda m: m[attr] == key))["content"])
@@ -86,14 +88,17 @@ def meta_all(attr: str, *keys: str) -> Column:
 _ld = "ld"
 
 
+@cached_expression
 def ld_text(path: str) -> Column:
     return jsonld.first_text(F.col(_ld), path)
 
 
+@cached_expression
 def ld_strings(path: str) -> Column:
     return jsonld.strings(F.col(_ld), path)
 
 
+@cached_expression
 def title_tag() -> Column:
     """Text of the title element if it has exactly one child."""
 
@@ -105,6 +110,7 @@ def title_tag() -> Column:
     return let(N.first(N.with_tag(F.col("_picked"), "title")), build)
 
 
+@cached_expression
 def page_title() -> Column:
     """X4."""
     return first_non_empty(
@@ -118,6 +124,7 @@ def page_title() -> Column:
     )
 
 
+@cached_expression
 def canonical_url() -> Column:
     """X5."""
     marked = F.filter("links", lambda l: F.array_contains(l["rels"], "canonical") & non_empty(l["href"]).isNotNull())
@@ -125,6 +132,7 @@ def canonical_url() -> Column:
     return first_non_empty(link, meta_first("property", "og:url"), ld_text("@id"))
 
 
+@cached_expression
 def element_ids() -> Column:
     """Id of the first main, else article, else body element that has one."""
     firsts = F.array(*[N.first(N.with_tag(F.col("_picked"), tag)) for tag in ("main", "article", "body")])
@@ -132,6 +140,7 @@ def element_ids() -> Column:
     return F.slice(ids, 1, 1)
 
 
+@cached_expression
 def page_id_candidates() -> Column:
     """Everything that names the page, best first."""
     return merge_values(
@@ -143,6 +152,7 @@ def page_id_candidates() -> Column:
     )
 
 
+@cached_expression
 def authors() -> Column:
     """X7."""
     return unique_strings(
@@ -155,6 +165,7 @@ def authors() -> Column:
     )
 
 
+@cached_expression
 def entities() -> Column:
     """X7."""
     return unique_strings(
@@ -162,6 +173,7 @@ def entities() -> Column:
     )
 
 
+@cached_expression
 def language() -> Column:
     """X8."""
     return first_non_empty(
@@ -171,6 +183,7 @@ def language() -> Column:
     )
 
 
+@cached_expression
 def tags() -> Column:
     """Keyword lists are split, article tags are not."""
     keywords = F.flatten(F.transform(meta_all("name", "keywords", "news_keywords"), split_keywords))
@@ -187,6 +200,7 @@ def aliases(canonical: Column) -> Column:
     return F.array_remove(unique_strings(merge_values(resolved, own)), F.col("url"))
 
 
+@cached_expression
 def labels() -> Column:
     """X11."""
     return unique_strings(
@@ -199,6 +213,7 @@ def labels() -> Column:
     )
 
 
+@cached_expression
 def breadcrumbs() -> Column:
     """JSON-LD list, else the first marked-up trail that has texts."""
 
@@ -239,6 +254,7 @@ def section_path(crumbs: Column, label_list: Column) -> Column:
     return F.when(F.size(crumbs) > 1, F.slice(crumbs, F.lit(1), F.size(crumbs) - 1)).otherwise(F.slice(label_list, 1, 1))
 
 
+@cached_expression
 def version() -> Column:
     """Stated, else the first ``v1.2``-like path segment."""
     segments = F.split(let(url_parts("url"), lambda p: p["path"]), "/")
@@ -248,10 +264,12 @@ def version() -> Column:
     )
 
 
+@cached_expression
 def header(name: str) -> Column:
     return F.try_element_at("headers", F.lit(name))
 
 
+@cached_expression
 def visibility() -> Column:
     """The strictest word of robots, googlebot and the X-Robots-Tag header."""
     robots = F.lower(
@@ -269,6 +287,7 @@ def visibility() -> Column:
     )
 
 
+@cached_expression
 def schema_types() -> Column:
     return unique_strings(jsonld.types(F.col(_ld)))
 
@@ -337,6 +356,7 @@ def date_candidates(field: str) -> Column:
     return merge_values(*sources)
 
 
+@cached_expression
 def page_dates() -> Column:
     """Per field ``struct(value, raw)``: the first text that parses, and all texts if that is not the first."""
 
@@ -355,6 +375,7 @@ def page_dates() -> Column:
     )
 
 
+@cached_expression
 def site_name() -> Column:
     """X20."""
     return first_non_empty(
@@ -365,6 +386,7 @@ def site_name() -> Column:
     )
 
 
+@cached_expression
 def header_number(name: str) -> Column:
     digits = F.replace(strip(header(name)), F.lit("_"), F.lit(""))
     return F.when(strip(header(name)).rlike(r"\A[+-]?\d+(?:_\d+)*\z"), digits.try_cast("bigint"))
