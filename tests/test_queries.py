@@ -9,7 +9,7 @@ from workload import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ("pages", "orders")
-QUICK = ("normalize_link", "change_counts", "link_decisions", "page_types", "markdown", "expand_sitemaps", "crawl_progress")
+QUICK = ("normalize_link", "change_counts", "link_decisions")
 
 
 @pytest.fixture(scope="module")
