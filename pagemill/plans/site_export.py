@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from pagemill.operators.frontier import crawl_frontier, fetched_pages, link_edge
 from pagemill.operators.jobs import prepare_jobs
 from pagemill.operators.markdown import to_markdown
 from pagemill.operators.pages import describe_pages, markdown_gate
+from pagemill.operators.scale import durable
 from pagemill.sources.html_tree import parse_pages
 from pagemill.sources.manifest import run_header
 
@@ -46,17 +46,12 @@ def enrich_pages(responses: DataFrame, jobs: DataFrame) -> DataFrame:
 
 @dataclass
 class Export:
-    """Result tables of one run; ``release`` frees what they share."""
+    """Result tables of one run."""
 
     pages: DataFrame
     visits: DataFrame
     manifest: dict[str, DataFrame]
     summary: DataFrame
-    shared: list[DataFrame]
-
-    def release(self) -> None:
-        for table in self.shared:
-            table.unpersist()
 
 
 def export_sites(
@@ -71,7 +66,8 @@ def export_sites(
     """Entry A: crawl order, change status, documents and manifest of every job."""
     prepared = prepare_jobs(jobs)
     enriched = enrich_pages(responses, prepared).drop("html")
-    pages = incremental.change_status(enriched, previous).persist(StorageLevel.MEMORY_AND_DISK)
+    # Computed once for all tables below; what follows plans over a plain scan of it.
+    pages = durable(incremental.change_status(enriched, previous))
     edges = link_edges(pages)
     fallback = None
     if sitemap_responses is not None:
@@ -89,4 +85,4 @@ def export_sites(
     }
     counts = skip_counts(visits, queue_entries(visits, edges, prepared))
     summary = incremental.run_summary(counts, manifest["assets"], manifest["errors"], prepared)
-    return Export(pages, visits, manifest, summary, [pages])
+    return Export(pages, visits, manifest, summary)

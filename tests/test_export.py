@@ -76,7 +76,6 @@ def test_export_twice(spark, make_responses, make_jobs, tmp_path):
         "https://example.com": "updated", "https://example.com/b": "unchanged", "https://example.com/missing": "unchanged",
         "https://example.com/down": "new",
     }
-    first.release()
 
 
 def test_last_previous_row_counts_and_paths_collide(spark):
