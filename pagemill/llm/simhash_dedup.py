@@ -146,8 +146,8 @@ def linked(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         keys.join(least, "key").filter(near & (F.col("print") != F.col("first"))).select(F.col("print").alias("a"), F.col("first").alias("b")).distinct()
     )
     roots = components(stars).withColumnsRenamed({"node": "print"})
-    shared = keys.join(least.select("key"), "key").join(roots, "print", "left").select("key", "print", F.coalesce("root", "print").alias("root"))
-    x, y = shared.alias("x"), shared.alias("y")
+    rooted = keys.join(roots, "print", "left").select("key", "print", F.coalesce("root", "print").alias("root"))
+    x, y = rooted.alias("x"), rooted.alias("y")
     pairs = x.join(
         y,
         (F.col("x.key") == F.col("y.key"))
