@@ -11,6 +11,7 @@ from pagemill.llm.common import read_table
 from pagemill.llm.packing import pack_documents
 from pagemill.llm.simhash_dedup import simhash_groups
 from pagemill.llm.suffix_dedup import remove_repeats
+from pagemill.llm.toxicity import THRESHOLD, classify
 from pagemill.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +39,10 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    toxic = F.col("_chain.toxic") >= THRESHOLD
+    return scored.select("doc_id", F.col("_chain.quality").alias("quality_score"), F.col("_chain.toxic").alias("toxic_score"), toxic.alias("toxic"), (~toxic).alias("kept"))
