@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import read_table
+from pagemill.llm.line_dedup import drop_repeated_chunks
 from pagemill.llm.packing import pack_documents
 from pagemill.llm.simhash_dedup import simhash_groups
 from pagemill.llm.suffix_dedup import remove_repeats
@@ -46,3 +47,34 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     toxic = F.col("_chain.toxic") >= THRESHOLD
     return scored.select("doc_id", F.col("_chain.quality").alias("quality_score"), F.col("_chain.toxic").alias("toxic_score"), toxic.alias("toxic"), (~toxic).alias("kept"))
+
+
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_chunks(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed_lines").alias("n_removed_lines"), F.col("_n_removed_chunks").alias("n_removed_chunks"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))
+
+
+ORACLES["op1_line_dedup"] = """
+WITH lines AS (
+  SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+), hashed AS (
+  SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM lines
+), cuts AS (
+  SELECT *, ((coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * 1000003 + h) % 2147483647) % 3 = 0 AS ends FROM hashed
+), placed AS (
+  SELECT doc_id, i, line,
+    coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+  FROM cuts
+), chunks AS (
+  SELECT doc_id, place, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n_lines, count(*) FILTER (line <> '') AS solid
+  FROM placed GROUP BY doc_id, place
+), ranked AS (
+  SELECT *, solid >= 2 AND row_number() OVER (PARTITION BY solid >= 2, body ORDER BY doc_id, place) > 1 AS gone FROM chunks
+)
+SELECT doc_id, sum(n_lines)::BIGINT AS n_lines, coalesce(sum(n_lines) FILTER (gone), 0)::BIGINT AS n_removed_lines,
+  count(*) FILTER (gone) AS n_removed_chunks,
+  md5(coalesce(string_agg(body, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_md5
+FROM ranked GROUP BY doc_id
+"""
