@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import read_table
 from pagemill.llm.line_dedup import drop_repeated_chunks
 from pagemill.llm.packing import pack_documents
+from pagemill.llm.sharding import assign_shards
 from pagemill.llm.simhash_dedup import simhash_groups
 from pagemill.llm.suffix_dedup import remove_repeats
 from pagemill.llm.toxicity import THRESHOLD, classify
@@ -78,3 +79,25 @@ SELECT doc_id, sum(n_lines)::BIGINT AS n_lines, coalesce(sum(n_lines) FILTER (go
   md5(coalesce(string_agg(body, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_md5
 FROM ranked GROUP BY doc_id
 """
+
+
+@query
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(read_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op9_sharding"] = """
+WITH sizes AS (
+  SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS h, coalesce(octet_length(encode(text)), 0)::BIGINT AS bytes FROM documents
+), deep AS (
+  SELECT *, h >> (60 - depth)::INT AS prefix FROM sizes, (SELECT unnest(range(0, 41)) AS depth)
+), buckets AS (
+  SELECT depth, prefix, sum(bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs FROM deep GROUP BY ALL
+  HAVING sum(bytes) <= 16777216 OR count(*) = 1
+), chosen AS (
+  SELECT d.*, b.shard_bytes, b.shard_docs, row_number() OVER (PARTITION BY doc_id ORDER BY d.depth) AS k
+  FROM deep d JOIN buckets b ON d.depth = b.depth AND d.prefix = b.prefix
+)
+SELECT doc_id, bytes, CASE depth WHEN 0 THEN '' ELSE lpad(bin(prefix), depth::INT, '0') END AS shard, depth::INT AS shard_depth, shard_docs, shard_bytes
+FROM chosen WHERE k = 1
+"""
