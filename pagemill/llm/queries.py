@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import read_table
+from pagemill.llm.language_model import score_documents
 from pagemill.llm.line_dedup import drop_repeated_chunks
 from pagemill.llm.packing import pack_documents
 from pagemill.llm.sharding import assign_shards
@@ -101,3 +102,8 @@ WITH sizes AS (
 SELECT doc_id, bytes, CASE depth WHEN 0 THEN '' ELSE lpad(bin(prefix), depth::INT, '0') END AS shard, depth::INT AS shard_depth, shard_docs, shard_bytes
 FROM chosen WHERE k = 1
 """
+
+
+@query
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read_table(spark, sf_dir, "documents")).drop("train_types")

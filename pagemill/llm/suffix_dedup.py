@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,31 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import discard, identified, stored
+from pagemill.llm.hashing import mixed, prefix_sums
 
 WINDOW = 100
 FIRST_DIGIT = 40
 BATCH_BYTES = 1 << 21
 
-_BASE = 0x9E3779B97F4A7C15
-_SHIFT, _FACTOR = np.uint64(32), np.uint64(0xD6E8FEB86659FD93)
-
-
-@cache
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2^64, and of its inverse."""
-    both = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        powers = np.full(size, base, np.uint64)
-        powers[0] = 1
-        both.append(np.cumprod(powers))
-    return both[0], both[1]
-
-
-def _mixed(values: np.ndarray) -> np.ndarray:
-    values = (values ^ (values >> _SHIFT)) * _FACTOR
-    return values ^ (values >> _SHIFT)
-
-
 def anchors(texts: list[bytes], window: int = WINDOW, digit: int = FIRST_DIGIT) -> tuple[np.ndarray, ...]:
     """Suffix classes of all windows of some texts by their first digit.
 
@@ -51,10 +31,8 @@ def anchors(texts: list[bytes], window: int = WINDOW, digit: int = FIRST_DIGIT)
     size = len(data)
     if size < window:
         return tuple(np.zeros(0, kind) for kind in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64))
-    up, down = _powers(1 << int(size).bit_length())
-    sums = np.zeros(size + 1, np.uint64)
-    np.cumsum((data + np.uint64(1)) * up[:size], out=sums[1:])
-    digits = _mixed((sums[digit:] - sums[:-digit]) * down[: size - digit + 1])
+    sums, down = prefix_sums(data)
+    digits = mixed((sums[digit:] - sums[:-digit]) * down[: size - digit + 1])
     least = digits & ~np.uint64(0xFFFFFFFF) | np.arange(len(digits), dtype=np.uint64)
     wanted, width = window - digit + 1, 1
     while 2 * width <= wanted:
@@ -73,7 +51,7 @@ def anchors(texts: list[bytes], window: int = WINDOW, digit: int = FIRST_DIGIT)
     fresh[1:] = (place[1:] != place[:-1]) | (inside[1:] != inside[:-1] + 1)
     first = np.flatnonzero(fresh)
     low, high, place = inside[first], inside[np.append(first[1:], len(inside)) - 1], place[first]
-    block = _mixed((sums[high + window] - sums[low]) * down[low])
+    block = mixed((sums[high + window] - sums[low]) * down[low])
     owner = owner[low]
     return digits[place], block, owner, low - (ends - lengths)[owner], high - low + 1, place - low
 
