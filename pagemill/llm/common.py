@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,15 +39,21 @@ def shared_path(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
 
 
-def stored(table: DataFrame) -> DataFrame:
+def stored(table: DataFrame, release: bool = False) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder.
 
     Unlike ``checkpoint()`` it is columnar, so later reads take only the columns
-    they need, and it survives the loss of any executor.
+    they need, and it survives the loss of any executor. Shuffle files of a
+    finished step stay on disk until the driver's garbage is collected;
+    ``release`` asks for that now, for operators with several large steps.
     """
-    path = shared_path(table.sparkSession)
+    spark, schema = table.sparkSession, table.schema
+    path = shared_path(spark)
     table.write.parquet(path)
-    return table.sparkSession.read.schema(table.schema).parquet(path)
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def discard(table: DataFrame) -> None:

@@ -82,13 +82,12 @@ def _runs(texts: DataFrame, window: int, digit: int) -> DataFrame:
     return texts.mapInArrow(run, "digit long, block long, doc_id long, start long, n int")
 
 
-def _halves(texts: DataFrame, window: int, digit: int) -> DataFrame:
-    """The runs of ``starts`` cut in two, keyed by a longer digit that all windows of a half share.
+def _bodies(texts: DataFrame, window: int, digit: int) -> DataFrame:
+    """``doc_id, start, n, lead, body`` of the runs whose first window is in ``starts``.
 
-    Windows that start well before the first digit share the bytes left of it as
-    well, the others those right of it. ``body`` holds the half's bytes.
+    ``body`` holds the bytes of all windows of the run, and its first digit
+    stands ``lead`` bytes after the start.
     """
-    reach = (window - digit) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,76 +95,80 @@ def _halves(texts: DataFrame, window: int, digit: int) -> DataFrame:
             for doc_id, text, starts in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                 chosen = set(starts)
                 for start, count, lead in zip(*(part.tolist() for part in anchors([text], window, digit)[3:]), strict=True):
-                    if start not in chosen:
-                        continue
-                    at = start + lead  # where the first digit stands
-                    split = min(count, max(0, lead - reach + 1))
-                    if split:
-                        rows.append((text[at - reach : at + digit], text[start : start + split - 1 + window], doc_id, start, split))
-                    if split < count:
-                        rows.append((text[at : at + digit + reach], text[start + split : start + count - 1 + window], doc_id, start + split, count - split))
+                    if start in chosen:
+                        rows.append((doc_id, start, count, lead, text[start : start + count - 1 + window]))
             for at in range(0, len(rows), 2048):
-                columns = zip(*rows[at : at + 2048], strict=True)
-                kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "body", "doc_id", "start", "n"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows[at : at + 2048], strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n", "lead", "body"])
 
-    rows = texts.mapInArrow(run, "key binary, body binary, doc_id long, start long, n int")
-    return rows.select(F.xxhash64("key").alias("digit"), *_identity("body"), "doc_id", "start", "n", "body")
+    return texts.select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, start long, n int, lead int, body binary")
 
 
-def _identity(name: str) -> list:
-    """128 bits that stand for a byte string; there the library's hash is taken with two prefixes."""
-    return [F.xxhash64(name).alias("block"), F.xxhash64(F.lit("second"), name).alias("check")]
+def _cells(runs: DataFrame, size: int, window: int) -> DataFrame:
+    """Runs cut by where the first digit stands in a window, ``size`` places at a time, with the digit of each part.
 
-
-def _marked(rows: DataFrame, same: list[str]) -> tuple[DataFrame, DataFrame]:
-    """One radix pass over ``digit, *same, doc_id, start, n``.
+    All windows of a part share ``window - size + 1`` bytes around the first
+    digit: the part's digit. With size 1 it is the window itself.
+    """
+    cell = F.explode(F.sequence(F.floor((F.col("lead") - F.col("n") + 1) / size), F.floor(F.col("lead") / size))).alias("cell")
+    cut = runs.select("doc_id", "start", "n", "lead", "body", cell)
+    high, low = F.least(F.col("lead"), (F.col("cell") + 1) * size - 1), F.greatest(F.col("lead") - F.col("n") + 1, F.col("cell") * size)
+    cut = cut.withColumns({"high": high.cast("int"), "low": low.cast("int"), "skip": (F.col("lead") - high).cast("int")})
+    part = cut.select(
+        "doc_id",
+        (F.col("start") + F.col("skip")).alias("start"),
+        (F.col("high") - F.col("low") + 1).alias("n"),
+        F.col("high").alias("lead"),
+        F.substring("body", F.col("skip") + 1, F.col("high") - F.col("low") + window).alias("body"),
+        F.substring("body", (F.col("lead") - F.col("cell") * size + 1).cast("int"), F.lit(window - size + 1)).alias("key"),
+    )
+    # 128 bits stand for the bytes of a part; the hash is taken plain and behind a prefix.
+    return part.select(F.xxhash64("key").alias("digit"), F.xxhash64("body").alias("block"), F.xxhash64(F.lit("second"), "body").alias("check"), "doc_id", "start", "n", "lead", "body")
+
+
+def _joined(rows: DataFrame, same: list[str]) -> DataFrame:
+    """One radix pass over ``digit, *same, doc_id, start``: adds ``is_first`` and ``is_open``.
 
     Rows with equal ``same`` hold equal windows: all but the first are repeats.
-    The first ones whose digit also stands in other blocks go to the next pass;
-    whatever is alone in its digit drops out. Groups are combined in the map
-    tasks and joined back, never gathered.
+    First ones whose digit also stands in other blocks are open, for the next
+    pass; whatever is alone in its digit drops out. Groups are combined in the
+    map tasks and joined back, never gathered.
     """
     firsts = rows.groupBy("digit", *same).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("copies"))
     several = firsts.groupBy("digit").agg(F.count("*").alias("blocks"))
     known = firsts.join(several, "digit").filter("copies > 1 OR blocks > 1")
     joined = rows.join(known, ["digit", *same]).withColumn("is_first", F.struct("doc_id", "start") == F.col("first"))
-    return joined.filter("NOT is_first"), joined.filter("is_first AND blocks > 1")
+    return joined.withColumn("is_open", F.expr("is_first AND blocks > 1")).drop("digit", *same, "first", "copies", "blocks")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, digit: int = FIRST_DIGIT) -> DataFrame:
     """``doc_id, start, stop``: byte spans whose windows all also start earlier; spans may overlap.
 
-    Earlier is a smaller doc_id, or the same document and an earlier start.
-    Three passes, each with a longer digit: ``digit`` bytes, half of what is
-    missing, the whole window. A pass only carries on the first suffixes of
-    groups that the digit did not tell apart.
+    Earlier is a smaller doc_id, or the same document and an earlier start. Each
+    pass takes a longer digit, up to the whole window, and carries on only the
+    first suffixes of groups that its digit did not tell apart.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     runs = _runs(texts, window, digit)
     several = runs.groupBy("digit").agg(F.count("*").alias("_n")).filter("_n > 1").select("digit")
-    survivors = stored(runs.join(several, "digit", "left_semi"))
-    repeats, open_runs = _marked(survivors, ["block"])
-    spans = [repeats]
-
-    starts = open_runs.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-    halves = stored(_halves(texts.join(starts, "doc_id"), window, digit))
-    repeats, open_halves = _marked(halves, ["block", "check"])
-    spans.append(repeats)
-
-    each = open_halves.select("doc_id", "start", "body", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    cut = each.withColumn("body", F.substring("body", F.col("i") + 1, F.lit(window)))
-    windows = stored(cut.select(F.xxhash64("body").alias("digit"), F.xxhash64(F.lit("second"), "body").alias("check"), "doc_id", (F.col("start") + F.col("i")).alias("start"), F.lit(1).alias("n")))
-    spans.append(_marked(windows, ["check"])[0])
+    survivors = stored(runs.join(several, "digit", "left_semi"), release=True)
+    passes = [stored(_joined(survivors, ["block"]), release=True)]
+    discard(survivors)
+
+    starts = passes[0].filter("is_open").groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
+    open_runs = bodies = stored(_bodies(texts.join(starts, "doc_id"), window, digit), release=True)
+    for share in (2, 8, window):
+        cells = _cells(open_runs, max(1, (window - digit) // share), window)
+        passes.append(stored(_joined(cells, ["block", "check"]), release=True))
+        open_runs = passes[-1].filter("is_open")
+    discard(bodies)
 
     result = None
-    for rows in spans:
-        part = rows.select("doc_id", "start", (F.col("start") + F.col("n") - 1 + window).alias("stop"))
+    for table in passes:
+        part = table.filter("NOT is_first").select("doc_id", "start", (F.col("start") + F.col("n") - 1 + window).alias("stop"))
         result = part if result is None else result.union(part)
-    found = stored(result)
-    for table in (survivors, halves, windows):
-        discard(table)
-    return found
+    return result
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, digit: int = FIRST_DIGIT) -> DataFrame:
