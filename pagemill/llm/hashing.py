@@ -50,3 +50,22 @@ def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.
     hashes = mixed((sums[stops] - sums[starts]) * down[starts])
     ends = np.cumsum(np.fromiter((len(text) + 1 for text in texts), np.int64, len(texts)))
     return hashes, np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
+#: Runs of letters and digits (1), of other signs (2), and white space (0).
+_KIND = np.array([0 if SPACE[b] else 1 if chr(b).isalnum() or b >= 0x80 or b == ord("_") else 2 for b in range(256)], np.int8)
+
+
+def run_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every run of letters and digits or of other signs, in order, and how many each text has."""
+    data = np.frombuffer(b"".join(text + b" " for text in texts), np.uint8)
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    kind = _KIND[data]
+    edges = np.flatnonzero(np.diff(kind, prepend=0))
+    starts = edges[kind[edges] > 0]
+    stops = np.append(edges, len(data))[np.searchsorted(edges, starts) + 1]
+    sums, down = prefix_sums(data)
+    hashes = mixed((sums[stops] - sums[starts]) * down[starts])
+    ends = np.cumsum(np.fromiter((len(text) + 1 for text in texts), np.int64, len(texts)))
+    return hashes, np.diff(np.searchsorted(starts, ends), prepend=0)

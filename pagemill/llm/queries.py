@@ -11,6 +11,7 @@ from pagemill.llm.common import read_table
 from pagemill.llm.language_model import score_documents
 from pagemill.llm.line_dedup import drop_repeated_chunks
 from pagemill.llm.packing import pack_documents
+from pagemill.llm.quality_rules import judge
 from pagemill.llm.sharding import assign_shards
 from pagemill.llm.simhash_dedup import simhash_groups
 from pagemill.llm.suffix_dedup import remove_repeats
@@ -107,3 +108,8 @@ FROM chosen WHERE k = 1
 @query
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(read_table(spark, sf_dir, "documents")).drop("train_types")
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
