@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import discard, identified, stored
@@ -171,6 +171,36 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, digit: int = FIRST_DIG
     return result
 
 
+def _without(whole_characters: bool) -> Callable[..., Column]:
+    """Column function of a binary text and its spans: length, remaining bytes and the maximal removed runs."""
+    runs = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+
+    @F.arrow_udf("n_bytes long, kept binary, spans array<struct<start: long, stop: long>>")
+    def cut(texts: pa.Array, cuts: pa.Array) -> pa.Array:
+        sizes, kept, removed = [], [], []
+        for text, found in zip(texts.to_pylist(), cuts.to_pylist(), strict=True):
+            text = text or b""
+            merged: list[list[int]] = []
+            for start, stop in sorted((span["start"], span["stop"]) for span in found or ()):
+                if merged and start <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], stop)
+                else:
+                    merged.append([start, stop])
+            edges = [0, *(edge for span in merged for edge in span), len(text)]
+            rest = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+            sizes.append(len(text))
+            kept.append(rest.decode(errors="ignore").encode() if whole_characters else rest)
+            removed.append([{"start": start, "stop": stop} for start, stop in merged])
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, runs)], ["n_bytes", "kept", "spans"])
+
+    return cut
+
+
+def _cut(unique: DataFrame, window: int, digit: int, whole_characters: bool) -> DataFrame:
+    cuts = repeated_spans(unique.select("doc_id", "text"), window, digit).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("_cuts"))
+    return unique.join(cuts, "doc_id", "left").withColumn("_cut", _without(whole_characters)(F.col("text").cast("binary"), "_cuts"))
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, digit: int = FIRST_DIGIT) -> DataFrame:
     """``doc_id, n_bytes, kept, spans``: every text without its repeated windows.
 
@@ -181,29 +211,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digit: int = FIRST_DIG
     are left out, rows repeating one are one document, other columns are
     ignored, an empty table gives no rows.
     """
-    texts = identified(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    spans = repeated_spans(texts, window, digit)
-    cuts = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
+    return _cut(identified(docs.select("doc_id", "text")), window, digit, whole_characters=False).select("doc_id", "_cut.*")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, sizes, kept, removed = [], [], [], []
-            for doc_id, text, found in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                text = text or b""
-                merged: list[list[int]] = []
-                for start, stop in sorted((cut["start"], cut["stop"]) for cut in found or ()):
-                    if merged and start <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], stop)
-                    else:
-                        merged.append([start, stop])
-                edges = [0, *(edge for span in merged for edge in span), len(text)]
-                ids.append(doc_id)
-                sizes.append(len(text))
-                kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-                removed.append([{"start": start, "stop": stop} for start, stop in merged])
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
-            columns = [pa.array(c, k) for c, k in zip((ids, sizes, kept, removed), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "kept", "spans"])
-
-    joined = texts.select("doc_id", F.col("text").cast("binary").alias("text")).join(cuts, "doc_id", "left")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, kept binary, spans array<struct<start: long, stop: long>>")
+
+def drop_repeats(docs: DataFrame, window: int = WINDOW, digit: int = FIRST_DIGIT) -> DataFrame:
+    """The documents with the repeats taken out of ``text``, all columns kept.
+
+    As ``remove_repeats``; a character that a cut goes through is dropped, a null text stays null.
+    """
+    text = F.when(F.col("text").isNotNull(), F.col("_cut.kept").cast("string")).alias("text")
+    return _cut(identified(docs), window, digit, whole_characters=True).select(*[text if name == "text" else F.col(name) for name in docs.columns])
