@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import read_table
+from pagemill.llm.common import identified, read_table
 from pagemill.llm.language_model import score_documents
 from pagemill.llm.line_dedup import drop_repeated_chunks
 from pagemill.llm.packing import pack_documents
 from pagemill.llm.quality_rules import judge
+from pagemill.llm.sentencepiece_codec import decode, encode
 from pagemill.llm.sharding import assign_shards
 from pagemill.llm.simhash_dedup import simhash_groups
 from pagemill.llm.suffix_dedup import remove_repeats
@@ -113,3 +114,14 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    wanted = identified(docs.select("doc_id", "text")).select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    coded = encode(docs).withColumn("decoded", F.crc32(decode(F.col("ids")).cast("binary")))
+    n_tokens = F.octet_length("ids").cast("long") / 4
+    return coded.join(wanted, "doc_id").select(
+        "doc_id", n_tokens.cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), "score", "n_chunks", (F.col("decoded") == F.col("text_crc32")).alias("round_trip")
+    )
