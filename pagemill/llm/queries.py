@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import identified, read_table
+from pagemill.llm.embedding_dedup import near_duplicates
 from pagemill.llm.language_model import score_documents
 from pagemill.llm.line_dedup import drop_repeated_chunks
 from pagemill.llm.packing import pack_documents
@@ -125,3 +126,8 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.join(wanted, "doc_id").select(
         "doc_id", n_tokens.cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), "score", "n_chunks", (F.col("decoded") == F.col("text_crc32")).alias("round_trip")
     )
+
+
+@query
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "embeddings"))
