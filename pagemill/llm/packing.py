@@ -23,7 +23,8 @@ RANK_SALTS = 64
 
 ROUNDS = 240
 STEP = 0.25
-LEARNING_RATE = 2.0
+LEARNING_RATE = 0.3
+PRICE_POWER = 1.6
 
 
 class WordIds(dict):
@@ -129,8 +130,9 @@ def configuration_program(counts: np.ndarray, rounds: int = ROUNDS) -> tuple[lis
 
     ``counts[l]`` pieces have length l; the last index is the capacity. A
     length's weight grows by exp(rate * uncovered share), its price is that
-    weight times its length, and the knapsack gives for every length the best
-    configuration that holds it. Each is taken a whole number of times, a
+    weight times a power of its length over one, so that room goes to few long
+    pieces first. The knapsack gives for every length the best configuration
+    that holds it. Each is taken a whole number of times, a
     quarter of what the scarcest of its lengths allows. At first only full
     configurations are taken; the room they may leave doubles whenever a round
     covers under 1/500 of what is left. Returns the configurations with
@@ -149,7 +151,7 @@ def configuration_program(counts: np.ndarray, rounds: int = ROUNDS) -> tuple[lis
         if not len(there):
             break
         weights = np.exp(LEARNING_RATE * (left / start - 1))
-        prices = np.where(left > 0, lengths * weights, -np.inf)
+        prices = np.where(left > 0, (lengths / capacity) ** PRICE_POWER * weights, -np.inf)
         _, take = best_values(prices)
         take, pool = take.tolist(), left.tolist()
         least = next((room for room, length in enumerate(take) if length), capacity + 1)
