@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import components, identified, stored
 
 MIN_COSINE = 0.98
-OVERLAP = 4
-PIVOT_ROWS = 400
+OVERLAP = 3
+PIVOT_ROWS = 300
 MAX_PIVOTS = 4096
 SHARD_ROWS = 4096
 SMALL_LABEL = 1500
