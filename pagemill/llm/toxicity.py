@@ -17,6 +17,7 @@ CATEGORIES = ("quality", "toxic")
 TRAIN_ROWS = 20_000
 FEATURES = 4096
 MIN_DOCUMENTS = 5
+MIN_STRENGTH = 3.0
 BEGINNINGS = (4, 5, 6)
 FOLDS = 3
 THRESHOLD = 0.5
@@ -52,6 +53,9 @@ class FeatureIds(dict):
 def logistic(rows: np.ndarray, columns: np.ndarray, extra: np.ndarray, wanted: np.ndarray, size: int, rounds: int = 80) -> tuple[np.ndarray, np.ndarray]:
     """Weights of present features, and of the dense ``extra`` columns (the last is the constant), by Adam with a little L2."""
     weights = np.zeros(size + extra.shape[1])
+    if not wanted.any():  # nothing to tell apart: never
+        weights[-1] = -30.0
+        return weights[:size], weights[size:]
     first, second = np.zeros_like(weights), np.zeros_like(weights)
     n = max(1, len(wanted))
     for step in range(1, rounds + 1):
@@ -111,12 +115,12 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
     """Fit the chain on at most ``train_rows`` labelled documents, those with the least hash of the id.
 
     For each category the features are kept whose presence splits the sample's
-    documents best (signed root of the likelihood ratio), in
-    ``MIN_DOCUMENTS`` documents at least. A later model sees the earlier
+    documents best (difference to the expected count over its deviation, at
+    least ``MIN_STRENGTH``), in ``MIN_DOCUMENTS`` documents at least. A later model sees the earlier
     categories' out-of-fold probabilities, so it learns to trust them only as
     far as they hold on unseen documents. Rows with a null label or id do not
     train; of repeated labels of an id the least counts. Without labelled
-    documents, or for a category with one class only, the constant decides.
+    documents, or without positive ones, a category has probability zero.
     """
     complete = labels.dropna(subset=["doc_id", *categories]).groupBy("doc_id").agg(*[F.min(c).alias(c) for c in categories])
     sample = stored(complete.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows))
@@ -146,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
     for category, name in zip(categories, names, strict=True):
         expected = F.col("n") * F.lit((totals[category] or 0) / n)
         strength = F.abs(F.col(name) - expected) / F.sqrt(expected + 1)
-        chosen |= {bytes(row["feature"]) for row in table.orderBy(strength.desc(), "feature").limit(features // len(categories)).collect()}
+        chosen |= {bytes(row["feature"]) for row in table.filter(strength >= MIN_STRENGTH).orderBy(strength.desc(), "feature").limit(features // len(categories)).collect()}
     kept = sorted(chosen)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
