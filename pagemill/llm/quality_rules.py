@@ -125,7 +125,8 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buck
     texts = identified(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("text", F.col("text").cast("binary"))
     trusted = labels.dropna(subset=["doc_id", "quality"]).groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality > 0")
     raw = ngram_counts(texts, buckets)
-    target = ngram_counts(texts.join(trusted, "doc_id", "left_semi"), buckets)
+    # Trusted ids grow with the corpus, so they are never broadcast: one strategy at every size.
+    target = ngram_counts(texts.hint("merge").join(trusted.hint("merge"), "doc_id", "left_semi"), buckets)
     shared = docs.sparkSession.sparkContext.broadcast(log_ratios(target, raw))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
