@@ -121,11 +121,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     wanted = identified(docs.select("doc_id", "text")).select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
-    coded = encode(docs).withColumn("decoded", F.crc32(decode(F.col("ids")).cast("binary")))
-    n_tokens = F.octet_length("ids").cast("long") / 4
-    return coded.join(wanted, "doc_id").select(
-        "doc_id", n_tokens.cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), "score", "n_chunks", (F.col("decoded") == F.col("text_crc32")).alias("round_trip")
-    )
+    n_tokens = (F.octet_length("ids").cast("long") / 4).cast("long")
+    decoded = F.crc32(decode(F.col("ids")).cast("binary")).alias("decoded")
+    coded = encode(docs).select("doc_id", n_tokens.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), "score", "n_chunks", decoded)  # narrow before the join
+    return coded.join(wanted, "doc_id").select("doc_id", "n_tokens", "ids_crc32", "score", "n_chunks", (F.col("decoded") == F.col("text_crc32")).alias("round_trip"))
 
 
 @query

@@ -45,26 +45,32 @@ class Pieces(dict):
         if any("\n" in piece or SPACE in piece.lstrip(SPACE) for piece in self.number):
             raise ValueError("pieces may not reach over units")
         self.scores = np.array([p.score for p in model.pieces])
-        self.unknown = min(self.scores[list(self.number.values())]) - UNKNOWN_PENALTY
+        self.unknown = float(min(self.scores[list(self.number.values())]) - UNKNOWN_PENALTY)
         self.byte = {int(p.piece[1:-1], 16): k for k, p in enumerate(model.pieces) if p.type == p.BYTE}
         self.text = [p.piece.replace(SPACE, " ").encode() for p in model.pieces]
         for byte, k in self.byte.items():
             self.text[k] = bytes([byte])
             self.scores[k] = 0.0 if 0x80 <= byte < 0xC0 else self.unknown  # an unknown character counts once, at its first byte
         self.longest = max(map(len, self.number))
-        self.piece_score = {piece: self.scores[k] for piece, k in self.number.items()}
+        self.piece_score = {piece: float(self.scores[k]) for piece, k in self.number.items()}
+        self.steps = {piece[:size]: _NEVER for piece in self.number for size in range(1, len(piece))} | self.piece_score
+        self.code = {piece: k.to_bytes(4, "little") for piece, k in self.number.items()}
 
     def best(self, marked: str, start: int = 0, stop: int | None = None) -> list[str]:
         """The best pieces from ``start`` to ``stop``; of equal ones, the path whose last differing piece is longest."""
         stop = len(marked) if stop is None else stop
-        value, back, known = [0.0] + [_NEVER] * (stop - start), [0] * (stop - start + 1), self.piece_score
-        for end in range(start + 1, stop + 1):
-            top, origin = value[end - 1 - start] + known.get(marked[end - 1], self.unknown), end - 1
-            for begin in range(max(start, end - self.longest), end - 1):
-                score = known.get(marked[begin:end])
-                if score is not None and value[begin - start] + score >= top and (value[begin - start] + score > top or begin < origin):
-                    top, origin = value[begin - start] + score, begin
-            value[end - start], back[end - start] = top, origin
+        value, back, step = [0.0] + [_NEVER] * (stop - start), [0] * (stop - start + 1), self.steps.get
+        for begin in range(start, stop):
+            base = value[begin - start]
+            score = step(marked[begin])
+            if score is None or score == _NEVER:
+                score = self.unknown
+            for end in range(begin + 1, stop + 1):
+                if base + score > value[end - start]:
+                    value[end - start], back[end - start] = base + score, begin
+                score = step(marked[begin : end + 1])
+                if score is None:
+                    break
         parts = []
         while stop > start:
             parts.append(marked[back[stop - start] : stop])
@@ -72,11 +78,11 @@ class Pieces(dict):
         return parts[::-1]
 
     def ids(self, parts: list[str]) -> bytes:
-        found: list[int] = []
+        found = []
         for part in parts:
-            number = self.number.get(part)
-            found += [number] if number is not None else [self.byte[byte] for byte in part.encode()]
-        return np.array(found, "<u4").tobytes()
+            known = self.code.get(part)
+            found += [known] if known is not None else [self.byte[byte].to_bytes(4, "little") for byte in part.encode()]
+        return b"".join(found)
 
     def __missing__(self, unit: str) -> bytes:
         found = self[unit] = self.ids(self.best(unit.replace(" ", SPACE)))
@@ -132,13 +138,14 @@ class Pieces(dict):
         starts = self.longest if starts is None else starts
         best = np.full((starts, stop + 1), _NEVER)
         best[np.arange(min(starts, stop + 1)), np.arange(min(starts, stop + 1))] = 0.0
-        for end in range(1, stop + 1):
-            if end - 1 < inside:
-                np.maximum(best[:, end], best[:, end - 1] + self.piece_score.get(marked[end - 1], self.unknown), out=best[:, end])
-            for begin in range(max(0, end - self.longest), min(end - 1, inside)):
-                score = self.piece_score.get(marked[begin:end])
+        for begin in range(min(inside, stop)):
+            for end in range(begin + 1, stop + 1):
+                part = marked[begin:end]
+                score = self.piece_score.get(part, self.unknown if end == begin + 1 else None)
                 if score is not None:
                     np.maximum(best[:, end], best[:, begin] + score, out=best[:, end])
+                if part not in self.steps:
+                    break
         return best
 
 
