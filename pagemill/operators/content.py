@@ -203,10 +203,10 @@ def _content_by_mode() -> Column:
     )
 
 
-def extract_job_content(parsed: DataFrame, jobs: DataFrame) -> DataFrame:
-    """C5 with each job's own mode. An unknown mode fails the run."""
+def extract_job_content(parsed: DataFrame, jobs: DataFrame, options: tuple[str, ...] = ()) -> DataFrame:
+    """C5 with each job's own mode, and further columns of the job. An unknown mode fails the run."""
     dimension = jobs.select(
-        "job_id", F.lower(F.trim(F.when(F.col("content_extraction") == "", "main").otherwise(F.col("content_extraction")))).alias("_mode")
+        "job_id", F.lower(F.trim(F.when(F.col("content_extraction") == "", "main").otherwise(F.col("content_extraction")))).alias("_mode"), *options
     )
     marked = join_dimension(parsed, dimension, ["job_id"], ["page_id"]).withColumn(
         "_mode",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +20,16 @@ def _kind(value: Column) -> Column:
 
 
 def _list(value: Column) -> Column:
-    return F.when(_kind(value).startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>"))
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def _is_object(value: Column) -> Column:
+    # Looks at the value's own fields only; its schema would walk all of it.
+    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
 
 
 def _graph(value: Column) -> Column:
-    graph = F.try_variant_get(value, "$['@graph']", "variant")
-    return F.when(_kind(value).startswith("OBJECT") & _kind(graph).startswith("ARRAY"),
-                  F.try_variant_get(graph, "$", "array<variant>"))
+    return F.try_variant_get(value, "$['@graph']", "array<variant>")
 
 
 def _flatten_step(values: Column) -> Column:
@@ -35,6 +40,28 @@ def _foldable(values: Column) -> Column:
     return F.exists(values, lambda v: _list(v).isNotNull() | _graph(v).isNotNull())
 
 
+def _brackets(written: Column) -> Column:
+    return F.length(written) - F.length(F.replace(written, F.lit("["), F.lit("")))
+
+
+def _repeat(values: Column, bound: Column, step: Callable[[Column], Column], unfinished: Callable[[Column], Column]) -> Column:
+    """``step`` until nothing is ``unfinished``, ``bound`` times at most.
+
+    The flag beside the values ends the work: later rounds hand the state on
+    without looking at it, so the cost is that of the nesting depth.
+    """
+
+    def state(found: Column) -> Column:
+        return let(found, lambda v: F.struct(v.alias("found"), unfinished(v).alias("open")))
+
+    ended = F.aggregate(
+        F.sequence(F.lit(1), bound + 1),
+        state(values),
+        lambda acc, _: F.when(acc["open"], state(step(acc["found"]))).otherwise(acc),
+    )
+    return ended["found"]
+
+
 def script_texts(nodes: Column) -> Column:
     """Trimmed, non-empty texts of the JSON-LD scripts in document order."""
     scripts = F.filter(
@@ -50,21 +77,15 @@ def jsonld_objects(nodes: Column) -> Column:
     """Objects of all scripts, lists and ``@graph`` lists opened recursively.
 
     A list or graph can only open after a ``[``, so their number bounds the
-    rounds; each round ends early once nothing is left to open.
+    rounds; only as many as lists are nested do any work.
     """
 
     def flat(text: Column) -> Column:
         parsed = F.try_parse_json(text)
-        rounds = F.sequence(F.lit(1), F.length(text) - F.length(F.replace(text, F.lit("["), F.lit(""))) + 1)
-        opened = F.aggregate(
-            rounds,
-            F.array(parsed),
-            lambda values, _: F.when(_foldable(values), _flatten_step(values)).otherwise(values),
-        )
+        opened = let(parsed, lambda v: _repeat(F.array(v), _brackets(text), _flatten_step, _foldable))
         return F.when(parsed.isNotNull(), opened).otherwise(F.array().cast("array<variant>"))
 
-    objects = F.flatten(F.transform(script_texts(nodes), flat))
-    return F.filter(objects, lambda v: F.coalesce(_kind(v).startswith("OBJECT"), F.lit(False)))
+    return F.filter(F.flatten(F.transform(script_texts(nodes), flat)), _is_object)
 
 
 def _path(dotted: str) -> str:
@@ -87,7 +108,7 @@ def text(value: Column) -> Column:
 
 def _name(value: Column) -> Column:
     return F.when(
-        _kind(value).startswith("OBJECT"), text(F.try_variant_get(value, "$.name", "variant"))
+        _is_object(value), text(F.try_variant_get(value, "$.name", "variant"))
     )
 
 
@@ -106,25 +127,18 @@ def names(objects: Column, dotted: str) -> Column:
     """Strings and names of objects at a path, lists opened at any depth."""
 
     def opened(found: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(1), F.lit(1) + _list_depth(found)),
+        written = F.array_join(F.transform(found, lambda v: F.coalesce(F.to_json(v), F.lit(""))), "")
+        return _repeat(
             found,
-            lambda acc, _: F.when(
-                F.exists(acc, lambda v: _list(v).isNotNull()),
-                F.flatten(F.transform(acc, lambda v: F.coalesce(_list(v), F.array(v)))),
-            ).otherwise(acc),
+            _brackets(written),
+            lambda acc: F.flatten(F.transform(acc, lambda v: F.coalesce(_list(v), F.array(v)))),
+            lambda acc: F.exists(acc, lambda v: _list(v).isNotNull()),
         )
 
     flat = let(values(objects, dotted), opened)
     return F.array_compact(F.transform(flat, lambda v: F.coalesce(non_empty(text(v)), non_empty(_name(v)))))
 
 
-def _list_depth(found: Column) -> Column:
-    """Upper bound of list nesting: the number of '[' in the values' own text."""
-    written = F.array_join(F.transform(found, lambda v: F.coalesce(F.to_json(v), F.lit(""))), "")
-    return F.length(written) - F.length(F.replace(written, F.lit("["), F.lit("")))
-
-
 def types(objects: Column) -> Column:
     """``@type`` values in order, a list of types counting as its members."""
     def of(value: Column) -> Column:
@@ -166,7 +180,7 @@ def breadcrumbs(objects: Column) -> Column:
         items = _variants(_list(F.try_variant_get(o, "$.itemListElement", "variant")))
         named = F.filter(
             F.transform(
-                F.filter(items, lambda v: _kind(v).startswith("OBJECT")),
+                F.filter(items, _is_object),
                 lambda v: F.struct(position_of(v).alias("pos"), name_of(v).alias("name")),
             ),
             lambda r: r["name"].isNotNull(),

@@ -32,26 +32,30 @@ def describe_pages(responses: DataFrame) -> DataFrame:
     )
 
 
-def markdown_skip_reason(markdown: Column | str = "markdown", save_markdown: Column | str | None = None) -> Column:
-    """Why no document is written, NULL if one is."""
+def markdown_skip_reason(markdown: Column | str = "markdown") -> Column:
+    """Why a wanted document is not written, NULL if it is or none is wanted."""
     text = F.col(markdown) if isinstance(markdown, str) else markdown
     empty = F.coalesce(strip(text), F.lit("")) == ""
     reason = F.when(
         F.col("is_error"), F.concat(F.lit("skip_markdown_error_status_"), F.col("status_code").cast("string"))
     )
-    wanted = F.lit(True) if save_markdown is None else F.col(save_markdown)
     return (
-        reason.when(~wanted, F.lit(None).cast("string"))
+        reason.when(~F.col("save_markdown"), F.lit(None).cast("string"))
         .when(~F.col("is_html"), "skip_markdown_non_html")
         .when(empty, "skip_markdown_empty_content")
     )
 
 
 def markdown_gate(pages: DataFrame, markdown: str = "markdown") -> DataFrame:
-    """``markdown_skip_reason`` and ``writes_markdown``."""
-    return pages.withColumn("markdown_skip_reason", markdown_skip_reason(markdown)).withColumn(
-        "writes_markdown", F.col("markdown_skip_reason").isNull()
-    )
+    """``markdown_skip_reason`` and ``writes_markdown``.
+
+    ``save_markdown`` is that of the page's job and is used up here; pages without the column want a document.
+    """
+    wanted = F.coalesce(F.col("save_markdown"), F.lit(True)) if "save_markdown" in pages.columns else F.lit(True)
+    flagged = pages.withColumn("save_markdown", wanted)
+    return flagged.withColumn("markdown_skip_reason", markdown_skip_reason(markdown)).withColumn(
+        "writes_markdown", F.col("save_markdown") & F.col("markdown_skip_reason").isNull()
+    ).drop("save_markdown")
 
 
 def page_flags(pages: DataFrame) -> DataFrame:

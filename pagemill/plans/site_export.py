@@ -37,7 +37,7 @@ def enrich_pages(responses: DataFrame, jobs: DataFrame) -> DataFrame:
         }
     )
     described = metadata.page_metadata(with_lists)
-    rendered = markdown_gate(to_markdown(content.extract_job_content(described, jobs)))
+    rendered = markdown_gate(to_markdown(content.extract_job_content(described, jobs, ("save_markdown",))))
     front = frontmatter(F.col("page_metadata"), rendered.schema["page_metadata"].dataType)
     return rendered.withColumn("document", render_document(front, F.col("markdown"))).drop(
         "nodes", "content", "container_id", "headers"

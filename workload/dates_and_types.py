@@ -117,14 +117,14 @@ def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "markdown_gate",
     with_pages(
-        """SELECT page_id, CASE WHEN status_code >= 400 THEN 'skip_markdown_error_status_' || status_code
+        """SELECT page_id, CASE WHEN status_code >= 400 THEN 'skip_markdown_error_status_' || status_code WHEN page_id % 7 = 3 THEN NULL
   WHEN k % 13 = 0 AND k % 2 = 0 THEN 'skip_markdown_non_html'
   WHEN k % 5 = 0 THEN 'skip_markdown_empty_content' END AS markdown_skip_reason,
-  NOT (status_code >= 400 OR (k % 13 = 0 AND k % 2 = 0) OR k % 5 = 0) AS writes_markdown FROM n"""
+  NOT (status_code >= 400 OR page_id % 7 = 3 OR (k % 13 = 0 AND k % 2 = 0) OR k % 5 = 0) AS writes_markdown FROM n"""
     ),
 )
 def markdown_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P6 with a text that is blank on some pages and no html on others."""
+    """P6 with a text that is blank on some pages, no html on others, and none wanted on a seventh."""
     described = P.describe_pages(
         corpus.responses(spark, sf_dir).withColumn(
             "html", F.expr("CASE WHEN page_id % 13 = 0 AND page_id % 2 = 0 THEN concat('%PDF', page_id) ELSE html END")
@@ -132,6 +132,7 @@ def markdown_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     marked = described.withColumn("markdown", F.expr("CASE WHEN page_id % 5 = 0 THEN ' \\n\\u00a0' ELSE raw_title END"))
     marked = marked.withColumn("markdown", F.coalesce("markdown", F.lit("x")))
+    marked = marked.withColumn("save_markdown", F.expr("page_id % 7 <> 3"))
     return P.markdown_gate(marked).select("page_id", "markdown_skip_reason", "writes_markdown")
 
 
