@@ -57,6 +57,23 @@ def bucket_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return np.where(tokens == END, buckets, (tokens & np.uint64(buckets - 1)).astype(np.int64))
 
 
+class Segments:
+    """Sequences cut into segments: their starts, lengths, owners and numbers within the owner."""
+
+    def __init__(self, lengths: np.ndarray, size: int = SEGMENT):
+        count = np.maximum(1, -(-lengths // size))
+        self.of = np.repeat(np.arange(len(lengths)), count)
+        self.number = np.arange(len(self.of)) - np.repeat(np.cumsum(count) - count, count)
+        self.starts = np.repeat(np.cumsum(lengths) - lengths, count) + self.number * size
+        self.lengths = np.minimum(size, lengths[self.of] - self.number * size)
+        self.alone = (count == 1)[self.of]
+
+    def waves(self, chosen: np.ndarray) -> list[np.ndarray]:
+        """Places in ``chosen`` of all first segments, all second ones, and so on."""
+        order = np.argsort(self.number[chosen], kind="stable")
+        return np.split(order, np.flatnonzero(np.diff(self.number[chosen][order])) + 1)
+
+
 @dataclass
 class Model:
     """Start, transition and emission probabilities; emission is over buckets of words."""
@@ -66,68 +83,166 @@ class Model:
     emit: np.ndarray
 
     def log_likelihood(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """log10 likelihood of each sequence by the scaled forward recursion, all of them side by side."""
+        """log10 likelihood of each sequence by the scaled forward recursion, its segments side by side."""
+        parts = Segments(lengths)
+        result = np.zeros(len(lengths))
+        whole = parts.of[parts.alone]
+        result[whole] = self._forward(symbols, parts, parts.alone, np.tile(self.start, (len(whole), 1)))[0]
+        long = np.flatnonzero(~parts.alone)
+        if len(long):
+            products, logs = self._products(symbols, parts, long)
+            state = np.tile(self.start, (len(lengths), 1))
+            for part in parts.waves(long):
+                owner = parts.of[long[part]]
+                ahead = np.einsum("ni,nij->nj", state[owner], products[part])
+                scale = ahead.sum(axis=1)
+                state[owner] = ahead / scale[:, None]
+                result[owner] += np.log10(scale) + logs[part]
+        return result
+
+    def _forward(self, symbols: np.ndarray, parts: Segments, chosen: np.ndarray, enter: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of the scales of each chosen segment, and the longest first order; ``keep`` takes states and scales of each step."""
+        lengths = parts.lengths[chosen]
         order = np.argsort(-lengths, kind="stable")
-        first = (np.cumsum(lengths) - lengths)[order]
+        first = parts.starts[chosen][order]
         active = np.searchsorted(-lengths[order], -np.arange(int(lengths.max(initial=0))), side="left")
-        total, emit = np.zeros(len(lengths)), np.ascontiguousarray(self.emit.T)
-        state = np.tile(self.start, (len(lengths), 1))
+        total, emit, state = np.zeros(len(lengths)), np.ascontiguousarray(self.emit.T), enter[order]
         for step, n in enumerate(active.tolist()):
             ahead = state[:n] if step == 0 else state[:n] @ self.move
             state = ahead * emit[symbols[first[:n] + step]]
             scale = state.sum(axis=1)
             state /= scale[:, None]
             total[:n] += np.log10(scale)
+            if keep is not None:
+                keep.append((n, state, scale[:, None]))
         result = np.empty(len(lengths))
         result[order] = total
-        return result
+        return result, order
 
-    def expected_counts(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Baum-Welch: expected starts, moves and emissions of some sequences."""
+    def _products(self, symbols: np.ndarray, parts: Segments, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each chosen segment does to the states before it: a matrix scaled to a largest entry of one, and log10 of the scale.
+
+        A first segment begins with its emission, a later one with a move.
+        """
+        states = len(self.start)
+        lengths = parts.lengths[chosen]
         order = np.argsort(-lengths, kind="stable")
-        first = (np.cumsum(lengths) - lengths)[order]
-        active = np.searchsorted(-lengths[order], -np.arange(int(lengths.max(initial=0))), side="left").tolist()
-        emit, forward, scales = np.ascontiguousarray(self.emit.T), [], []
-        for step, n in enumerate(active):
-            ahead = np.tile(self.start, (n, 1)) if step == 0 else forward[-1][:n] @ self.move
-            state = ahead * emit[symbols[first[:n] + step]]
-            scale = state.sum(axis=1, keepdims=True)
-            forward.append(state / scale)
-            scales.append(scale)
-        moves, shares, back = np.zeros_like(self.move), np.empty((len(symbols), len(self.start))), None
-        for step in range(len(active) - 1, -1, -1):
-            n = active[step]
-            after = np.ones((n, len(self.start)))
-            if back is not None:
-                after[: len(back)] = back
-            share = forward[step] * after
+        first = parts.starts[chosen][order]
+        active = np.searchsorted(-lengths[order], -np.arange(int(lengths.max(initial=0))), side="left")
+        emit, result, logs = np.ascontiguousarray(self.emit.T), np.empty((len(lengths), states, states)), np.zeros(len(lengths))
+        state = np.where((parts.number[chosen][order] == 0)[:, None, None], np.eye(states), self.move)
+        for step, n in enumerate(active.tolist()):
+            result[n : len(state)] = state[n:]
+            ahead = state[:n] if step == 0 else (state[:n].reshape(-1, states) @ self.move).reshape(-1, states, states)
+            state = ahead * emit[symbols[first[:n] + step]][:, None, :]
+            if step % 8 == 7 or step == len(active) - 1:
+                scale = state.max(axis=(1, 2))
+                state /= scale[:, None, None]
+                logs[:n] += np.log10(scale)
+        result[: len(state)] = state
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return result[back], logs[back]
+
+    def expected_counts(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Baum-Welch: expected starts, moves and emissions of some sequences.
+
+        A long sequence is worked on in segments side by side. The products of
+        its segments give the forward message that enters each of them and the
+        backward message that leaves it, so nothing is lost at the borders.
+        """
+        states, parts = len(self.start), Segments(lengths)
+        enter, leave = np.tile(self.start, (len(parts.lengths), 1)), np.ones((len(parts.lengths), states))
+        before = np.zeros((len(parts.lengths), states))  # the forward message at the end of the segment before
+        long = np.flatnonzero(~parts.alone)
+        if len(long):
+            products, _ = self._products(symbols, parts, long)
+            waves, state = parts.waves(long), np.tile(self.start, (len(lengths), 1))
+            for part in waves:
+                owner = parts.of[long[part]]
+                if parts.number[long[part[0]]]:
+                    before[long[part]] = state[owner]
+                    enter[long[part]] = state[owner] @ self.move
+                ahead = np.einsum("ni,nij->nj", state[owner], products[part])
+                state[owner] = ahead / ahead.sum(axis=1, keepdims=True)
+            for part in reversed(waves[1:]):
+                after = np.einsum("nij,nj->ni", products[part], leave[long[part]])
+                leave[long[part] - 1] = after / (before[long[part]] * after).sum(axis=1, keepdims=True)
+        kept: list = []
+        _, order = self._forward(symbols, parts, np.arange(len(parts.lengths)), enter, kept)
+        first, leaving = parts.starts[order], leave[order]
+        emit = np.ascontiguousarray(self.emit.T)
+        moves, shares, back = np.zeros_like(self.move), np.empty((len(symbols), states)), np.zeros((0, states))
+        for step in range(len(kept) - 1, -1, -1):
+            n, state, scale = kept[step]
+            after = np.concatenate([back, leaving[len(back) : n]])
+            share = state * after
             share /= share.sum(axis=1, keepdims=True)
             places = first[:n] + step
             shares[places] = share
-            weighted = emit[symbols[places]] * after / scales[step]
+            weighted = emit[symbols[places]] * after / scale
             if step:
-                moves += self.move * (forward[step - 1][:n].T @ weighted)
+                moves += self.move * (kept[step - 1][1][:n].T @ weighted)
                 back = weighted @ self.move.T
             else:
-                starts = share.sum(axis=0)
-        emitted = np.stack([np.bincount(symbols, shares[:, k], self.emit.shape[1]) for k in range(len(self.start))])
+                opening = parts.number[order] == 0
+                starts = share[opening].sum(axis=0)
+                moves += self.move * (before[order][~opening].T @ weighted[~opening])
+        emitted = np.stack([np.bincount(symbols, shares[:, k], self.emit.shape[1]) for k in range(states)])
         return starts, moves, emitted
 
 
-def count_tokens(texts: DataFrame) -> DataFrame:
-    """``token, c``: how often each token, known by its 64-bit hash, stands in the texts."""
+def tokenised(texts: DataFrame, buckets: int) -> DataFrame:
+    """One pass over ``doc_id, text, train``: the bucket of every token of a text, and how often tokens occur.
+
+    Rows with ``doc_id`` hold a text's ``symbols`` (little-endian), those with
+    ``token`` a count from some training texts of a task.
+    """
+    kind = "<u2" if buckets < 1 << 16 else "<u4"
+    fields = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("symbols", pa.binary()), ("token", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, tokens, _ in _groups(batches, 8 * GROUP_TOKENS):
-            values, counts = np.unique(tokens, return_counts=True)
-            for at in range(0, len(values), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(values[at : at + (1 << 16)].view(np.int64)), pa.array(counts[at : at + (1 << 16)])], ["token", "n"])
+        held, room = [], 0
 
-    return texts.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("c"))
+        def counted() -> Iterator[pa.RecordBatch]:
+            values, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            held.clear()
+            for at in range(0, len(values), 1 << 16):
+                some = [pa.array(values[at : at + (1 << 16)].view(np.int64)), pa.array(counts[at : at + (1 << 16)])]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(some[0]), field.type) for field in list(fields)[:3]] + some, schema=fields)
+
+        for batch in batches:
+            ids, texts, train = (column.to_pylist() for column in batch.columns)
+            tokens, counts = _tokens([text or b"" for text in texts])
+            codes, ends = bucket_of(tokens, buckets).astype(kind).tobytes(), np.cumsum(counts) * np.dtype(kind).itemsize
+            symbols = [codes[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(train), pa.array(symbols, pa.binary()), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64())], schema=fields)
+            held.append(tokens[np.repeat(np.array(train, bool), counts)])
+            room += len(held[-1])
+            if room >= 8 * GROUP_TOKENS:
+                yield from counted()
+                room = 0
+        yield from counted()
+
+    return stored(texts.select("doc_id", "text", "train").mapInArrow(run, "doc_id long, train boolean, symbols binary, token long, n long"))
+
+
+def _coded_groups(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Symbols and lengths of some documents at a time, whole ones."""
+    parts, size = [], 0
+    for batch in batches:
+        for value in batch.column("symbols").to_pylist():
+            parts.append(np.frombuffer(value, kind))
+            size += len(parts[-1])
+            if size >= GROUP_TOKENS:
+                yield np.concatenate(parts).astype(np.int64), np.array([len(part) for part in parts])
+                parts, size = [], 0
+    if parts:
+        yield np.concatenate(parts).astype(np.int64), np.array([len(part) for part in parts])
 
 
-def baum_welch(texts: DataFrame, totals: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    """Train on all texts, cut into segments; expected counts are summed over the partitions each round.
+def baum_welch(coded: DataFrame, totals: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Model:
+    """Train on all whole texts, as ``symbols`` by ``tokenised``; expected counts are summed over the partitions each round.
 
     ``totals`` has how often each bucket occurs. The model (``states`` times
     buckets) is all that reaches the driver. States start from the bucket
@@ -139,20 +254,18 @@ def baum_welch(texts: DataFrame, totals: np.ndarray, states: int = STATES, round
     move = np.full((states, states), 0.1 / max(1, states - 1))
     np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
     model = Model(np.full(states, 1 / states), move, emit / emit.sum(axis=1, keepdims=True))
-    context = texts.sparkSession.sparkContext
+    context, kind = coded.sparkSession.sparkContext, "<u2" if size <= 1 << 16 else "<u4"
     for _ in range(rounds):
         shared = context.broadcast(model)
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             total = np.zeros(states + states**2 + states * size)
-            for _, tokens, lengths in _groups(batches):
-                symbols = bucket_of(tokens, size - 1)
-                pieces = [np.r_[np.full(n // SEGMENT, SEGMENT), [n % SEGMENT] if n % SEGMENT else []] for n in lengths.tolist()]
-                total += np.concatenate([part.ravel() for part in shared.value.expected_counts(symbols, np.concatenate(pieces).astype(np.int64))])
+            for symbols, lengths in _coded_groups(batches, kind):
+                total += np.concatenate([part.ravel() for part in shared.value.expected_counts(symbols, lengths)])
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["i", "x"])
 
-        summed = texts.mapInArrow(expect, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+        summed = coded.select("symbols").mapInArrow(expect, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
         total = np.zeros(states + states**2 + states * size)
         total[summed["i"].to_numpy()] = summed["x"].to_numpy()
         start, move, emit = total[:states] + 1, total[states : states + states**2].reshape(states, states) + 1e-3, total[states + states**2 :].reshape(states, size)
@@ -170,7 +283,9 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, states: int
     the known words and one unknown word per bucket; ``score`` is the exact
     log10 probability of the whole text, ``base_score`` that of add-one word
     frequencies. Frequencies of the ``FREQUENT`` commonest tokens are
-    broadcast; all others meet their frequency in a join.
+    broadcast; all others meet their frequency in a join. Texts are split twice,
+    to count and code them and to score them; training reads the codes. A
+    ``held_out`` of null counts as false.
 
     A null or empty text is its end alone. Rows without doc_id are left out, rows
     repeating one are one document, other columns are ignored, an empty table
@@ -178,15 +293,15 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, states: int
     """
     held_out = is_held_out(F.col("doc_id")) if held_out is None else held_out
     unique = identified(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("text", F.col("text").cast("binary"))
-    training = unique.filter(~held_out).select("doc_id", "text")
-    counts = stored(count_tokens(training))
+    coded = tokenised(unique.withColumn("train", ~F.coalesce(held_out, F.lit(False))), buckets)
+    counts = stored(coded.filter("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("c")))
     bucket = F.when(F.col("token") == int(END), buckets).otherwise(F.col("token").bitwiseAND(buckets - 1))
     in_bucket = counts.groupBy(bucket.cast("int").alias("b")).agg(F.sum("c").alias("c"), F.count("*").alias("types")).toArrow()
     totals, types = np.zeros(buckets + 1, np.int64), np.zeros(buckets + 1, np.int64)
     totals[in_bucket["b"].to_numpy()], types[in_bucket["b"].to_numpy()] = in_bucket["c"].to_numpy(), in_bucket["types"].to_numpy()
     top = counts.orderBy(F.desc("c"), "token").limit(FREQUENT).toArrow()
     order = np.argsort(tokens := top["token"].to_numpy().view(np.uint64))
-    model = baum_welch(training, totals, states, rounds)
+    model = baum_welch(coded.filter("train"), totals, states, rounds)
     context = docs.sparkSession.sparkContext
     shared = context.broadcast((model, np.log10(totals + types + 1.0), tokens[order], np.log10(top["c"].to_numpy()[order] + 1.0)))
 
@@ -194,7 +309,10 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, states: int
         place = np.minimum(np.searchsorted(table, found), max(0, len(table) - 1))
         return place, table[place] == found if len(table) else np.zeros(len(found), bool)
 
+    fields = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("logs", pa.float64()), ("hits", pa.int64()), ("states", pa.float64()), ("token", pa.int64()), ("n", pa.int64())])
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document, and rows with ``token`` for those of its tokens that are not in the table."""
         model, log_room, table, log_count = shared.value
         for ids, found, lengths in _groups(batches, 4 * GROUP_TOKENS):
             symbols = bucket_of(found, len(log_room) - 1)
@@ -202,19 +320,21 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, states: int
             owner = np.repeat(np.arange(len(ids)), lengths)
             sums = [np.bincount(owner[hit], log_count[place[hit]], len(ids)), np.bincount(owner[hit], minlength=len(ids)), np.bincount(owner, log_room[symbols], len(ids))]
             columns = [pa.array(ids, pa.int64()), pa.array(lengths), pa.array(sums[0]), pa.array(sums[1]), pa.array(model.log_likelihood(symbols, lengths) - sums[2])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "logs", "hits", "states"])
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, table, _ = shared.value
-        for ids, found, lengths in _groups(batches):
-            rare = ~known(found, table)[1]
-            owner = np.repeat(np.array(ids, np.int64), lengths)[rare]
-            pairs, many = np.unique(np.stack([owner, found[rare].view(np.int64)]), axis=1, return_counts=True) if rare.any() else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(many)], ["doc_id", "token", "n"])
-
-    scored = stored(unique.mapInArrow(score, "doc_id long, n_tokens long, logs double, hits long, states double"))
-    rare = unique.mapInArrow(others, "doc_id long, token long, n long").join(counts, "token")
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64())], schema=fields)
+            rare = found[~hit].view(np.int64)
+            owner, order = np.array(ids, np.int64)[owner[~hit]], np.lexsort((rare, owner[~hit]))
+            owner, rare = owner[order], rare[order]
+            fresh = np.flatnonzero((np.diff(rare, prepend=0) != 0) | (np.diff(owner, prepend=0) != 0) | (np.arange(len(rare)) == 0))
+            many = np.diff(np.append(fresh, len(rare)))
+            for at in range(0, len(fresh), 1 << 16):
+                some = slice(at, at + (1 << 16))
+                empty = [pa.nulls(len(fresh[some]), field.type) for field in list(fields)[1:5]]
+                yield pa.RecordBatch.from_arrays([pa.array(owner[fresh[some]]), *empty, pa.array(rare[fresh[some]]), pa.array(many[some])], schema=fields)
+
+    scored = stored(unique.mapInArrow(score, "doc_id long, n_tokens long, logs double, hits long, states double, token long, n long"))
+    rare = scored.filter("token IS NOT NULL").select("doc_id", "token", "n").join(counts, "token")
     rare = rare.groupBy("doc_id").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("rare_logs"), F.sum("n").alias("rare_hits"))
+    scored = scored.filter("token IS NULL").drop("token", "n")
     train_tokens, train_types = int(totals.sum()), int(types.sum())
     logs = F.col("logs") + F.coalesce("rare_logs", F.lit(0.0))
     return scored.join(rare, "doc_id", "left").select(
