@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from pagemill.session import ensure_checkpoint_dir
 
@@ -15,12 +16,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(table: DataFrame, stem: str) -> str:
+    """A column name that the table does not have: the stem behind as many underscores as needed."""
+    taken = {name.lower() for name in table.columns}
+    while stem.lower() in taken:
+        stem = f"_{stem}"
+    return stem
+
+
+def _has_order(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _has_order(kind.elementType)
+    if isinstance(kind, StructType):
+        return all(_has_order(field.dataType) for field in kind.fields)
+    return not isinstance(kind, (MapType, VariantType))
+
+
 def identified(table: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows with an id, one for each id.
 
     A row without id cannot be named in a result and is left out. Rows that
     repeat an id are one document: the row that sorts first by its other
-    columns, nulls last. Looking for repeats reads the id column only; without
+    columns, nulls last (maps and variants by their JSON text). Looking for repeats reads the id column only; without
     any, no row is moved.
     """
     present = table.filter(F.col(key).isNotNull())
@@ -29,9 +46,11 @@ def identified(table: DataFrame, key: str = "doc_id") -> DataFrame:
     others = [name for name in table.columns if name != key]
     if not others:
         return present.distinct()
-    ordered = F.struct(*[part for name in others for part in (F.col(name).isNull(), F.col(name))])
-    first = F.min_by(F.struct(*others), ordered).alias("_row")
-    return present.groupBy(key).agg(first).select(*[key if n == key else F.col(f"_row.{n}") for n in table.columns])
+    by_text = [name for name in others if not _has_order(table.schema[name].dataType)]
+    column = {name: F.to_json(F.struct(F.col(f"`{name}`"))) if name in by_text else F.col(f"`{name}`") for name in others}
+    ordered = F.struct(*[part for name in others for part in (F.col(f"`{name}`").isNull(), column[name])])
+    first, row = F.min_by(F.struct(*[F.col(f"`{name}`") for name in others]), ordered), free_name(table, "_row")
+    return present.groupBy(key).agg(first.alias(row)).select(*[key if n == key else F.col(f"{row}.`{n}`") for n in table.columns])
 
 
 def shared_path(spark: SparkSession) -> str:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import identified, stored
+from pagemill.llm.common import free_name, identified, stored
 
 DIVISOR = 3
 MULTIPLIER = 1_000_003
@@ -74,7 +74,10 @@ def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
 
 
 def drop_repeated_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
-    """All columns of the documents, ``text`` without repeated chunks, and ``_n_lines, _n_removed_lines, _n_removed_chunks``.
+    """All columns of the documents, ``text`` without repeated chunks, and three counts: lines, lines removed, chunks removed.
+
+    The counts come last, as ``_n_lines, _n_removed_lines, _n_removed_chunks``
+    or, where the documents have such a column, with more underscores.
 
     A chunk counts if at least two of its lines are not empty. The first of
     equal chunks stays; the remaining lines are joined by line feeds, nothing
@@ -84,7 +87,8 @@ def drop_repeated_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     """
     unique = identified(docs)
     texts = unique.select("doc_id", "text")
-    removed = repeated_chunks(texts, divisor).groupBy("doc_id").agg(F.array_sort(F.collect_list("place")).alias("_places"))
+    places_name, built_name, key = (free_name(unique, stem) for stem in ("_places", "_built", "_doc_id"))
+    removed = repeated_chunks(texts, divisor).groupBy("doc_id").agg(F.array_sort(F.collect_list("place")).alias(places_name)).withColumnRenamed("doc_id", key)
 
     def marks(places: Column) -> Column:
         """True at each removed place and false before it, so that a look-up takes one step."""
@@ -98,13 +102,13 @@ def drop_repeated_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
 
         return let(marks(places), with_marks)
 
-    places = F.coalesce("_places", F.array().cast("array<int>"))
-    joined = unique.join(removed, "doc_id", "left")
-    built = joined.withColumn("_built", let(line_chunks(F.col("text"), divisor), lambda chunks: rebuilt(chunks, places)))
-    text = F.when(F.col("text").isNotNull(), F.col("_built.text")).alias("text")
+    places = F.coalesce(places_name, F.array().cast("array<int>"))
+    joined = unique.join(removed, F.col("doc_id") == F.col(key), "left")
+    built = joined.withColumn(built_name, let(line_chunks(F.col("text"), divisor), lambda chunks: rebuilt(chunks, places)))
+    text = F.when(F.col("text").isNotNull(), F.col(f"{built_name}.text")).alias("text")
+    n_lines, n_kept = F.col(f"{built_name}.n_lines"), F.col(f"{built_name}.n_kept")
+    counts = {"_n_lines": n_lines, "_n_removed_lines": n_lines - n_kept, "_n_removed_chunks": F.size(places)}
     return built.select(
-        *[text if name == "text" else F.col(name) for name in docs.columns],
-        F.col("_built.n_lines").cast("long").alias("_n_lines"),
-        (F.col("_built.n_lines") - F.col("_built.n_kept")).cast("long").alias("_n_removed_lines"),
-        F.size(places).cast("long").alias("_n_removed_chunks"),
+        *[text if name == "text" else F.col(f"`{name}`") for name in docs.columns],
+        *[count.cast("long").alias(free_name(unique, name)) for name, count in counts.items()],
     )

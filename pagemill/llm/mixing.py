@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import identified, stored
+from pagemill.llm.common import free_name, identified, stored
 from pagemill.llm.line_dedup import let
 from pagemill.operators.scale import is_small, join_dimension, row_numbers
 
@@ -202,7 +202,7 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
 
     Rows without doc_id are left out, rows repeating one are one document.
     """
-    unique, copies = identified(docs), f"copies_{abs(hash(tuple(docs.columns)))}"
-    taken = mix(unique, **parameters).filter("copies > 0").select(F.col("doc_id").alias(f"{copies}_of"), F.col("copies").alias(copies))
-    repeated = unique.join(taken, F.col("doc_id") == F.col(f"{copies}_of")).withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
-    return repeated.select(*docs.columns)
+    unique, copies, key = identified(docs), free_name(docs, "_copies"), free_name(docs, "_doc_id")
+    taken = mix(unique, **parameters).filter("copies > 0").select(F.col("doc_id").alias(key), F.col("copies").alias(copies))
+    repeated = unique.join(taken, F.col("doc_id") == F.col(key)).withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
+    return repeated.select(*[F.col(f"`{name}`") for name in docs.columns])

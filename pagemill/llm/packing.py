@@ -43,6 +43,9 @@ class WordIds(dict):
         self.alphabet = {byte: chr(byte) for byte in printable} | {byte: chr(256 + k) for k, byte in enumerate(hidden)}
 
     def __missing__(self, word: bytes) -> bytes:
+        if word.isascii() and b"<|" not in word and word != (lower := word.lower()):  # others only after normalisation
+            value = self[word] = self[lower]
+            return value
         if word.isalpha():  # ASCII letters are one unit as they are
             ids = [unit.id for unit in self.units(word.lower().decode())]
         elif word[-1:] in (b".", b",") and word[:-1].isalpha():
@@ -58,8 +61,6 @@ class WordIds(dict):
         return value
 
     def encode(self, text: bytes) -> bytes:
-        if b"<|" not in text:  # special tokens are case-sensitive
-            text = text.lower()
         ids = b"".join(map(self.__getitem__, text.split()))
         if len(self) > CACHED_WORDS:
             self.clear()

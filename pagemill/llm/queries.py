@@ -52,14 +52,14 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    scored = classify(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
     toxic = F.col("_chain.toxic") >= THRESHOLD
     return scored.select("doc_id", F.col("_chain.quality").alias("quality_score"), F.col("_chain.toxic").alias("toxic_score"), toxic.alias("toxic"), (~toxic).alias("kept"))
 
 
 @query
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = drop_repeated_chunks(read_table(spark, sf_dir, "documents"))
+    kept = drop_repeated_chunks(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed_lines").alias("n_removed_lines"), F.col("_n_removed_chunks").alias("n_removed_chunks"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))
 
 

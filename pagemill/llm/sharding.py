@@ -7,7 +7,7 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import identified, stored
+from pagemill.llm.common import free_name, identified, stored
 
 SHARD_BYTES = 16 << 20
 HASH_BITS = 60
@@ -77,6 +77,10 @@ def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES) -> None:
-    """Write the documents as Parquet, a folder ``_shard=b<bits>`` with one file for each shard."""
-    placed = identified(docs).join(assign_shards(docs, limit).select("doc_id", F.concat(F.lit("b"), "shard").alias("_shard")), "doc_id")
-    placed.repartition("_shard").write.partitionBy("_shard").parquet(path)
+    """Write the documents as Parquet, a folder ``_shard=b<bits>`` with one file for each shard.
+
+    Where the documents have a column ``_shard``, the folders' name gets more underscores.
+    """
+    name = free_name(docs, "_shard")
+    placed = identified(docs).join(assign_shards(docs, limit).select("doc_id", F.concat(F.lit("b"), "shard").alias(name)), "doc_id")
+    placed.repartition(name).write.partitionBy(name).parquet(path)

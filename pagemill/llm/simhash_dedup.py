@@ -184,4 +184,4 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, ma
     unique = identified(docs)
     groups = simhash_groups(unique, shingle_words, max_bits)
     kept = groups.filter("doc_id = component_id").select("doc_id")
-    return unique.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return unique.join(kept, "doc_id", "left_semi").select(*[F.col(f"`{name}`") for name in docs.columns])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import discard, identified, stored
+from pagemill.llm.common import discard, free_name, identified, stored
 from pagemill.llm.hashing import mixed, prefix_sums
 
 WINDOW = 100
@@ -196,9 +196,13 @@ def _without(whole_characters: bool) -> Callable[..., Column]:
     return cut
 
 
-def _cut(unique: DataFrame, window: int, digit: int, whole_characters: bool) -> DataFrame:
-    cuts = repeated_spans(unique.select("doc_id", "text"), window, digit).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("_cuts"))
-    return unique.join(cuts, "doc_id", "left").withColumn("_cut", _without(whole_characters)(F.col("text").cast("binary"), "_cuts"))
+def _cut(unique: DataFrame, window: int, digit: int, whole_characters: bool) -> tuple[DataFrame, str]:
+    """The documents with one more column, the cut text, and that column's name."""
+    cuts_name, cut_name, key = (free_name(unique, stem) for stem in ("_cuts", "_cut", "_doc_id"))
+    spans = repeated_spans(unique.select("doc_id", "text"), window, digit)
+    cuts = spans.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start", "stop")).alias(cuts_name))
+    joined = unique.join(cuts, F.col("doc_id") == F.col(key), "left")
+    return joined.withColumn(cut_name, _without(whole_characters)(F.col("text").cast("binary"), cuts_name)), cut_name
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, digit: int = FIRST_DIGIT) -> DataFrame:
@@ -211,7 +215,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digit: int = FIRST_DIG
     are left out, rows repeating one are one document, other columns are
     ignored, an empty table gives no rows.
     """
-    return _cut(identified(docs.select("doc_id", "text")), window, digit, whole_characters=False).select("doc_id", "_cut.*")
+    cut, name = _cut(identified(docs.select("doc_id", "text")), window, digit, whole_characters=False)
+    return cut.select("doc_id", f"{name}.*")
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, digit: int = FIRST_DIGIT) -> DataFrame:
@@ -219,5 +224,6 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, digit: int = FIRST_DIGIT
 
     As ``remove_repeats``; a character that a cut goes through is dropped, a null text stays null.
     """
-    text = F.when(F.col("text").isNotNull(), F.col("_cut.kept").cast("string")).alias("text")
-    return _cut(identified(docs), window, digit, whole_characters=True).select(*[text if name == "text" else F.col(name) for name in docs.columns])
+    cut, cut_name = _cut(identified(docs), window, digit, whole_characters=True)
+    text = F.when(F.col("text").isNotNull(), F.col(f"{cut_name}.kept").cast("string")).alias("text")
+    return cut.select(*[text if name == "text" else F.col(f"`{name}`") for name in docs.columns])

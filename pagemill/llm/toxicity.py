@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import identified, stored
+from pagemill.llm.common import free_name, identified, stored
 
 CATEGORIES = ("quality", "toxic")
 TRAIN_ROWS = 20_000
@@ -178,17 +178,20 @@ def probabilities(chain: Chain, text: Column) -> Column:
     return score(text.cast("binary"))
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and ``_chain``, the probabilities; ``_chain.toxic`` decides.
+def classify(docs: DataFrame, labels: DataFrame, name: str = "_chain") -> DataFrame:
+    """All columns of ``docs`` and, under ``name``, the probabilities, of which ``toxic`` decides.
+
+    The documents must not have a column of that name (``free_name``).
 
     Every document is scored on its whole text; a null or empty text has no
     features. Rows without doc_id are left out, rows repeating one are one
     document, an empty table gives no rows.
     """
     unique = identified(docs)
-    return unique.withColumn("_chain", probabilities(train(unique, labels), F.col("text")))
+    return unique.withColumn(name, probabilities(train(unique, labels), F.col("text")))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose probability of being toxic is below the threshold, all columns kept."""
-    return classify(docs, labels).filter(F.col("_chain.toxic") < threshold).drop("_chain")
+    name = free_name(docs, "_chain")
+    return classify(docs, labels, name).filter(F.col(f"{name}.toxic") < threshold).drop(name)
