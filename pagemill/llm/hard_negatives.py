@@ -151,7 +151,8 @@ def _positives(blocks: DataFrame, anchors: Anchors, middling: float, most: int)
     """Anchor number, positive's id and score: the ``most`` best rows of the same label for each anchor of the batch."""
     context, open_ones, found = blocks.sparkSession.sparkContext, np.arange(len(anchors.ids)), []
     for level in POSITIVE_LEVELS:
-        shared = context.broadcast((anchors, open_ones, level * middling * anchors.norms))
+        least = level * middling * anchors.norms if np.isfinite(level) else np.full(len(anchors.ids), level)
+        shared = context.broadcast((anchors, open_ones, least))
 
         def search(label: int, ids: np.ndarray, rows: np.ndarray, shared=shared) -> Iterator[tuple]:
             anchors, wanted, least = shared.value
