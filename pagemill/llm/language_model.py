@@ -21,6 +21,7 @@ FREQUENT = 1 << 18
 FOLDS, HELD_OUT = 7, 2
 GROUP_TOKENS = 1 << 18
 SEED = 20
+SPLIT_BYTES = 1 << 21
 
 END = np.uint64(0x656E64)  # the end of a text as a token
 _PRIOR = 20.0
@@ -41,13 +42,16 @@ def _groups(batches: Iterator[pa.RecordBatch], size: int = GROUP_TOKENS) -> Iter
     ids, parts, lengths = [], [], []
     for batch in batches:
         some, texts = (column.to_pylist() for column in batch.columns)
-        tokens, counts = _tokens([text or b"" for text in texts])
-        ids += some
-        parts.append(tokens)
-        lengths.append(counts)
-        if sum(map(len, parts)) >= size:
-            yield ids, np.concatenate(parts), np.concatenate(lengths)
-            ids, parts, lengths = [], [], []
+        ends = np.cumsum([len(text or b"") for text in texts])
+        cuts = [0, *(np.flatnonzero(np.diff(ends // SPLIT_BYTES)) + 1).tolist(), len(texts)]  # long texts are split in few at a time
+        for at, stop in zip(cuts, cuts[1:], strict=False):
+            tokens, counts = _tokens([text or b"" for text in texts[at:stop]])
+            ids += some[at:stop]
+            parts.append(tokens)
+            lengths.append(counts)
+            if sum(map(len, parts)) >= size:
+                yield ids, np.concatenate(parts), np.concatenate(lengths)
+                ids, parts, lengths = [], [], []
     if ids:
         yield ids, np.concatenate(parts), np.concatenate(lengths)
 
@@ -192,39 +196,32 @@ class Model:
         return starts, moves, emitted
 
 
-def tokenised(texts: DataFrame, buckets: int) -> DataFrame:
-    """One pass over ``doc_id, text, train``: the bucket of every token of a text, and how often tokens occur.
+def count_tokens(texts: DataFrame) -> DataFrame:
+    """``token, c``: how often each token, known by its 64-bit hash, stands in the texts."""
 
-    Rows with ``doc_id`` hold a text's ``symbols`` (little-endian), those with
-    ``token`` a count from some training texts of a task.
-    """
-    kind = "<u2" if buckets < 1 << 16 else "<u4"
-    fields = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("symbols", pa.binary()), ("token", pa.int64()), ("n", pa.int64())])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, tokens, _ in _groups(batches, 8 * GROUP_TOKENS):
+            values, counts = np.unique(tokens, return_counts=True)
+            for at in range(0, len(values), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(values[at : at + (1 << 16)].view(np.int64)), pa.array(counts[at : at + (1 << 16)])], ["token", "n"])
+
+    return texts.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("c"))
+
+
+def coded_texts(texts: DataFrame, buckets: int) -> DataFrame:
+    """``symbols``: the bucket of every token of a text, little-endian, for passes that come back to all texts."""
+    kind = _symbol_kind(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, room = [], 0
+        for _, tokens, lengths in _groups(batches):
+            codes, ends = bucket_of(tokens, buckets).astype(kind).tobytes(), np.cumsum(lengths) * np.dtype(kind).itemsize
+            yield pa.RecordBatch.from_arrays([pa.array([codes[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())], ["symbols"])
 
-        def counted() -> Iterator[pa.RecordBatch]:
-            values, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
-            held.clear()
-            for at in range(0, len(values), 1 << 16):
-                some = [pa.array(values[at : at + (1 << 16)].view(np.int64)), pa.array(counts[at : at + (1 << 16)])]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(some[0]), field.type) for field in list(fields)[:3]] + some, schema=fields)
+    return stored(texts.mapInArrow(run, "symbols binary"))
 
-        for batch in batches:
-            ids, texts, train = (column.to_pylist() for column in batch.columns)
-            tokens, counts = _tokens([text or b"" for text in texts])
-            codes, ends = bucket_of(tokens, buckets).astype(kind).tobytes(), np.cumsum(counts) * np.dtype(kind).itemsize
-            symbols = [codes[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(train), pa.array(symbols, pa.binary()), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64())], schema=fields)
-            held.append(tokens[np.repeat(np.array(train, bool), counts)])
-            room += len(held[-1])
-            if room >= 8 * GROUP_TOKENS:
-                yield from counted()
-                room = 0
-        yield from counted()
 
-    return stored(texts.select("doc_id", "text", "train").mapInArrow(run, "doc_id long, train boolean, symbols binary, token long, n long"))
+def _symbol_kind(buckets: int) -> str:
+    return "<u2" if buckets < 1 << 16 else "<u4"
 
 
 def _coded_groups(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -234,7 +231,7 @@ def _coded_groups(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tupl
         for value in batch.column("symbols").to_pylist():
             parts.append(np.frombuffer(value, kind))
             size += len(parts[-1])
-            if size >= GROUP_TOKENS:
+            if size >= 2 * GROUP_TOKENS:
                 yield np.concatenate(parts).astype(np.int64), np.array([len(part) for part in parts])
                 parts, size = [], 0
     if parts:
@@ -242,7 +239,7 @@ def _coded_groups(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tupl
 
 
 def baum_welch(coded: DataFrame, totals: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    """Train on all whole texts, as ``symbols`` by ``tokenised``; expected counts are summed over the partitions each round.
+    """Train on all whole texts, as ``coded_texts`` gives them; expected counts are summed over the partitions each round.
 
     ``totals`` has how often each bucket occurs. The model (``states`` times
     buckets) is all that reaches the driver. States start from the bucket
@@ -254,7 +251,7 @@ def baum_welch(coded: DataFrame, totals: np.ndarray, states: int = STATES, round
     move = np.full((states, states), 0.1 / max(1, states - 1))
     np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
     model = Model(np.full(states, 1 / states), move, emit / emit.sum(axis=1, keepdims=True))
-    context, kind = coded.sparkSession.sparkContext, "<u2" if size <= 1 << 16 else "<u4"
+    context, kind = coded.sparkSession.sparkContext, _symbol_kind(size - 1)
     for _ in range(rounds):
         shared = context.broadcast(model)
 
@@ -283,9 +280,9 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, states: int
     the known words and one unknown word per bucket; ``score`` is the exact
     log10 probability of the whole text, ``base_score`` that of add-one word
     frequencies. Frequencies of the ``FREQUENT`` commonest tokens are
-    broadcast; all others meet their frequency in a join. Texts are split twice,
-    to count and code them and to score them; training reads the codes. A
-    ``held_out`` of null counts as false.
+    broadcast; all others meet their frequency in a join. Training
+    codes each text once and reads the codes in every round. A ``held_out`` of
+    null counts as false.
 
     A null or empty text is its end alone. Rows without doc_id are left out, rows
     repeating one are one document, other columns are ignored, an empty table
@@ -293,15 +290,15 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, states: int
     """
     held_out = is_held_out(F.col("doc_id")) if held_out is None else held_out
     unique = identified(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("text", F.col("text").cast("binary"))
-    coded = tokenised(unique.withColumn("train", ~F.coalesce(held_out, F.lit(False))), buckets)
-    counts = stored(coded.filter("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("c")))
+    training = unique.filter(~F.coalesce(held_out, F.lit(False))).select("doc_id", "text")
+    counts = stored(count_tokens(training))
     bucket = F.when(F.col("token") == int(END), buckets).otherwise(F.col("token").bitwiseAND(buckets - 1))
     in_bucket = counts.groupBy(bucket.cast("int").alias("b")).agg(F.sum("c").alias("c"), F.count("*").alias("types")).toArrow()
     totals, types = np.zeros(buckets + 1, np.int64), np.zeros(buckets + 1, np.int64)
     totals[in_bucket["b"].to_numpy()], types[in_bucket["b"].to_numpy()] = in_bucket["c"].to_numpy(), in_bucket["types"].to_numpy()
     top = counts.orderBy(F.desc("c"), "token").limit(FREQUENT).toArrow()
     order = np.argsort(tokens := top["token"].to_numpy().view(np.uint64))
-    model = baum_welch(coded.filter("train"), totals, states, rounds)
+    model = baum_welch(coded_texts(training, buckets), totals, states, rounds)
     context = docs.sparkSession.sparkContext
     shared = context.broadcast((model, np.log10(totals + types + 1.0), tokens[order], np.log10(top["c"].to_numpy()[order] + 1.0)))
 
@@ -309,10 +306,7 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, states: int
         place = np.minimum(np.searchsorted(table, found), max(0, len(table) - 1))
         return place, table[place] == found if len(table) else np.zeros(len(found), bool)
 
-    fields = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("logs", pa.float64()), ("hits", pa.int64()), ("states", pa.float64()), ("token", pa.int64()), ("n", pa.int64())])
-
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each document, and rows with ``token`` for those of its tokens that are not in the table."""
         model, log_room, table, log_count = shared.value
         for ids, found, lengths in _groups(batches, 4 * GROUP_TOKENS):
             symbols = bucket_of(found, len(log_room) - 1)
@@ -320,21 +314,22 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, states: int
             owner = np.repeat(np.arange(len(ids)), lengths)
             sums = [np.bincount(owner[hit], log_count[place[hit]], len(ids)), np.bincount(owner[hit], minlength=len(ids)), np.bincount(owner, log_room[symbols], len(ids))]
             columns = [pa.array(ids, pa.int64()), pa.array(lengths), pa.array(sums[0]), pa.array(sums[1]), pa.array(model.log_likelihood(symbols, lengths) - sums[2])]
-            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64())], schema=fields)
-            rare = found[~hit].view(np.int64)
-            owner, order = np.array(ids, np.int64)[owner[~hit]], np.lexsort((rare, owner[~hit]))
-            owner, rare = owner[order], rare[order]
-            fresh = np.flatnonzero((np.diff(rare, prepend=0) != 0) | (np.diff(owner, prepend=0) != 0) | (np.arange(len(rare)) == 0))
-            many = np.diff(np.append(fresh, len(rare)))
-            for at in range(0, len(fresh), 1 << 16):
-                some = slice(at, at + (1 << 16))
-                empty = [pa.nulls(len(fresh[some]), field.type) for field in list(fields)[1:5]]
-                yield pa.RecordBatch.from_arrays([pa.array(owner[fresh[some]]), *empty, pa.array(rare[fresh[some]]), pa.array(many[some])], schema=fields)
-
-    scored = stored(unique.mapInArrow(score, "doc_id long, n_tokens long, logs double, hits long, states double, token long, n long"))
-    rare = scored.filter("token IS NOT NULL").select("doc_id", "token", "n").join(counts, "token")
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "logs", "hits", "states"])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, _, table, _ = shared.value
+        for ids, found, lengths in _groups(batches):
+            rare = ~known(found, table)[1]
+            owner = np.repeat(np.arange(len(ids)), lengths)[rare]
+            order = np.lexsort((found[rare], owner))
+            owner, token = owner[order], found[rare][order].view(np.int64)
+            fresh = np.flatnonzero((np.diff(token, prepend=0) != 0) | (np.diff(owner, prepend=-1) != 0))
+            many = np.diff(np.append(fresh, len(token)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[owner[fresh]]), pa.array(token[fresh]), pa.array(many)], ["doc_id", "token", "n"])
+
+    scored = stored(unique.mapInArrow(score, "doc_id long, n_tokens long, logs double, hits long, states double"))
+    rare = unique.mapInArrow(others, "doc_id long, token long, n long").join(counts, "token")
     rare = rare.groupBy("doc_id").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("rare_logs"), F.sum("n").alias("rare_hits"))
-    scored = scored.filter("token IS NULL").drop("token", "n")
     train_tokens, train_types = int(totals.sum()), int(types.sum())
     logs = F.col("logs") + F.coalesce("rare_logs", F.lit(0.0))
     return scored.join(rare, "doc_id", "left").select(

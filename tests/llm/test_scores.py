@@ -129,3 +129,33 @@ def test_toxicity_on_unseen_documents(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, bad in found.items() if not bad}
     assert classify(docs.limit(0), table).count() == 0
     assert drop_toxic(docs, table.limit(0)).count() == 603
+
+
+def plain_baum_welch(model, symbols):
+    """log10 likelihood and expected starts, moves and emissions of one sequence, a step at a time."""
+    forward, scales = [], []
+    for step, symbol in enumerate(symbols):
+        state = (forward[-1] @ model.move if step else model.start) * model.emit[:, symbol]
+        scales.append(state.sum())
+        forward.append(state / scales[-1])
+    moves, emitted, after = np.zeros_like(model.move), np.zeros_like(model.emit), np.ones(len(model.start))
+    for step in range(len(symbols) - 1, -1, -1):
+        share = forward[step] * after
+        emitted[:, symbols[step]] += share
+        weighted = model.emit[:, symbols[step]] * after / scales[step]
+        if step:
+            moves += model.move * np.outer(forward[step - 1], weighted)
+            after = model.move @ weighted
+    return np.log10(scales).sum(), share, moves, emitted
+
+
+def test_segments_lose_nothing():
+    rng = np.random.default_rng(9)
+    part = lambda *shape: (lambda x: x / x.sum(axis=-1, keepdims=True))(rng.random(shape))
+    model = Model(part(4), part(4, 4), part(4, 11))
+    lengths = np.array([1, 7, 255, 256, 257, 1000, 2, 512, 513])
+    symbols = rng.integers(0, 11, lengths.sum())
+    one_by_one = [plain_baum_welch(model, part) for part in np.split(symbols, np.cumsum(lengths)[:-1])]
+    np.testing.assert_allclose(model.log_likelihood(symbols, lengths), [found[0] for found in one_by_one])
+    for got, want in zip(model.expected_counts(symbols, lengths), zip(*[found[1:] for found in one_by_one], strict=True), strict=True):
+        np.testing.assert_allclose(got, sum(want), rtol=1e-9)
