@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import public_tokenizers
+import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
@@ -21,75 +22,61 @@ GIANT_BYTES = 1 << 16
 CHUNK = 1 << 14
 FAN_IN = 64
 CACHED_UNITS = 500_000
-UNKNOWN_PENALTY = 10
+CACHED_PAIRS = 500_000
 
 SPACE = "▁"
 _NEVER = -np.inf
 _UNIT = re.compile("\n| *[^ \n]+| +")
 
+State = tuple[int, int]  # characters before a boundary and behind it
+
 
 class Pieces(dict):
-    """Pieces and scores of a model, and the best segmentation of each unit met so far.
+    """A byte-pair model with byte fallback, and the ids of each unit met so far.
 
     Every boundary between units is a token boundary: no piece holds a line
-    feed, or a space mark after another character (checked when loading). The
-    best segmentation of a text is that of its units one after another.
+    feed, or a space mark after another character (checked when loading). Merges
+    never reach over units, so the ids of a text are those of its units.
+
+    A sequence of pieces is the model's encoding of their text if and only if
+    each neighbouring two are, of theirs: merges that kept every two of them
+    apart never join across a border. So the encoding of a long text is the one
+    path of pieces in which all neighbours fit, and whether pieces at the ends
+    of a chunk lie on it is seen from the chunk alone.
     """
 
     def __init__(self, path: str):
         super().__init__()
         model = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as file:
-            model.ParseFromString(file.read())
-        self.number = {p.piece: k for k, p in enumerate(model.pieces) if p.type in (p.NORMAL, p.USER_DEFINED)}
-        if any("\n" in piece or SPACE in piece.lstrip(SPACE) for piece in self.number):
+            raw = file.read()
+        model.ParseFromString(raw)
+        if model.trainer_spec.model_type != model.trainer_spec.BPE or model.normalizer_spec.name != "identity" or model.normalizer_spec.remove_extra_whitespaces:
+            raise ValueError("a byte-pair model without normalisation is needed")
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=raw)
+        self.number = {p.piece.replace(SPACE, " "): k for k, p in enumerate(model.pieces) if p.type in (p.NORMAL, p.USER_DEFINED)}
+        if any("\n" in piece or " " in piece.lstrip(" ") for piece in self.number):
             raise ValueError("pieces may not reach over units")
-        self.scores = np.array([p.score for p in model.pieces])
-        self.unknown = float(min(self.scores[list(self.number.values())]) - UNKNOWN_PENALTY)
         self.byte = {int(p.piece[1:-1], 16): k for k, p in enumerate(model.pieces) if p.type == p.BYTE}
+        self.byte_ids = frozenset(self.byte.values())
+        self.scores = np.array([p.score for p in model.pieces])
         self.text = [p.piece.replace(SPACE, " ").encode() for p in model.pieces]
         for byte, k in self.byte.items():
             self.text[k] = bytes([byte])
-            self.scores[k] = 0.0 if 0x80 <= byte < 0xC0 else self.unknown  # an unknown character counts once, at its first byte
         self.longest = max(map(len, self.number))
-        self.piece_score = {piece: float(self.scores[k]) for piece, k in self.number.items()}
-        self.steps = {piece[:size]: _NEVER for piece in self.number for size in range(1, len(piece))} | self.piece_score
-        self.code = {piece: k.to_bytes(4, "little") for piece, k in self.number.items()}
-
-    def best(self, marked: str, start: int = 0, stop: int | None = None) -> list[str]:
-        """The best pieces from ``start`` to ``stop``; of equal ones, the path whose last differing piece is longest."""
-        stop = len(marked) if stop is None else stop
-        value, back, step = [0.0] + [_NEVER] * (stop - start), [0] * (stop - start + 1), self.steps.get
-        for begin in range(start, stop):
-            base = value[begin - start]
-            score = step(marked[begin])
-            if score is None or score == _NEVER:
-                score = self.unknown
-            for end in range(begin + 1, stop + 1):
-                if base + score > value[end - start]:
-                    value[end - start], back[end - start] = base + score, begin
-                score = step(marked[begin : end + 1])
-                if score is None:
-                    break
-        parts = []
-        while stop > start:
-            parts.append(marked[back[stop - start] : stop])
-            stop = back[stop - start]
-        return parts[::-1]
-
-    def ids(self, parts: list[str]) -> bytes:
-        found = []
-        for part in parts:
-            known = self.code.get(part)
-            found += [known] if known is not None else [self.byte[byte].to_bytes(4, "little") for byte in part.encode()]
-        return b"".join(found)
+        self.opening = self.library.encode("\n")  # the dummy prefix and a line feed
+        self.pairs: dict[tuple[str, str], bool] = {}
+
+    def raw(self, text: str) -> list[int]:
+        """The ids of a part of a text, without a dummy prefix."""
+        return self.library.encode("\n" + text)[len(self.opening) :] if text else []
 
     def __missing__(self, unit: str) -> bytes:
-        found = self[unit] = self.ids(self.best(unit.replace(" ", SPACE)))
+        found = self[unit] = np.array(self.raw(unit), "<u4").tobytes()
         return found
 
     def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids; ``text`` begins with the dummy prefix and has spaces unmarked."""
+        """Little-endian 32-bit ids of a text or a part of one, cut where units begin or pieces end."""
         found = b"".join(map(self.__getitem__, _UNIT.findall(text)))
         if len(self) > CACHED_UNITS:
             self.clear()
@@ -102,52 +89,104 @@ class Pieces(dict):
         """The text of some ids, the dummy prefix's space included."""
         return b"".join(map(self.text.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
-    def transfer(self, text: str, ahead: str) -> np.ndarray:
-        """Max-plus matrix of a chunk: best score from entry state i to exit state j.
+    def own(self, piece: str) -> list[int]:
+        """The ids of a piece, or the bytes of a character that is none."""
+        known = self.number.get(piece)
+        return [known] if known is not None else [self.byte[byte] for byte in piece.encode()]
+
+    def fit(self, left: str, right: str) -> bool:
+        """Whether the two pieces stay apart when encoded together."""
+        known = self.pairs.get((left, right))
+        if known is None:
+            if len(self.pairs) > CACHED_PAIRS:
+                self.pairs.clear()
+            known = self.pairs[left, right] = self.raw(left + right) == self.own(left) + self.own(right)
+        return known
+
+    def _end_piece(self, text: str, ids: list[int], place: int) -> str:
+        """The first (0) or last (-1) piece of some ids, as text."""
+        return text[place] if ids[place] in self.byte_ids else self.text[ids[place]].decode()
+
+    def states(self, before: str, behind: str) -> list[State]:
+        """The pieces that may end at a boundary or lie across it, from up to ``longest`` characters on each side."""
+        found = []
+        for left in range(1, min(len(before), self.longest) + 1):
+            for right in range(min(len(behind), self.longest - left) + 1):
+                piece = before[len(before) - left :] + behind[:right]
+                if (piece in self.number or (left == 1 and not right)) and self.raw(piece) == self.own(piece):
+                    found.append((left, right))
+        return found
+
+    def transfer(self, text: str, before: str, ahead: str) -> np.ndarray:
+        """Max-plus matrix of a chunk: score of the path from each entry to each exit state, never where there is none.
 
-        A state is how many characters of the next chunk the piece across the
-        boundary takes. ``ahead`` are the characters after the chunk that such a
-        piece may reach. Where the chunk has unit boundaries, all entries meet at
-        the first and part for the exits at the last.
+        A state is the piece at a boundary of chunks, as the ``states`` on its two
+        sides; the start and the end of a text are one state each. ``before``
+        and ``ahead`` are the characters around the chunk that such a piece may
+        reach. A path counts the pieces that begin in the chunk. Where the chunk
+        has boundaries of units, entries and exits meet there.
         """
-        size, width = len(text), self.longest
-        matrix = np.full((width, width), _NEVER)
-        for state in range(size, width):  # a piece that covers the whole chunk and more
-            matrix[state, state - size] = 0.0
-        cuts = [m.start() for m in _UNIT.finditer(text) if m.start() >= width and self._certain(text, m.start())]
-        marked, whole = text.replace(" ", SPACE), (text + ahead).replace(" ", SPACE)
+        size = len(text)
+        entries = self.states(before, text[: self.longest]) if before else [(0, 0)]
+        exits = self.states(text[-self.longest :], ahead) if ahead else [(0, 0)]
+        matrix = np.full((len(entries), len(exits)), _NEVER)
+        cuts = [m.start() for m in _UNIT.finditer(text) if m.start() >= self.longest and self._certain(text, m.start())]
+        cuts = [cut for cut in cuts if not ahead or cut <= size - self.longest]
+
+        def way(begin: int, stop: int) -> tuple[float, str, str]:
+            ids = self.raw(text[begin:stop])
+            if not ids:
+                return 0.0, "", ""
+            return float(self.scores[ids].sum()), self._end_piece(text[begin:stop], ids, 0), self._end_piece(text[begin:stop], ids, -1)
+
+        def entered(state: State) -> str:
+            return before[len(before) - state[0] :] + text[: state[1]] if state[0] else ""
+
+        def left(state: State) -> str:
+            return text[size - state[0] :] + ahead[: state[1]] if state[0] else ""
+
+        def goes(first: str, second: str) -> bool:
+            return not first or not second or self.fit(first, second)
+
         if cuts:
             first, last = cuts[0], cuts[-1]
-            head = self.spread(marked[:first], first, first)[:, first]
-            middle = sum(self.score(self[unit]) for unit in _UNIT.findall(text[first:last]))
-            tail = self.spread(whole[last:], len(marked) - last, len(whole) - last, starts=1)[0]
-            exits = tail[size - last :]
-            matrix[:, : len(exits)] = head[:, None] + middle + exits[None, :]
-        else:
-            spread = self.spread(whole, size, len(whole), starts=min(width, size))
-            matrix[: len(spread), : spread.shape[1] - size] = spread[:, size:]
+            heads = {right: way(right, first) for right in {state[1] for state in entries}}
+            tails = {many: way(last, size - many) for many in {state[0] for state in exits}}
+            head = np.array([heads[s[1]][0] if goes(entered(s), heads[s[1]][1]) else _NEVER for s in entries])
+            tail = np.array([tails[s[0]][0] + self._alone(left(s)) if goes(tails[s[0]][2], left(s)) else _NEVER for s in exits])
+            return head[:, None] + self.score(self.encode(text[first:last])) + tail[None, :]
+        ways: dict[tuple[int, int], tuple[float, str, str]] = {}
+        for i, entry in enumerate(entries):
+            for j, leave in enumerate(exits):
+                begin, stop = entry[1], size - leave[0]
+                if begin > stop:
+                    continue
+                if (begin, stop) not in ways:
+                    ways[begin, stop] = way(begin, stop)
+                score, opens, closes = ways[begin, stop]
+                fits = goes(entered(entry), opens) and goes(closes, left(leave)) if opens else goes(entered(entry), left(leave))
+                if fits:
+                    matrix[i, j] = score + self._alone(left(leave))
         return matrix
 
+    def _alone(self, piece: str) -> float:
+        return float(self.scores[self.own(piece)].sum()) if piece else 0.0
+
+    def trace(self, text: str, before: str, ahead: str, entry: int, leave: int) -> bytes:
+        """The ids that begin in a chunk, between its entry and its exit state."""
+        begin, stop, last = 0, len(text), ""
+        if before:
+            begin = self.states(before, text[: self.longest])[entry][1]
+        if ahead:
+            left, right = self.states(text[-self.longest :], ahead)[leave]
+            stop, last = len(text) - left, text[len(text) - left :] + ahead[:right]
+        return self.encode(text[begin:stop]) + np.array(self.own(last) if last else [], "<u4").tobytes()
+
     @staticmethod
     def _certain(text: str, place: int) -> bool:
         """Whether a unit that starts here does so whatever stands before the chunk."""
         return text[place] == "\n" or text[place - 1] == "\n" or (text[place] == " " and text[place - 1] != " ")
 
-    def spread(self, marked: str, inside: int, stop: int, starts: int | None = None) -> np.ndarray:
-        """Best scores [start, end]; pieces start before ``inside`` and end up to ``stop``."""
-        starts = self.longest if starts is None else starts
-        best = np.full((starts, stop + 1), _NEVER)
-        best[np.arange(min(starts, stop + 1)), np.arange(min(starts, stop + 1))] = 0.0
-        for begin in range(min(inside, stop)):
-            for end in range(begin + 1, stop + 1):
-                part = marked[begin:end]
-                score = self.piece_score.get(part, self.unknown if end == begin + 1 else None)
-                if score is not None:
-                    np.maximum(best[:, end], best[:, begin] + score, out=best[:, end])
-                if part not in self.steps:
-                    break
-        return best
-
 
 @cache
 def pieces(path: str) -> Pieces:
@@ -171,11 +210,17 @@ def best_states(matrices: list[np.ndarray], entry: int, leave: int) -> list[int]
     return [*states, leave]
 
 
-def _matrix(values: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(values, "<f8").reshape(width, width)
+def packed(matrix: np.ndarray) -> bytes:
+    """A matrix behind its number of rows."""
+    return np.array([len(matrix)], "<f8").tobytes() + matrix.astype("<f8").tobytes()
+
+
+def _matrix(values: bytes) -> np.ndarray:
+    numbers = np.frombuffer(values, "<f8")
+    return numbers[1:].reshape(int(numbers[0]), -1)
 
 
-def boundary_states(nodes: DataFrame, width: int) -> DataFrame:
+def boundary_states(nodes: DataFrame) -> DataFrame:
     """``doc_id, k, entry, leave`` for the chunks k of each document, from their matrices ``m``.
 
     Up: products of ``FAN_IN`` neighbours until a document has at most that many
@@ -188,14 +233,14 @@ def boundary_states(nodes: DataFrame, width: int) -> DataFrame:
         def multiply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             product = None
             for values in rows.sort_values("k")["m"]:
-                product = _matrix(values, width) if product is None else times(product, _matrix(values, width))
-            return pd.DataFrame({"doc_id": [key[0]], "k": [key[1]], "m": [product.astype("<f8").tobytes()]})
+                product = _matrix(values) if product is None else times(product, _matrix(values))
+            return pd.DataFrame({"doc_id": [key[0]], "k": [key[1]], "m": [packed(product)]})
 
         levels.append(stored(levels[-1].groupBy("doc_id", F.floor(F.col("k") / FAN_IN).alias("g")).applyInPandas(multiply, "doc_id long, k long, m binary")))
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("k")
-        states = best_states([_matrix(values, width) for values in rows["m"]], int(rows["entry"].iloc[0]), int(rows["leave"].iloc[0]))
+        states = best_states([_matrix(values) for values in rows["m"]], int(rows["entry"].iloc[0]), int(rows["leave"].iloc[0]))
         return pd.DataFrame({"doc_id": rows["doc_id"], "k": rows["k"], "entry": states[:-1], "leave": states[1:]})
 
     known = levels[-1].select("doc_id", F.lit(0).cast("long").alias("g"), F.lit(0).alias("entry"), F.lit(0).alias("leave")).distinct()
@@ -210,7 +255,7 @@ def _encode_short(texts: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces(model)
         for batch in batches:
-            found = [table.encode(" " + text) if text else b"" for text in batch.column("text").to_pylist()]
+            found = [table.encode(" " + text.replace(SPACE, " ")) if text else b"" for text in batch.column("text").to_pylist()]
             scores = pa.array([table.score(ids) for ids in found], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary()), scores, pa.array([1] * len(found), pa.int32())], ["doc_id", "ids", "score", "n_chunks"])
 
@@ -219,68 +264,55 @@ def _encode_short(texts: DataFrame, model: str) -> DataFrame:
 
 def _encode_giant(texts: DataFrame, model: str, chunk: int) -> DataFrame:
     width = pieces(model).longest
-    if chunk < width:
-        raise ValueError("a chunk must hold the longest piece")
+    if chunk < 2 * width:
+        raise ValueError("a chunk must hold two of the longest piece")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, text in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                text = " " + text
-                starts = list(range(0, len(text), chunk))
-                parts = [text[at : at + chunk] for at in starts]
-                ahead = [text[at + chunk : at + chunk + width - 1] for at in starts]
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([doc_id] * len(starts), list(range(len(starts))), parts, ahead), kinds, strict=True)], ["doc_id", "k", "text", "ahead"])
+                text = " " + text.replace(SPACE, " ")
+                for number, at in enumerate(range(0, len(text), chunk)):
+                    row = doc_id, number, text[at : at + chunk], text[max(0, at - width) : at], text[at + chunk : at + chunk + width]
+                    yield pa.RecordBatch.from_arrays([pa.array([value], field.type) for value, field in zip(row, fields, strict=True)], schema=fields)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces(model)
         for batch in batches:
-            matrices = [table.transfer(text, ahead).astype("<f8").tobytes() for text, ahead in zip(batch.column("text").to_pylist(), batch.column("ahead").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(matrices, pa.binary())], ["doc_id", "k", "text", "ahead", "m"])
+            matrices = [packed(table.transfer(*around)) for around in zip(*(batch.column(name).to_pylist() for name in ("text", "before", "ahead")), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(matrices, pa.binary())], schema=fields.append(pa.field("m", pa.binary())))
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces(model)
         for batch in batches:
-            found = []
-            for text, ahead, entry, leave in zip(*(batch.column(name).to_pylist() for name in ("text", "ahead", "entry", "leave")), strict=True):
-                found.append(table.ids(_between(table, text, ahead, entry, leave)))
+            found = [table.trace(*given) for given in zip(*(batch.column(name).to_pylist() for name in ("text", "before", "ahead", "entry", "leave")), strict=True)]
             scores = pa.array([table.score(ids) for ids in found], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k"), pa.array(found, pa.binary()), scores], ["doc_id", "k", "ids", "score"])
 
-    chunks = texts.mapInArrow(cut, "doc_id long, k long, text string, ahead string").repartition("doc_id", "k")
-    measured = stored(chunks.mapInArrow(measure, "doc_id long, k long, text string, ahead string, m binary"))
-    states = boundary_states(measured.select("doc_id", "k", "m"), width)
-    traced = measured.drop("m").join(states, ["doc_id", "k"]).mapInArrow(trace, "doc_id long, k long, ids binary, score double")
+    fields = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("text", pa.string()), ("before", pa.string()), ("ahead", pa.string())])
+    kinds = "doc_id long, k long, text string, before string, ahead string"
+    # Chunks are few and dear: a stated number of partitions is not merged, however small they are.
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = texts.mapInArrow(cut, kinds).repartition(tasks, "doc_id", "k")
+    measured = stored(chunks.mapInArrow(measure, f"{kinds}, m binary"))
+    states = boundary_states(measured.select("doc_id", "k", "m"))
+    traced = measured.drop("m").join(states, ["doc_id", "k"]).repartition(tasks, "doc_id", "k").mapInArrow(trace, "doc_id long, k long, ids binary, score double")
     inside = F.array_sort(F.collect_list(F.struct("k", F.hex("ids").alias("ids"))))
     return traced.groupBy("doc_id").agg(
         F.unhex(F.array_join(F.transform(inside, lambda p: p["ids"]), "")).alias("ids"), F.sum("score").alias("score"), F.count("*").cast("int").alias("n_chunks")
     )
 
 
-def _between(table: Pieces, text: str, ahead: str, entry: int, leave: int) -> list[str]:
-    """Pieces of a chunk from its entry to its exit state; none if an earlier piece covers it all."""
-    size = len(text)
-    if entry >= size:
-        return []
-    marked = (text + ahead).replace(" ", SPACE)
-    if not leave:
-        return table.best(marked, entry, size)
-    # The last piece starts inside and ends at the exit.
-    spread = table.spread(marked[entry:], size - entry, size - entry + leave, starts=1)[0]
-    options = [b for b in range(max(entry, size + leave - table.longest), size) if marked[b : size + leave] in table.piece_score]
-    begin = max(options, key=lambda b: (spread[b - entry] + table.piece_score[marked[b : size + leave]], -b))
-    return [*table.best(marked, entry, begin), marked[begin : size + leave]]
-
-
 def encode(docs: DataFrame, model: str = MODEL, giant_bytes: int = GIANT_BYTES, chunk: int = CHUNK) -> DataFrame:
-    """``doc_id, ids, score, n_chunks``: the segmentation of each whole text with the highest sum of piece scores.
+    """``doc_id, ids, score, n_chunks``: the ids that the model itself gives each whole text, and their sum of piece scores.
 
     Spaces become marks behind a dummy prefix, nothing else is normalised; a
-    character without a piece becomes its bytes. Texts over ``giant_bytes`` are
+    character without a piece becomes its bytes. The encoding is the one path of
+    pieces whose neighbours all fit, the best in the max-plus sense for being
+    the only one that is not ruled out. Texts over ``giant_bytes`` are
     cut into chunks of ``chunk`` characters that any task may take: their
-    transfer matrices are combined as a scan, then each chunk is traced back on
-    its own. The scores are whole numbers, so sums are exact and do not depend
-    on the cuts; among equally good segmentations a cut may choose another.
+    transfer matrices between the pieces at their ends are combined as a scan,
+    then each chunk is traced back on its own. There being one path, the ids do
+    not depend on the cuts.
 
     A null or empty text has no ids. Rows without doc_id are left out, rows
     repeating one are one document, other columns are ignored, an empty table

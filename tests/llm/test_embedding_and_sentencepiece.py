@@ -1,7 +1,6 @@
 import numpy as np
 import pytest
 import sentencepiece
-from sentencepiece import sentencepiece_model_pb2
 
 from pagemill.llm.embedding_dedup import audit_recall, near_duplicates, range_search, robust_prune
 from pagemill.llm.sentencepiece_codec import MODEL, SPACE, best_states, decode, encode, pieces, times
@@ -64,54 +63,59 @@ def test_no_vectors(spark):
     assert near_duplicates(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).count() == 0
 
 
-def plain_score(table, text):
-    marked = (" " + text).replace(" ", SPACE)
-    best = [0.0]
-    for end in range(1, len(marked) + 1):
-        options = [best[end - 1] + table.piece_score.get(marked[end - 1], table.unknown)]
-        options += [best[b] + table.piece_score[marked[b:end]] for b in range(max(0, end - table.longest), end) if marked[b:end] in table.piece_score]
-        best.append(max(options))
-    return best[-1] if text else 0.0
+LIBRARY = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+LETTERS = ["a", "b", "e", " ", "  ", "\n", "the", "ing", "tion", "日", "é", "▁", "0", "  \n", "x", "J\u030c", "<s>", "\x00"]
 
 
-def test_words_score_as_in_the_library():
-    model = sentencepiece_model_pb2.ModelProto()
-    with open(MODEL, "rb") as file:
-        model.ParseFromString(file.read())
-    model.trainer_spec.model_type = model.trainer_spec.UNIGRAM
-    library, table = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString()), pieces(MODEL)
-    for word in ("hello", "tokenization", "straße", "zzyzx", "日本", "unbelievably"):
-        ids = table.encode(" " + word)
-        assert table.score(ids) == table.scores[library.encode(word)].sum()
-        assert library.decode(np.frombuffer(ids, "<u4").tolist()) == word
+def some_text(rng):
+    return "".join(rng.choice(LETTERS[: int(rng.integers(1, len(LETTERS) + 1))], int(rng.integers(1, 300))))
 
 
-def test_scan_is_associative():
-    table = pieces(MODEL)
-    text = " " + "tion" * 9 + "ing 日 the" * 5
-    parts = [text[k : k + 16] for k in range(0, len(text), 16)]
-    matrices = [table.transfer(part, text[16 * k + 16 : 16 * k + 31]) for k, part in enumerate(parts)]
-    left = right = None
-    for matrix in matrices:
-        left = matrix if left is None else times(left, matrix)
-    for matrix in reversed(matrices):
-        right = matrix if right is None else times(matrix, right)
-    assert left[0, 0] == right[0, 0] == plain_score(table, text[1:])
+def in_chunks(table, text, size):
+    text = " " + text.replace(SPACE, " ")
+    parts = [(text[k : k + size], text[max(0, k - table.longest) : k], text[k + size : k + size + table.longest]) for k in range(0, len(text), size)]
+    matrices = [table.transfer(*part) for part in parts]
     states = best_states(matrices, 0, 0)
-    assert sum(m[i, j] for m, i, j in zip(matrices, states, states[1:], strict=False)) == left[0, 0]
-
-
-@pytest.mark.parametrize("chunk", [16, 50])
+    ids = b"".join(table.trace(*part, i, j) for part, i, j in zip(parts, states, states[1:], strict=False))
+    return matrices, sum(m[i, j] for m, i, j in zip(matrices, states, states[1:], strict=False)), np.frombuffer(ids, "<u4").tolist()
+
+
+def test_ids_are_the_librarys(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    found = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in encode(docs, giant_bytes=3000, chunk=700).collect()}
+    assert {k: ids for k, ids in found.items() if ids != LIBRARY.encode(texts[k] or "")} == {}
+
+
+def test_chunks_give_the_librarys_ids():
+    table, rng = pieces(MODEL), np.random.default_rng(3)
+    texts = [some_text(rng) for _ in range(150)] + ["a" * 2000, "日本" * 300, " " * 500, "tionab" * 200]
+    for text in texts:
+        ids = LIBRARY.encode(text)
+        matrices, score, found = in_chunks(table, text, int(rng.integers(2 * table.longest, 120)))
+        assert found == ids and abs(score - table.scores[ids].sum()) < 1e-6
+        # The scan may combine neighbours in any order.
+        left = right = None
+        for matrix in matrices:
+            left = matrix if left is None else times(left, matrix)
+        for matrix in reversed(matrices):
+            right = matrix if right is None else times(matrix, right)
+        assert left.shape == (1, 1) and abs(left[0, 0] - score) < 1e-6 and abs(right[0, 0] - score) < 1e-6
+
+
+@pytest.mark.parametrize("chunk", [32, 50])
 def test_giant_texts_equal_whole_ones(spark, monkeypatch, chunk):
     monkeypatch.setattr("pagemill.llm.sentencepiece_codec.FAN_IN", 4)  # several levels
     docs = spark.createDataFrame([*ODD, (None, "gone"), (3, " ")], "doc_id long, text string").selectExpr("*", "1 AS k", "'m' AS m", "2 AS ids")
     table = pieces(MODEL)
     coded = encode(docs, giant_bytes=20, chunk=chunk)
-    rows = {r.doc_id: r for r in coded.select("doc_id", "score", "n_chunks", decode(coded.ids).alias("text")).collect()}
+    rows = {r.doc_id: r for r in coded.select("doc_id", "ids", "score", "n_chunks", decode(coded.ids).alias("text")).collect()}
     assert set(rows) == {k for k, _ in ODD}
     for k, text in ODD:
-        assert rows[k].text == (text or "") and rows[k].score == plain_score(table, text or ""), k
-    assert rows[6].n_chunks > 16
+        ids = LIBRARY.encode(text or "")
+        assert np.frombuffer(rows[k].ids, "<u4").tolist() == ids, k
+        assert rows[k].text == (text or "") and abs(rows[k].score - table.scores[ids].sum()) < 1e-6
+    assert rows[6].n_chunks > 8
 
 
 def test_no_documents(spark):
