@@ -23,6 +23,14 @@ def test_word_ids_equal_the_tokenizer(text):
     assert [*ids, 0] == whole_ids(text)
 
 
+def test_letters_and_marks_equal_the_tokenizer():
+    marks = [chr(code) for code in range(0x300, 0x370)]
+    text = " ".join(f"{letter}{mark} x{letter}{mark}y" for letter in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" for mark in marks)
+    words, tokenizer = word_ids(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    for word in text.split():
+        assert np.frombuffer(words[word.encode()], "<u4").tolist() == tokenizer.encode(word, add_special_tokens=False).ids, ascii(word)
+
+
 def test_knapsack_equals_brute_force():
     prices = np.array([-np.inf, 1.0, -np.inf, 4.5, 5.0, -np.inf, -np.inf, -np.inf])
     best = [0.0]
