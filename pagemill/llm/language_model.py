@@ -16,7 +16,7 @@ from pagemill.llm.hashing import word_hashes
 STATES = 8
 BUCKETS = 1 << 13
 ROUNDS = 6
-SEGMENT = 256
+SEGMENT = 512
 FREQUENT = 1 << 18
 FOLDS, HELD_OUT = 7, 2
 GROUP_TOKENS = 1 << 18
@@ -72,6 +72,13 @@ class Segments:
         self.lengths = np.minimum(size, lengths[self.of] - self.number * size)
         self.alone = (count == 1)[self.of]
 
+    def longest_first(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Order of the chosen segments by falling length, their starts, and at each step how many still have a token."""
+        lengths = self.lengths[chosen]
+        order = np.argsort(-lengths, kind="stable")
+        active = np.searchsorted(-lengths[order], -np.arange(int(lengths.max(initial=0))), side="left")
+        return order, self.starts[chosen][order], active.tolist()
+
     def waves(self, chosen: np.ndarray) -> list[np.ndarray]:
         """Places in ``chosen`` of all first segments, all second ones, and so on."""
         order = np.argsort(self.number[chosen], kind="stable")
@@ -91,10 +98,11 @@ class Model:
         parts = Segments(lengths)
         result = np.zeros(len(lengths))
         whole = parts.of[parts.alone]
-        result[whole] = self._forward(symbols, parts, parts.alone, np.tile(self.start, (len(whole), 1)))[0]
+        emit = np.ascontiguousarray(self.emit.T)
+        result[whole] = self._scales(symbols, parts, np.flatnonzero(parts.alone), emit)
         long = np.flatnonzero(~parts.alone)
         if len(long):
-            products, logs = self._products(symbols, parts, long)
+            products, logs = self._products(symbols, parts, long, emit)
             state = np.tile(self.start, (len(lengths), 1))
             for part in parts.waves(long):
                 owner = parts.of[long[part]]
@@ -104,40 +112,32 @@ class Model:
                 result[owner] += np.log10(scale) + logs[part]
         return result
 
-    def _forward(self, symbols: np.ndarray, parts: Segments, chosen: np.ndarray, enter: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of the scales of each chosen segment, and the longest first order; ``keep`` takes states and scales of each step."""
-        lengths = parts.lengths[chosen]
-        order = np.argsort(-lengths, kind="stable")
-        first = parts.starts[chosen][order]
-        active = np.searchsorted(-lengths[order], -np.arange(int(lengths.max(initial=0))), side="left")
-        total, emit, state = np.zeros(len(lengths)), np.ascontiguousarray(self.emit.T), enter[order]
-        for step, n in enumerate(active.tolist()):
+    def _scales(self, symbols: np.ndarray, parts: Segments, chosen: np.ndarray, emit: np.ndarray) -> np.ndarray:
+        """log10 likelihood of sequences of one segment."""
+        order, first, active = parts.longest_first(chosen)
+        total, state = np.zeros(len(order)), np.tile(self.start, (len(order), 1))
+        for step, n in enumerate(active):
             ahead = state[:n] if step == 0 else state[:n] @ self.move
             state = ahead * emit[symbols[first[:n] + step]]
             scale = state.sum(axis=1)
             state /= scale[:, None]
             total[:n] += np.log10(scale)
-            if keep is not None:
-                keep.append((n, state, scale[:, None]))
-        result = np.empty(len(lengths))
+        result = np.empty(len(order))
         result[order] = total
-        return result, order
+        return result
 
-    def _products(self, symbols: np.ndarray, parts: Segments, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _products(self, symbols: np.ndarray, parts: Segments, chosen: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What each chosen segment does to the states before it: a matrix scaled to a largest entry of one, and log10 of the scale.
 
         A first segment begins with its emission, a later one with a move.
         """
-        states = len(self.start)
-        lengths = parts.lengths[chosen]
-        order = np.argsort(-lengths, kind="stable")
-        first = parts.starts[chosen][order]
-        active = np.searchsorted(-lengths[order], -np.arange(int(lengths.max(initial=0))), side="left")
-        emit, result, logs = np.ascontiguousarray(self.emit.T), np.empty((len(lengths), states, states)), np.zeros(len(lengths))
-        state = np.where((parts.number[chosen][order] == 0)[:, None, None], np.eye(states), self.move)
-        for step, n in enumerate(active.tolist()):
+        states, move = len(self.start), self.move.astype(emit.dtype)
+        order, first, active = parts.longest_first(chosen)
+        result, logs = np.empty((len(order), states, states), emit.dtype), np.zeros(len(order))
+        state = np.where((parts.number[chosen][order] == 0)[:, None, None], np.eye(states, dtype=emit.dtype), move)
+        for step, n in enumerate(active):
             result[n : len(state)] = state[n:]
-            ahead = state[:n] if step == 0 else (state[:n].reshape(-1, states) @ self.move).reshape(-1, states, states)
+            ahead = state[:n] if step == 0 else (state[:n].reshape(-1, states) @ move).reshape(-1, states, states)
             state = ahead * emit[symbols[first[:n] + step]][:, None, :]
             if step % 8 == 7 or step == len(active) - 1:
                 scale = state.max(axis=(1, 2))
@@ -156,42 +156,53 @@ class Model:
         backward message that leaves it, so nothing is lost at the borders.
         """
         states, parts = len(self.start), Segments(lengths)
-        enter, leave = np.tile(self.start, (len(parts.lengths), 1)), np.ones((len(parts.lengths), states))
-        before = np.zeros((len(parts.lengths), states))  # the forward message at the end of the segment before
+        # Only the proportions between states count here: single precision holds them when the best state has 1.
+        emit = np.ascontiguousarray((self.emit / self.emit.max(axis=0)).T.astype(np.float32))
+        move, start = self.move.astype(np.float32), self.start.astype(np.float32)
+        enter, leave = np.tile(start, (len(parts.lengths), 1)), np.ones((len(parts.lengths), states), np.float32)
+        before = np.zeros((len(parts.lengths), states), np.float32)  # the forward message at the end of the segment before
         long = np.flatnonzero(~parts.alone)
         if len(long):
-            products, _ = self._products(symbols, parts, long)
-            waves, state = parts.waves(long), np.tile(self.start, (len(lengths), 1))
+            products, _ = self._products(symbols, parts, long, emit)
+            waves, state = parts.waves(long), np.tile(start, (len(lengths), 1))
             for part in waves:
                 owner = parts.of[long[part]]
                 if parts.number[long[part[0]]]:
                     before[long[part]] = state[owner]
-                    enter[long[part]] = state[owner] @ self.move
+                    enter[long[part]] = state[owner] @ move
                 ahead = np.einsum("ni,nij->nj", state[owner], products[part])
                 state[owner] = ahead / ahead.sum(axis=1, keepdims=True)
             for part in reversed(waves[1:]):
                 after = np.einsum("nij,nj->ni", products[part], leave[long[part]])
                 leave[long[part] - 1] = after / (before[long[part]] * after).sum(axis=1, keepdims=True)
-        kept: list = []
-        _, order = self._forward(symbols, parts, np.arange(len(parts.lengths)), enter, kept)
-        first, leaving = parts.starts[order], leave[order]
-        emit = np.ascontiguousarray(self.emit.T)
-        moves, shares, back = np.zeros_like(self.move), np.empty((len(symbols), states)), np.zeros((0, states))
+        order, first, active = parts.longest_first(np.arange(len(parts.lengths)))
+        kept, ahead = [], enter[order]
+        for step, n in enumerate(active):
+            if step:
+                ahead = state[:n] @ move
+            given = emit[symbols[first[:n] + step]]
+            state = ahead * given
+            scale = state.sum(axis=1, keepdims=True)
+            state /= scale
+            kept.append((state, given, scale))
+        leaving = leave[order]
+        moves, shares, back = np.zeros((states, states)), np.empty((len(symbols), states), np.float32), leaving[:0]
         for step in range(len(kept) - 1, -1, -1):
-            n, state, scale = kept[step]
-            after = np.concatenate([back, leaving[len(back) : n]])
+            state, given, scale = kept.pop()
+            n = len(state)
+            after = back if n == len(back) else np.concatenate([back, leaving[len(back) : n]])
             share = state * after
-            share /= share.sum(axis=1, keepdims=True)
-            places = first[:n] + step
-            shares[places] = share
-            weighted = emit[symbols[places]] * after / scale
+            shares[first[:n] + step] = share
+            weighted = given * after
+            weighted /= scale
             if step:
-                moves += self.move * (kept[step - 1][1][:n].T @ weighted)
-                back = weighted @ self.move.T
+                moves += self.move * (kept[-1][0][:n].T @ weighted)
+                back = weighted @ move.T
             else:
                 opening = parts.number[order] == 0
-                starts = share[opening].sum(axis=0)
+                starts = share[opening].sum(axis=0, dtype=float)
                 moves += self.move * (before[order][~opening].T @ weighted[~opening])
+        shares /= shares.sum(axis=1, keepdims=True)
         emitted = np.stack([np.bincount(symbols, shares[:, k], self.emit.shape[1]) for k in range(states)])
         return starts, moves, emitted
 
@@ -271,6 +282,29 @@ def baum_welch(coded: DataFrame, totals: np.ndarray, states: int = STATES, round
     return model
 
 
+class Lookup:
+    """Places of hashes in a sorted table, by their first bits and then a step or two."""
+
+    def __init__(self, table: np.ndarray):
+        self.bits = np.uint64(64 - max(1, int(4 * len(table)).bit_length()))
+        self.table = np.append(table, np.uint64(0))
+        self.first = np.searchsorted(table, np.arange(1 << (64 - int(self.bits)), dtype=np.uint64) << self.bits).astype(np.int32)
+        self.first = np.append(self.first, np.int32(len(table)))
+
+    def __call__(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each hash, and whether it is there."""
+        slot = (found >> self.bits).astype(np.int64)
+        place, end = self.first[slot], self.first[slot + 1]
+        hit = (self.table[place] == found) & (place < end)
+        open_ones = np.flatnonzero(~hit & (place + 1 < end))
+        while len(open_ones):
+            place[open_ones] += 1
+            same = self.table[place[open_ones]] == found[open_ones]
+            hit[open_ones] = same
+            open_ones = open_ones[~same & (place[open_ones] + 1 < end[open_ones])]
+        return place, hit
+
+
 def score_documents(docs: DataFrame, held_out: Column | None = None, states: int = STATES, buckets: int = BUCKETS, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, train_types, base_score, score``.
 
@@ -302,34 +336,25 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, states: int
     context = docs.sparkSession.sparkContext
     shared = context.broadcast((model, np.log10(totals + types + 1.0), tokens[order], np.log10(top["c"].to_numpy()[order] + 1.0)))
 
-    def known(found: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        place = np.minimum(np.searchsorted(table, found), max(0, len(table) - 1))
-        return place, table[place] == found if len(table) else np.zeros(len(found), bool)
+    fields = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("logs", pa.float64()), ("hits", pa.int64()), ("states", pa.float64()), ("rare", pa.list_(pa.int64()))])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, log_room, table, log_count = shared.value
+        find = Lookup(table)
         for ids, found, lengths in _groups(batches, 4 * GROUP_TOKENS):
             symbols = bucket_of(found, len(log_room) - 1)
-            place, hit = known(found, table)
+            place, hit = find(found)
             owner = np.repeat(np.arange(len(ids)), lengths)
-            sums = [np.bincount(owner[hit], log_count[place[hit]], len(ids)), np.bincount(owner[hit], minlength=len(ids)), np.bincount(owner, log_room[symbols], len(ids))]
-            columns = [pa.array(ids, pa.int64()), pa.array(lengths), pa.array(sums[0]), pa.array(sums[1]), pa.array(model.log_likelihood(symbols, lengths) - sums[2])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "logs", "hits", "states"])
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, table, _ = shared.value
-        for ids, found, lengths in _groups(batches):
-            rare = ~known(found, table)[1]
-            owner = np.repeat(np.arange(len(ids)), lengths)[rare]
-            order = np.lexsort((found[rare], owner))
-            owner, token = owner[order], found[rare][order].view(np.int64)
-            fresh = np.flatnonzero((np.diff(token, prepend=0) != 0) | (np.diff(owner, prepend=-1) != 0))
-            many = np.diff(np.append(fresh, len(token)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[owner[fresh]]), pa.array(token[fresh]), pa.array(many)], ["doc_id", "token", "n"])
-
-    scored = stored(unique.mapInArrow(score, "doc_id long, n_tokens long, logs double, hits long, states double"))
-    rare = unique.mapInArrow(others, "doc_id long, token long, n long").join(counts, "token")
-    rare = rare.groupBy("doc_id").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("rare_logs"), F.sum("n").alias("rare_hits"))
+            logs = np.zeros(len(found))
+            logs[hit] = log_count[place[hit]]
+            logs, hits = np.bincount(owner, logs, len(ids)), np.bincount(owner, hit, len(ids)).astype(np.int64)
+            states = model.log_likelihood(symbols, lengths) - np.bincount(owner, log_room[symbols], len(ids))
+            rare = pa.ListArray.from_arrays(pa.array(np.cumsum(np.append(0, lengths - hits)), pa.int32()), pa.array(found[~hit].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lengths), pa.array(logs), pa.array(hits), pa.array(states), rare], schema=fields)
+
+    scored = stored(unique.mapInArrow(score, "doc_id long, n_tokens long, logs double, hits long, states double, rare array<long>"))
+    rare = scored.select("doc_id", F.explode("rare").alias("token")).join(counts, "token")
+    rare = rare.groupBy("doc_id").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("rare_logs"), F.count("*").alias("rare_hits"))
     train_tokens, train_types = int(totals.sum()), int(types.sum())
     logs = F.col("logs") + F.coalesce("rare_logs", F.lit(0.0))
     return scored.join(rare, "doc_id", "left").select(

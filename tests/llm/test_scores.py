@@ -153,9 +153,9 @@ def test_segments_lose_nothing():
     rng = np.random.default_rng(9)
     part = lambda *shape: (lambda x: x / x.sum(axis=-1, keepdims=True))(rng.random(shape))
     model = Model(part(4), part(4, 4), part(4, 11))
-    lengths = np.array([1, 7, 255, 256, 257, 1000, 2, 512, 513])
+    lengths = np.array([1, 7, 511, 512, 513, 2000, 2, 1024, 1025])
     symbols = rng.integers(0, 11, lengths.sum())
     one_by_one = [plain_baum_welch(model, part) for part in np.split(symbols, np.cumsum(lengths)[:-1])]
     np.testing.assert_allclose(model.log_likelihood(symbols, lengths), [found[0] for found in one_by_one])
     for got, want in zip(model.expected_counts(symbols, lengths), zip(*[found[1:] for found in one_by_one], strict=True), strict=True):
-        np.testing.assert_allclose(got, sum(want), rtol=1e-9)
+        np.testing.assert_allclose(got, sum(want), rtol=1e-4)  # single precision
