@@ -1,19 +1,20 @@
 """Crawl frontier: bounded breadth-first search over the link graph of many jobs.
 
 Per-page work is done for the whole corpus beforehand; only narrow edge rows
-take part here. Each level is one join on ``(job_id, url)``. Visit order is a
-distributed running total, so a job with most of the pages is no single task.
+take part here. Edges, answers and visits lie in buckets by address, so a level
+moves its own frontier and nothing else. Visit order is a distributed running
+total, so a job with most of the pages is no single task.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import is_same_domain, matches_regexes, normalize_url
-from pagemill.operators.scale import durable, is_small, join_dimension, join_hot, running_totals
+from pagemill.operators.scale import Buckets, durable, is_small, join_dimension, join_hot, running_totals
+
+LINKS_PER_PART = 4096
 
 OK, BAD_DOMAIN, BAD_PATTERN = "ok", "domain", "pattern"
 
@@ -53,6 +54,46 @@ def _admission() -> Column:
     )
 
 
+def edge_buckets(edges: DataFrame) -> Buckets:
+    """The edges, dealt once by source and part.
+
+    ``part`` numbers the links of a source in slices of ``LINKS_PER_PART`` by
+    their position: a page with a million links is many sources that each any
+    task may take.
+    """
+    parted = edges.withColumn("part", F.floor(F.col("pos") / LINKS_PER_PART).cast("int"))
+    return Buckets(edges.sparkSession, ["job_id", "src", "part"]).append(parted)
+
+
+def answer_buckets(fetched: DataFrame, edges: DataFrame) -> Buckets:
+    """The responses, dealt once by address, each with the number of its parts in ``edge_buckets``."""
+    parts = edges.groupBy("job_id", F.col("src").alias("url")).agg((F.max("part") + 1).alias("parts"))
+    return Buckets(fetched.sparkSession, ["job_id", "url"]).append(fetched.join(parts, ["job_id", "url"], "left").na.fill(0, ["parts"]))
+
+
+def linked_from(level: DataFrame, graph: DataFrame) -> DataFrame:
+    """``job_id, url, entry``: the targets of a level's pages, each with its first place in the queue.
+
+    The pages go to the edges, one row for each part; no edge is moved before it
+    is known to be needed.
+    """
+    sources = level.filter("is_page AND parts > 0").select(
+        "job_id", F.col("url").alias("src"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("visit_order").alias("src_order")
+    )
+    return (
+        graph.join(sources, ["job_id", "src", "part"])
+        .groupBy("job_id", F.col("dst").alias("url"))
+        .agg(F.min(F.struct("src_order", "pos", "from_url")).alias("entry"))
+    )
+
+
+def fresh_answers(queue: DataFrame, visited: DataFrame | None, answers: DataFrame) -> DataFrame:
+    """The queue without visited addresses, with the responses; only the queue is moved."""
+    if visited is not None:
+        queue = queue.join(visited.select("job_id", "url"), ["job_id", "url"], "left_anti")
+    return queue.join(answers, ["job_id", "url"], "left")
+
+
 def crawl_frontier(edges: DataFrame, jobs: DataFrame, fetched: DataFrame) -> DataFrame:
     """Every visited URL with depth, parent, visit order and page rank.
 
@@ -60,16 +101,16 @@ def crawl_frontier(edges: DataFrame, jobs: DataFrame, fetched: DataFrame) -> Dat
     normalized_url)``; jobs as from ``prepare_jobs``. A visit is a page if it was
     admitted and has a response; visits end with the page that fills ``max_pages``.
     """
+    spark = edges.sparkSession
     limits = durable(jobs.select("job_id", "domains", "include_regexes", "exclude_regexes", "max_pages", "max_depth"))
     small = is_small(limits)
 
     def with_limits(rows: DataFrame) -> DataFrame:
         return join_dimension(rows, limits, ["job_id"], ["url"], small=small)
 
-    # The edges are shuffled once, here; every level then moves only its frontier.
-    # Written once, they also survive lost executors and keep the levels' plans short.
-    graph = durable(edges.repartition("job_id", "src"))
-    answers = durable(fetched.repartition("job_id", "url"))
+    graph = edge_buckets(edges)
+    answers = answer_buckets(fetched, graph.read())
+    visits = Buckets(spark, ["job_id", "url"])
     deepest = limits.agg(F.max("max_depth")).first()[0]
     if deepest is None:
         deepest = -1
@@ -82,24 +123,16 @@ def crawl_frontier(edges: DataFrame, jobs: DataFrame, fetched: DataFrame) -> Dat
             F.lit(None).cast("string").alias("from_url"),
         ).alias("entry"),
     )
-    admission = _admission()
-    levels: list[DataFrame] = []
-    for depth in range(deepest + 1):
-        fresh = queue
-        if levels:
-            seen = reduce(DataFrame.unionByName, levels)
-            fresh = queue.join(seen.select("job_id", "url"), ["job_id", "url"], "left_anti")
-            so_far = seen.groupBy("job_id").agg(
-                F.max("visit_order").alias("_visits"), F.max("page_rank").alias("_pages")
-            )
+    admission, level = _admission(), None
+    for depth in range(max(0, deepest) + 1):
+        fresh = fresh_answers(queue, None if level is None else visits.read(), answers.read())
         judged = (
             with_limits(fresh)
             .filter(F.col("max_depth") >= depth)
             .withColumn("admission", admission)
-            .join(answers, ["job_id", "url"], "left")
             .withColumn("is_page", (F.col("admission") == OK) & F.col("page_id").isNotNull())
             .select(
-                "job_id", "url", "entry.*", "admission", "is_page", "max_pages",
+                "job_id", "url", "entry.*", "admission", "is_page", "max_pages", "parts",
                 F.when(F.col("is_page"), F.col("page_id")).alias("page_id"),
                 F.when(F.col("is_page"), F.col("normalized_url")).alias("normalized_url"),
             )
@@ -110,27 +143,25 @@ def crawl_frontier(edges: DataFrame, jobs: DataFrame, fetched: DataFrame) -> Dat
             ["src_order", "pos", "url"],
             {"visit_order": F.lit(1).cast("bigint"), "page_rank": F.col("is_page").cast("bigint")},
         )
-        if levels:
+        if level is not None:
+            # A job that goes on had visits at the level before.
+            so_far = level.groupBy("job_id").agg(F.max("visit_order").alias("_visits"), F.max("page_rank").alias("_pages"))
             totals = ("visit_order", "_visits"), ("page_rank", "_pages")
             ranked = join_dimension(ranked, so_far, ["job_id"], ["url"], small=small)
             ranked = ranked.withColumns({name: F.col(name) + F.col(base) for name, base in totals})
-        level = durable(
+        visits.append(
             ranked.filter(F.col("page_rank") - F.col("is_page").cast("bigint") < F.col("max_pages")).select(
                 "job_id", "url", F.lit(depth).alias("depth"), F.col("from_url").alias("discovered_from"),
-                "src_order", "pos", "visit_order", "admission", "is_page", "page_rank", "page_id", "normalized_url",
+                "src_order", "pos", "visit_order", "admission", "is_page", "page_rank", "page_id", "normalized_url", "parts",
             )
         )
-        levels.append(level)
+        level = visits.read().filter(F.col("depth") == depth)
         if level.isEmpty():
             break
-        queue = (
-            level.filter("is_page")
-            .select("job_id", F.col("url").alias("src"), F.col("visit_order").alias("src_order"))
-            .join(graph, ["job_id", "src"])
-            .groupBy("job_id", F.col("dst").alias("url"))
-            .agg(F.min(F.struct("src_order", "pos", "from_url")).alias("entry"))
-        )
-    return reduce(DataFrame.unionByName, levels)
+        queue = linked_from(level, graph.read())
+    graph.closed()
+    answers.closed()
+    return visits.closed().drop("parts")
 
 
 def queue_entries(visits: DataFrame, edges: DataFrame, jobs: DataFrame) -> DataFrame:

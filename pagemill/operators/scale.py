@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.session import ensure_checkpoint_dir
@@ -100,6 +101,36 @@ def join_hot(
     return spread_left.join(copied_right, [*keys, "_salt"], how).drop("_salt")
 
 
+class Buckets:
+    """A table in the shared folder, dealt by its keys once: joins on them move the other side only.
+
+    A checkpoint forgets how its rows are dealt, a bucketed table does not. There
+    are as many buckets as shuffle partitions, so that a grouping by the same keys
+    meets a bucket as it is. Rows can be appended; each append adds a file to
+    every bucket. Reads go through the session's catalog until ``closed``, which
+    gives the rows as plain Parquet and takes the name out of the catalog.
+    """
+
+    def __init__(self, spark: SparkSession, keys: Sequence[str]):
+        self.spark, self.keys = spark, list(keys)
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"buckets_{uuid.uuid4().hex}"
+        self.path = f"{ensure_checkpoint_dir(spark)}/{self.name}"
+
+    def append(self, rows: DataFrame) -> Buckets:
+        dealt = rows.repartition(self.buckets, *self.keys)  # one file for each bucket
+        dealt.write.format("parquet").mode("append").bucketBy(self.buckets, *self.keys).option("path", self.path).saveAsTable(self.name)
+        return self
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def closed(self) -> DataFrame:
+        schema = self.read().schema
+        self.spark.sql(f"DROP TABLE {self.name}")  # the files stay, the table being an external one
+        return self.spark.read.schema(schema).parquet(self.path)
+
+
 def durable(table: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint that outlives executors."""
     ensure_checkpoint_dir(table.sparkSession)

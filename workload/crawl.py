@@ -1,9 +1,13 @@
 """Crawl frontier and sitemaps over sites built from the pages.
 
-Page ``k`` is node ``i = k div 4`` of site ``k mod 4``. Nodes form a binary tree
-(children 2i+1 and 2i+2), so breadth-first order is the order of ``i`` and every
-expected number has a closed form. Each page also links to its home page, to
-itself, to a foreign host and to a blocked path.
+Page ``k`` is node ``i = k div 4`` of site ``k mod 4``. The ``n`` nodes of a site
+form a tree (children b*i+1 to b*i+b), so breadth-first order is the order of
+``i`` and every expected number has a closed form. The fan-out ``b`` grows with the
+site: it is the least with which five levels below the start hold all nodes, so
+every page of sites 0 and 3 is visited at any size; on site 2 it is one less, so
+that the depth limit cuts the last nodes off, and site 1 stops at half its
+pages. Each page also links to its home page, to itself, to a foreign host and
+to a blocked path.
 """
 
 from __future__ import annotations
@@ -23,7 +27,8 @@ from workload import corpus
 from workload.corpus import with_pages
 from workload.registry import query
 
-MAX_DEPTH, FEW_PAGES, MANY_PAGES = 5, 20, 100_000
+MAX_DEPTH, MANY_PAGES = 5, 2_000_000_000
+_HELD = "1 + {0} + {0} * {0} + {0} * {0} * {0} + {0} * {0} * {0} * {0} + {0} * {0} * {0} * {0} * {0} >= n"  # within MAX_DEPTH
 _SITE = "concat('https://site', page_id % 4, '.example')"
 
 
@@ -32,9 +37,8 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = corpus.pages(spark, sf_dir).selectExpr(
         "page_id", "concat('site', page_id % 4) AS job_id", f"{_SITE} AS site", "page_id div 4 AS i", "html"
     )
-    sizes = base.groupBy("job_id").agg(F.count("*").alias("n"))
-    rows = base.join(sizes, "job_id")
-    leaf = "2 * i + 1 >= n"
+    rows = base.join(F.broadcast(site_sizes(spark, sf_dir)), "job_id")  # four rows
+    leaf = "b * i + 1 >= n"
     return rows.selectExpr(
         "job_id",
         "page_id",
@@ -46,20 +50,27 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "true AS is_html",
         f"CASE WHEN {leaf} AND page_id % 19 = 0 THEN 'TimeoutException' END AS error_type",
         f"CASE WHEN {leaf} AND page_id % 19 = 0 THEN 'timed out' END AS error_message",
-        "filter(array(CASE WHEN 2 * i + 1 < n THEN concat(site, '/p/', 2 * i + 1) END, CASE WHEN 2 * i + 2 < n THEN concat(site, '/p/', 2 * i + 2) END,"
-        " concat(site, '/p/0'), concat(site, '/p/', i), 'https://out.example/x', concat(site, '/blocked/', i)), x -> x IS NOT NULL) AS internal_links",
+        "concat(transform(filter(transform(sequence(1, b), c -> b * i + c), c -> c < n), c -> concat(site, '/p/', c)),"
+        " array(concat(site, '/p/0'), concat(site, '/p/', i), 'https://out.example/x', concat(site, '/blocked/', i))) AS internal_links",
         "array(concat(site, '/logo.pdf'), concat(site, '/f/', i, '.PDF'), concat(site, '/i/', i, '.gif')) AS asset_links",
     )
 
 
+def site_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``job_id, j, n, b``: pages and fan-out of the four sites."""
+    sizes = corpus.pages(spark, sf_dir).groupBy(F.expr("page_id % 4 AS j")).agg(F.count("*").alias("n"))
+    least = f"array_min(filter(sequence(2L, 2L + cast(ceil(pow(n, 0.2)) AS bigint)), b -> {_HELD.format('b')}))"
+    return sizes.selectExpr("concat('site', j) AS job_id", "j", "n", f"greatest(2L, {least} - if(j = 2, 1, 0)) AS b")
+
+
 def site_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus.pages(spark, sf_dir).selectExpr("page_id % 4 AS j").distinct()
+    rows = site_sizes(spark, sf_dir)
     return prepare_jobs(
         rows.selectExpr(
             "concat('site', j) AS job_id", "concat('https://SITE', j, '.example/p/0/') AS start_url",
             "cast(array() AS array<string>) AS allowed_domains", "cast(array() AS array<string>) AS include_patterns",
             "array('*/blocked/*') AS exclude_patterns", "array('pdf') AS attachment_extensions",
-            f"CASE WHEN j = 1 THEN {FEW_PAGES} ELSE {MANY_PAGES} END AS max_pages", f"{MAX_DEPTH} AS max_depth",
+            f"CASE WHEN j = 1 THEN n div 2 ELSE {MANY_PAGES} END AS max_pages", f"{MAX_DEPTH} AS max_depth",
             "'main' AS content_extraction", "true AS save_html", "true AS save_markdown", "true AS download_attachments",
         ).to(T.StructType.fromDDL(JOB_SCHEMA))
     )
@@ -67,10 +78,12 @@ def site_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # failed: no response, so no page; prank: pages of the site up to this node.
 TREE = f"""
-s AS (SELECT k % 4 AS j, count(*) AS n FROM p GROUP BY 1),
-e AS (SELECT p.k, p.k % 4 AS j, p.k // 4 AS i, n, CASE WHEN p.k % 4 = 1 THEN {FEW_PAGES} ELSE {MANY_PAGES} END AS max_pages,
-  'site' || p.k % 4 AS job_id, 'https://site' || p.k % 4 || '.example' AS site, floor(log2(p.k // 4 + 1))::BIGINT AS depth,
-  greatest((p.k // 4 - 1) // 2, 0) AS parent, 2 * (p.k // 4) + 1 >= n AS leaf FROM p JOIN s ON p.k % 4 = s.j),
+sizes AS (SELECT k % 4 AS j, count(*) AS n FROM p GROUP BY 1),
+s AS (SELECT j, n, greatest(2, (SELECT min(x) FROM range(2, 1000) t(x) WHERE {_HELD.format('x')}) - (j = 2)::INT) AS b FROM sizes),
+e AS (SELECT p.k, p.k % 4 AS j, p.k // 4 AS i, n, b, CASE WHEN p.k % 4 = 1 THEN n // 2 ELSE {MANY_PAGES} END AS max_pages,
+  'site' || p.k % 4 AS job_id, 'https://site' || p.k % 4 || '.example' AS site,
+  (i >= 1)::BIGINT + (i > b)::INT + (i > b + b^2)::INT + (i > b + b^2 + b^3)::INT + (i > b + b^2 + b^3 + b^4)::INT + (i > b + b^2 + b^3 + b^4 + b^5)::INT AS depth,
+  CASE WHEN i > 0 THEN (i - 1) // b ELSE 0 END AS parent, b * i + 1 >= n AS leaf FROM p JOIN s ON p.k % 4 = s.j),
 f AS (SELECT *, leaf AND k % 19 = 0 AS failed, leaf AND k % 17 = 0 AS bad FROM e),
 r AS (SELECT *, sum((NOT failed)::INT) OVER (PARTITION BY j ORDER BY i) AS prank FROM f),
 v AS (SELECT *, NOT failed AS is_page, 1 + i + parent + (parent >= 1)::INT AS visit_order FROM r
@@ -154,16 +167,16 @@ def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Per site: outs are the queued links to the foreign host, two of them repeats.
 _COUNTS = """
-, t AS (SELECT j, any_value(job_id) AS job_id, any_value(n) AS n, any_value(max_pages) AS max_pages, max(i) AS last, sum(is_page::INT) AS pages,
+, t AS (SELECT j, any_value(job_id) AS job_id, any_value(n) AS n, any_value(b) AS b, any_value(max_pages) AS max_pages, max(i) AS last, sum(is_page::INT) AS pages,
     count(*) AS nodes, bool_or(is_page AND prank = max_pages) AS stopped, max(parent) AS last_parent FROM v GROUP BY 1)
-, q AS (SELECT v.j, sum((2 * v.i + 1 < v.n)::INT + (2 * v.i + 2 < v.n)::INT) AS kids, count(*) AS srcs,
-    sum(CASE WHEN depth = 5 THEN 1 + (2 * v.i + 1 < v.n)::INT + (2 * v.i + 2 < v.n)::INT ELSE 0 END) AS deep,
+, q AS (SELECT v.j, sum(greatest(0, least(v.b, v.n - 1 - v.b * v.i))) AS kids, count(*) AS srcs,
+    sum(CASE WHEN depth = 5 THEN 1 + greatest(0, least(v.b, v.n - 1 - v.b * v.i)) ELSE 0 END) AS deep,
     sum((depth < 5)::INT) AS shallow FROM v WHERE is_page AND NOT bad GROUP BY 1)
-, z AS (SELECT t.*, q.*, 1 + kids + srcs + least(srcs, 3) AS pushed,
+, z AS (SELECT t.*, q.*, 1 + kids + srcs + least(srcs, b + 1) AS pushed, CASE WHEN stopped THEN greatest(0, least(b, last_parent - 1)) ELSE b END AS repeats,
     (SELECT count(*) FROM v b WHERE b.j = t.j AND b.is_page AND NOT b.bad AND b.i < t.last_parent) AS blocked_before FROM t JOIN q ON t.j = q.j)
 , c AS (SELECT job_id, pages, n, max_pages,
-    CASE WHEN stopped THEN pushed - (nodes + blocked_before + 3) ELSE 0 END AS queue_remaining,
-    2 AS skipped_visited, CASE WHEN stopped THEN 0 ELSE deep END AS skipped_depth, 1 AS skipped_domain,
+    CASE WHEN stopped THEN pushed - (nodes + blocked_before + 1 + repeats) ELSE 0 END AS queue_remaining,
+    repeats AS skipped_visited, CASE WHEN stopped THEN 0 ELSE deep END AS skipped_depth, 1 AS skipped_domain,
     CASE WHEN stopped THEN blocked_before ELSE shallow END AS skipped_pattern FROM z)"""
 
 
@@ -188,9 +201,9 @@ def redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("crawl_progress", sql("""
 , w AS (SELECT v.*, (SELECT count(*) FROM v b WHERE b.j = v.j AND b.is_page AND NOT b.bad AND b.i < v.parent) AS blocked,
-    (i >= 3)::INT AS outs, (i >= 5)::INT + (i >= 7)::INT AS repeats,
-    (SELECT sum((2 * b.i + 1 < b.n)::INT + (2 * b.i + 2 < b.n)::INT + 1) FROM v b WHERE b.j = v.j AND b.i <= v.i AND b.is_page AND NOT b.bad) AS pushed FROM v)
-, x AS (SELECT *, pushed + least(i + 1, 3) + 1 - (1 + i + blocked + outs + repeats) AS queue_size FROM w)
+    (parent >= 1)::INT AS outs, greatest(0, least(b, parent - 1)) AS repeats,
+    (SELECT sum(greatest(0, least(a.b, a.n - 1 - a.b * a.i)) + 1) FROM v a WHERE a.j = v.j AND a.i <= v.i AND a.is_page AND NOT a.bad) AS pushed FROM v)
+, x AS (SELECT *, pushed + least(i + 1, b + 1) + 1 - (1 + i + blocked + outs + repeats) AS queue_size FROM w)
 SELECT job_id, site || '/p/' || i AS url, prank::BIGINT AS crawled, queue_size::BIGINT AS queue_size,
   (1 + i + blocked + outs + queue_size)::BIGINT AS discovered, (blocked + outs + repeats)::BIGINT AS skipped,
   round_even(prank / max_pages * 100, 0)::BIGINT AS percent FROM x WHERE is_page"""))
