@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.functions.urls import normalize_url, url_parts
 from pagemill.functions.text import let
+from pagemill.functions.urls import normalize_url, url_parts
+from pagemill.operators.scale import durable, join_dimension
+from pagemill.sources import nested_manifest
 
 _METADATA = (
     "struct<url:string,title:string,canonical_url:string,page_id:string,created_at:string,published_at:string,"
@@ -39,9 +41,6 @@ RUN_FIELDS = (
 )
 TABLES = {"runs": RUN_FIELDS, "pages": PAGE_FIELDS, "assets": ASSET_FIELDS, "errors": ERROR_FIELDS}
 
-# Above this many rows a job's manifest is only written as tables.
-NESTED_LIMIT = 100_000
-
 
 def _fields(table: str) -> T.StructType:
     return T.StructType.fromDDL(TABLES[table])
@@ -60,19 +59,18 @@ def read_manifest(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """S3: nested ``manifest.json`` documents (a path or glob) as four tables.
 
     ``job_id`` is the authority of the source URL, ``pos`` the place in the
-    document. A missing path gives empty tables.
+    document's list. A document may be one file of any size or a folder of parts
+    as ``write_nested_manifests`` leaves it. A missing path gives empty tables.
     """
     if not _exists(spark, path):
         return {name: _empty(spark, name, "job_id string, pos int") for name in TABLES}
-    lists = ", ".join(
-        f"{name} array<{_fields(name).simpleString()}>" for name in ("pages", "assets", "errors")
-    )
-    documents = spark.read.option("multiLine", True).schema(f"{RUN_FIELDS}, {lists}").json(path)
-    keyed = documents.withColumn("job_id", let(url_parts(normalize_url("source_url")), lambda p: p["authority"]))
-    tables = {
-        name: keyed.select("job_id", F.posexplode(name).alias("pos", "_r")).select("job_id", "pos", "_r.*")
-        for name in ("pages", "assets", "errors")
-    }
+    lists, headers = nested_manifest.read_documents(spark, path)
+    runs = headers.select("doc", F.from_json("header", RUN_FIELDS).alias("_r")).select("doc", "_r.*")
+    keyed = durable(runs.withColumn("job_id", let(url_parts(normalize_url("source_url")), lambda p: p["authority"])))
+    tables = {}
+    for name in nested_manifest.SECTIONS:
+        rows = lists.filter(F.col("key") == name).select("doc", "pos", F.from_json("record", TABLES[name]).alias("_r"))
+        tables[name] = join_dimension(rows, keyed.select("doc", "job_id"), ["doc"], ["pos"]).select("job_id", "pos", "_r.*")
     tables["runs"] = keyed.select("job_id", F.lit(0).alias("pos"), *_fields("runs").names)
     return tables
 
@@ -83,7 +81,10 @@ def write_manifest(tables: Mapping[str, DataFrame], path: str, run_id: str, fmt:
     Written per run so that a repeated attempt replaces its own run only.
     """
     for name, table in tables.items():
-        table.write.mode("overwrite").partitionBy("job_id").format(fmt).save(f"{path}/{name}/run_id={run_id}")
+        # Each job's rows lie together, a large job's in several tasks: few files per folder.
+        place = "visit_order" if "visit_order" in table.columns else "url" if "url" in table.columns else "job_id"
+        dealt = table.repartitionByRange(*dict.fromkeys(["job_id", place]))
+        dealt.write.mode("overwrite").partitionBy("job_id").format(fmt).save(f"{path}/{name}/run_id={run_id}")
 
 
 def read_manifest_tables(spark: SparkSession, path: str, run_id: str, fmt: str = "parquet") -> dict[str, DataFrame]:
@@ -123,28 +124,10 @@ def run_header(jobs: DataFrame, started_at: str, finished_at: str, version: str)
     )
 
 
-def nested_manifests(tables: Mapping[str, DataFrame], limit: int = NESTED_LIMIT) -> DataFrame:
-    """One JSON document per job: ``(job_id, document)``.
+def write_nested_manifests(tables: Mapping[str, DataFrame], path: str) -> None:
+    """One JSON document per job below ``path``, of any size.
 
-    A document is one value, so jobs are counted first and a larger one is refused:
-    such a job has its tables.
+    Rows are sorted across tasks by job, list and place, so a document is the
+    part files of its folder one after another.
     """
-    counts = tables["pages"].groupBy("job_id").count().filter(F.col("count") > limit)
-    too_large = counts.limit(1).collect()
-    if too_large:
-        raise ValueError(f"job {too_large[0]['job_id']} has over {limit} pages: use the tables")
-
-    def gathered(name: str) -> DataFrame:
-        columns = _fields(name).names
-        order = "visit_order" if "visit_order" in tables[name].columns else "url"
-        rows = tables[name].groupBy("job_id").agg(
-            F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*columns).alias("_r"))).alias("_rows")
-        )
-        ordered = F.array_sort("_rows", lambda a, b: F.when(a["_o"] < b["_o"], -1).when(a["_o"] > b["_o"], 1).otherwise(0))
-        return rows.select("job_id", F.transform(ordered, lambda r: r["_r"]).alias(name))
-
-    result = tables["runs"]
-    for name in ("pages", "assets", "errors"):
-        kind = f"array<{_fields(name).simpleString()}>"
-        result = result.join(gathered(name), "job_id", "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
-    return result.select("job_id", F.to_json(F.struct(*_fields("runs").names, "pages", "assets", "errors")).alias("document"))
+    nested_manifest.write_documents(tables, {name: _fields(name).names for name in TABLES}, path)

@@ -64,7 +64,8 @@ def test_export_twice(spark, make_responses, make_jobs, tmp_path):
     # Both forms of the manifest serve as the previous run.
     M.write_manifest(first.manifest, str(tmp_path / "m"), "r1")
     tables = M.read_manifest_tables(spark, str(tmp_path / "m"), "r1")
-    nested = M.nested_manifests(first.manifest).first()["document"]
+    M.write_nested_manifests(first.manifest, str(tmp_path / "nested"))
+    nested = "".join(part.read_text() for part in sorted((tmp_path / "nested/job_id=example.com").glob("part-*")))
     (tmp_path / "manifest.json").write_text(json.dumps(json.loads(nested), indent=2))
     read = M.read_manifest(spark, str(tmp_path / "manifest.json"))
     assert json.loads(nested)["source_url"] == "https://example.com" and read["errors"].count() == 2
