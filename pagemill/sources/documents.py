@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.operators.scale import durable, join_dimension
+from pagemill.sources.document_sink import write_files
+
 
 def resolve_paths(documents: DataFrame) -> DataFrame:
     """One row per ``(job_id, rel_path)``: pages that share a path leave the last one visited.
 
-    ``documents(job_id, rel_path, text, visit_order)``.
+    ``documents(job_id, rel_path, text, visit_order)``. Paths are compared without
+    the texts; only texts whose path is shared are moved.
     """
-    return documents.groupBy("job_id", "rel_path").agg(
-        F.max_by("text", "visit_order").alias("text"), F.count("*").alias("n_pages")
+    keys = ["job_id", "rel_path"]
+    shared = durable(path_collisions(documents)).drop("n_pages")
+    alone = join_dimension(documents, shared, keys, ["visit_order"], "left_anti").select(*keys, "text", F.lit(1).cast("bigint").alias("n_pages"))
+    several = join_dimension(documents, shared, keys, ["visit_order"], "left_semi").groupBy(*keys).agg(
+        F.max_by("text", F.struct("visit_order", "text")).alias("text"), F.count("*").alias("n_pages")
     )
+    return alone.unionByName(several)
 
 
 def path_collisions(documents: DataFrame) -> DataFrame:
@@ -40,22 +44,11 @@ def html_documents(pages: DataFrame) -> DataFrame:
 
 
 def write_document_table(documents: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Table form of the sink, for corpora where a file per page is too many."""
-    resolve_paths(documents).write.mode("overwrite").partitionBy("job_id").format(fmt).save(path)
-
-
-def _write_rows(root: str, rows: Iterator[Row]) -> None:
-    for row in rows:
-        target = os.path.normpath(os.path.join(root, row["job_id"], row["rel_path"]))
-        folder = os.path.dirname(target)
-        os.makedirs(folder, exist_ok=True)
-        # Repeated or speculative attempts each replace the file as a whole.
-        handle, temporary = tempfile.mkstemp(dir=folder)
-        with os.fdopen(handle, "w", encoding="utf-8", newline="") as out:
-            out.write(row["text"])
-        os.replace(temporary, target)
+    """Table form of the sink, for corpora where a file per page is too many; a job's documents lie together."""
+    dealt = resolve_paths(documents).repartitionByRange("job_id", "rel_path")
+    dealt.write.mode("overwrite").partitionBy("job_id").format(fmt).save(path)
 
 
 def write_document_files(documents: DataFrame, root: str) -> None:
-    """File form of the sink; ``root`` must be mounted on all executors."""
-    resolve_paths(documents).select("job_id", "rel_path", "text").foreachPartition(lambda rows: _write_rows(root, rows))
+    """File form of the sink, on any file system that the executors reach; all documents appear or none."""
+    write_files(resolve_paths(documents), root)

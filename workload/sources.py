@@ -103,3 +103,29 @@ def html_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     documents = D.resolve_paths(D.html_documents(rows))
     return documents.select("job_id", "rel_path", F.sha2("text", 256).alias("content_hash"))
+
+
+@query(
+    "document_files",
+    with_pages(
+        """, d AS (
+  SELECT host AS job_id, 'html/p/' || k || '.html' AS rel_path, sha256(html) AS content_hash FROM n WHERE status_code < 400 AND k % 2 = 0
+  UNION ALL SELECT host, 'pages/p/' || k // 2 * 2 || '.md', sha256(arg_max('# ' || raw_title || chr(10), k)) FROM n WHERE k % 5 <> 0 GROUP BY host, k // 2 * 2
+) SELECT * FROM d"""
+    ).replace(")\n\n,", "),"),
+)
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Html and Markdown written as files and read back; two pages may share a Markdown path."""
+    rows = increments.own_urls(spark, sf_dir).withColumns(
+        {
+            "save_html": F.lit(True), "needs_write": F.expr("page_id % 2 = 0"), "visit_order": F.col("page_id"), "writes_markdown": F.lit(True),
+            "document": F.concat(F.lit("# "), "raw_title", F.lit("\n")),
+        }
+    )
+    shared = rows.withColumns({"needs_write": F.expr("page_id % 5 != 0"), "markdown_path": F.expr("concat('p/', page_id div 2 * 2, '.md')")})
+    folder = _folder(spark)
+    D.write_document_files(D.html_documents(rows), folder)
+    D.write_document_files(D.markdown_documents(shared), folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    place = F.regexp_extract("path", r"/([^/]+)/((?:html|pages)/.*)$", 1), F.regexp_extract("path", r"/([^/]+)/((?:html|pages)/.*)$", 2)
+    return files.select(F.url_decode(place[0]).alias("job_id"), place[1].alias("rel_path"), F.sha2("content", 256).alias("content_hash"))
