@@ -15,13 +15,20 @@ from pagemill.sources.sitemaps import sitemap_locs
 _LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 
-def robots_sitemaps(responses: DataFrame, jobs: DataFrame) -> DataFrame:
+def robots_sitemaps(responses: DataFrame, jobs: DataFrame, fetched: DataFrame | None = None) -> DataFrame:
     """M1: ``(job_id, sitemap_url)``: ``/sitemap.xml`` and what robots.txt names.
 
-    ``responses(job_id, url, status_code, body)`` holds stored robots and sitemap files.
+    ``responses(job_id, url, status_code, body)`` holds stored robots and sitemap
+    files. They belong to the address the start page ended at, as
+    ``fetched(job_id, url, normalized_url)`` has it; a start page that is not
+    there stands for itself.
     """
     page_url = urls.normalize_url("start_url")
-    starts = jobs.select("job_id", page_url.alias("page_url")).withColumns(
+    seeds = jobs.select("job_id", page_url.alias("page_url"))
+    if fetched is not None:
+        ended = fetched.select("job_id", F.col("url").alias("page_url"), F.col("normalized_url").alias("final_url"))
+        seeds = seeds.join(ended, ["job_id", "page_url"], "left").select("job_id", F.coalesce("final_url", "page_url").alias("page_url"))
+    starts = seeds.withColumns(
         {
             "robots_url": urls.url_resolve("page_url", F.lit("/robots.txt")),
             "default_url": urls.normalize_link(F.lit("/sitemap.xml"), "page_url"),

@@ -14,9 +14,10 @@ from pagemill.operators.frontier import crawl_frontier, fetched_pages, link_edge
 from pagemill.operators.jobs import prepare_jobs
 from pagemill.operators.markdown import to_markdown
 from pagemill.operators.pages import describe_pages, markdown_gate
-from pagemill.operators.scale import durable
+from pagemill.operators.scale import Buckets, durable, join_dimension
+from pagemill.sources.document_sink import write_files
 from pagemill.sources.html_tree import parse_pages
-from pagemill.sources.manifest import run_header
+from pagemill.sources.manifest import run_header, write_manifest, write_nested_manifests
 
 
 def enrich_pages(responses: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -46,12 +47,45 @@ def enrich_pages(responses: DataFrame, jobs: DataFrame) -> DataFrame:
 
 @dataclass
 class Export:
-    """Result tables of one run."""
+    """Result tables of one run.
+
+    ``pages`` lies in buckets by ``(job_id, page_id)``. ``writes(job_id, page_id,
+    kind, rel_path)`` names the files this run has to write, one page for each.
+    """
 
     pages: DataFrame
     visits: DataFrame
     manifest: dict[str, DataFrame]
     summary: DataFrame
+    writes: DataFrame
+
+    def documents(self, kind: str) -> DataFrame:
+        """``job_id, rel_path, text`` of the files to write; the names go to the texts, which stay where they are."""
+        text = "document" if kind == "markdown" else "html"
+        wanted = self.writes.filter(F.col("kind") == kind)
+        return self.pages.select("job_id", "page_id", F.col(text).alias("text")).join(wanted, ["job_id", "page_id"]).select("job_id", "rel_path", "text")
+
+
+def files_to_write(pages: DataFrame, visits: DataFrame, jobs: DataFrame, existing: DataFrame | None) -> DataFrame:
+    """K2, S5, S6 on narrow rows: ``job_id, page_id, kind, rel_path``.
+
+    A visited page's file is written if the page changed or the file is missing
+    in ``existing(job_id, rel_path)``. Of pages that share a path the last one
+    visited counts.
+    """
+    narrow = pages.select("job_id", "page_id", "is_error", "change_status", "writes_markdown", "html_path", "markdown_path")
+    visited = visits.filter("is_page").select("job_id", "page_id", "visit_order").join(narrow, ["job_id", "page_id"])
+    rows = join_dimension(visited, jobs.select("job_id", "save_html"), ["job_id"], ["page_id"])
+    files = F.array(
+        F.struct(F.lit("markdown").alias("kind"), F.concat(F.lit("pages/"), "markdown_path").alias("rel_path"), F.col("writes_markdown").alias("wanted")),
+        F.struct(F.lit("html").alias("kind"), F.concat(F.lit("html/"), "html_path").alias("rel_path"), (F.col("save_html") & ~F.col("is_error")).alias("wanted")),
+    )
+    each = rows.select("job_id", "page_id", "visit_order", "change_status", F.inline(files)).filter("wanted")
+    if existing is None:
+        needed = each
+    else:
+        needed = incremental.needs_write(each, existing, "rel_path").filter("needs_write")
+    return needed.groupBy("job_id", "kind", "rel_path").agg(F.max_by("page_id", "visit_order").alias("page_id")).select("job_id", "page_id", "kind", "rel_path")
 
 
 def export_sites(
@@ -62,21 +96,31 @@ def export_sites(
     sitemap_responses: DataFrame | None = None,
     started_at: str = "",
     finished_at: str = "",
+    existing: DataFrame | None = None,
 ) -> Export:
-    """Entry A: crawl order, change status, documents and manifest of every job."""
+    """Entry A: crawl order, change status, documents and manifest of every job.
+
+    Enriched pages are written once, as columns in buckets by page. What follows
+    works on the few columns it needs; neither html nor a document is moved
+    again. ``existing(job_id, rel_path)`` lists the files that are already there.
+    """
     prepared = prepare_jobs(jobs)
-    enriched = enrich_pages(responses, prepared).drop("html")
-    # Computed once for all tables below; what follows plans over a plain scan of it.
-    pages = durable(incremental.change_status(enriched, previous))
+    store = Buckets(responses.sparkSession, ["job_id", "page_id"]).append(enrich_pages(responses, prepared))
+    narrow = store.read().select("job_id", "page_id", "normalized_url", "content_hash")
+    status = Buckets(responses.sparkSession, ["job_id", "page_id"]).append(
+        incremental.change_status(narrow, previous).select("job_id", "page_id", "change_status")
+    )
+    pages = store.read().join(status.read(), ["job_id", "page_id"])
     edges = link_edges(pages)
     fallback = None
     if sitemap_responses is not None:
-        seeds = sitemaps.robots_sitemaps(sitemap_responses, prepared)
+        seeds = sitemaps.robots_sitemaps(sitemap_responses, prepared, fetched_pages(pages))
         expanded = sitemaps.expand_sitemaps(seeds, sitemap_responses, prepared)
         fallback = sitemaps.sitemap_fallback(pages, expanded, prepared)
         edges = edges.unionByName(sitemaps.fallback_edges(fallback))
+    edges = durable(edges)
     visits = crawl_frontier(edges, prepared, fetched_pages(pages))
-    candidates = incremental.asset_candidates(pages, visits, prepared, fallback)
+    candidates = durable(incremental.asset_candidates(pages, visits, prepared, fallback))
     manifest = {
         "runs": run_header(jobs, started_at, finished_at, __version__),
         "pages": incremental.manifest_pages(pages, visits, prepared),
@@ -85,4 +129,12 @@ def export_sites(
     }
     counts = skip_counts(visits, queue_entries(visits, edges, prepared))
     summary = incremental.run_summary(counts, manifest["assets"], manifest["errors"], prepared)
-    return Export(pages, visits, manifest, summary)
+    return Export(pages, visits, manifest, summary, durable(files_to_write(pages, visits, prepared, existing)))
+
+
+def write_run(run: Export, root: str, run_id: str) -> None:
+    """Files below ``root/files``, the manifest as tables and as one nested document per job."""
+    for kind in ("markdown", "html"):
+        write_files(run.documents(kind), f"{root}/files")
+    write_manifest(run.manifest, f"{root}/manifest", run_id)
+    write_nested_manifests(run.manifest, f"{root}/documents/run_id={run_id}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.operators.scale import durable, join_dimension
@@ -52,3 +52,10 @@ def write_document_table(documents: DataFrame, path: str, fmt: str = "parquet")
 def write_document_files(documents: DataFrame, root: str) -> None:
     """File form of the sink, on any file system that the executors reach; all documents appear or none."""
     write_files(resolve_paths(documents), root)
+
+
+def existing_files(spark: SparkSession, root: str) -> DataFrame:
+    """``job_id, rel_path`` of the files of earlier runs; only their names are read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    place = F.regexp_extract("path", r"/([^/]+)/((?:html|pages)/.*)$", 1), F.regexp_extract("path", r"/([^/]+)/((?:html|pages)/.*)$", 2)
+    return listed.select(F.url_decode(place[0]).alias("job_id"), place[1].alias("rel_path"))

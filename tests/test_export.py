@@ -1,10 +1,8 @@
 import json
 
-from pyspark.sql import functions as F
-
 from pagemill.operators import incremental as I
 from pagemill.operators.pages import describe_pages
-from pagemill.plans.site_export import export_sites
+from pagemill.plans.site_export import export_sites, write_run
 from pagemill.sources import documents as D
 from pagemill.sources import manifest as M
 from pagemill.streaming.changes import stream_change_status
@@ -54,18 +52,27 @@ def test_export_twice(spark, make_responses, make_jobs, tmp_path):
     summary = first.summary.first()
     assert (summary["pages"], summary["assets"], summary["errors"], summary["stop_reason"]) == (3, 1, 2, "queue_exhausted")
 
-    documents = I.needs_write(first.pages, spark.createDataFrame([], "job_id string, rel_path string")).withColumn("visit_order", F.col("page_id"))
-    D.write_document_files(D.markdown_documents(documents), str(tmp_path / "out"))
-    written = (tmp_path / "out/example.com/pages/b.md").read_text()
+    assert {(r["kind"], r["rel_path"]) for r in first.writes.collect()} == {
+        ("markdown", "pages/index.md"), ("markdown", "pages/b.md"), ("html", "html/index.html"), ("html", "html/b.html"),
+    }
+    write_run(first, str(tmp_path), "1")
+    written = (tmp_path / "files/example.com/pages/b.md").read_text()
     assert written.startswith('---\ntitle: "Bee"\nurl: "https://example.com/b"\n') and "menu" not in written
     assert written.endswith(f"---\n\nBee\n===\n\n{LONG.strip()}\n")
-    assert not (tmp_path / "out/example.com/pages/missing.md").exists()
+    assert not (tmp_path / "files/example.com/pages/missing.md").exists()
+    assert (tmp_path / "files/example.com/html/b.html").read_text() == site(make_responses).filter("page_id = 2").first()["html"]
+    # The names of the files go to the texts: nothing of the pages' table is moved again.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = first.documents("markdown")._jdf.queryExecution().executedPlan().toString().splitlines()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    scan = next(k for k, line in enumerate(plan) if "document" in line and "FileScan" in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    above = [line for k, line in enumerate(plan[:scan]) if all(depth(other) > depth(line) for other in plan[k + 1 : scan + 1])]
+    assert "Bucketed: true" in plan[scan] and any("Join" in line for line in above) and not any("Exchange" in line for line in above)
 
     # Both forms of the manifest serve as the previous run.
-    M.write_manifest(first.manifest, str(tmp_path / "m"), "r1")
-    tables = M.read_manifest_tables(spark, str(tmp_path / "m"), "r1")
-    M.write_nested_manifests(first.manifest, str(tmp_path / "nested"))
-    nested = "".join(part.read_text() for part in sorted((tmp_path / "nested/job_id=example.com").glob("part-*")))
+    tables = M.read_manifest_tables(spark, str(tmp_path / "manifest"), "1")
+    nested = "".join(part.read_text() for part in sorted((tmp_path / "documents/run_id=1/job_id=example.com").glob("part-*")))
     (tmp_path / "manifest.json").write_text(json.dumps(json.loads(nested), indent=2))
     read = M.read_manifest(spark, str(tmp_path / "manifest.json"))
     assert json.loads(nested)["source_url"] == "https://example.com" and read["errors"].count() == 2
@@ -77,6 +84,8 @@ def test_export_twice(spark, make_responses, make_jobs, tmp_path):
         "https://example.com": "updated", "https://example.com/b": "unchanged", "https://example.com/missing": "unchanged",
         "https://example.com/down": "new",
     }
+    again = export_sites(site(make_responses, "!"), jobs, M.previous_pages(read["pages"]), answers, existing=D.existing_files(spark, str(tmp_path / "files")).filter("rel_path != 'html/b.html'"))
+    assert {(r["kind"], r["rel_path"]) for r in again.writes.collect()} == {("markdown", "pages/index.md"), ("html", "html/index.html"), ("html", "html/b.html")}
 
 
 def test_last_previous_row_counts_and_paths_collide(spark):

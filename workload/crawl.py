@@ -63,9 +63,9 @@ def site_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.selectExpr("concat('site', j) AS job_id", "j", "n", f"greatest(2L, {least} - if(j = 2, 1, 0)) AS b")
 
 
-def site_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_site_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = site_sizes(spark, sf_dir)
-    return prepare_jobs(
+    return (
         rows.selectExpr(
             "concat('site', j) AS job_id", "concat('https://SITE', j, '.example/p/0/') AS start_url",
             "cast(array() AS array<string>) AS allowed_domains", "cast(array() AS array<string>) AS include_patterns",
@@ -76,6 +76,10 @@ def site_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def site_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare_jobs(raw_site_jobs(spark, sf_dir))
+
+
 # failed: no response, so no page; prank: pages of the site up to this node.
 TREE = f"""
 sizes AS (SELECT k % 4 AS j, count(*) AS n FROM p GROUP BY 1),
