@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import free_name, identified, stored
+from pagemill.operators.scale import Buckets, hot_keys, join_hot
 
 DIVISOR = 3
 MULTIPLIER = 1_000_003
@@ -56,21 +57,37 @@ def _is_multi_line(chunk: Column) -> Column:
     return F.size(F.filter(chunk, lambda line: line != "")) >= MIN_LINES
 
 
-def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
+def _bodies(texts: DataFrame, wanted: DataFrame, divisor: int) -> DataFrame:
+    """``wanted`` chunks ``doc_id, place, ...`` with their ``body``; the places go to the texts."""
+    others = [name for name in wanted.columns if name != "doc_id"]
+    listed = wanted.groupBy("doc_id").agg(F.collect_list(F.struct(*others)).alias("wanted"))
+    found = texts.join(listed, "doc_id").select("doc_id", "wanted", line_chunks(F.col("text"), divisor).alias("chunks"))
+    each = F.transform("wanted", lambda w: F.struct(w.alias("w"), F.array_join(F.get(F.col("chunks"), w["place"]), "\n").alias("body")))
+    return found.select("doc_id", F.inline(each)).select("doc_id", *[F.col(f"w.{name}") for name in others], "body")
+
+
+def repeated_chunks(texts: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     """``doc_id, place``: multi-line chunks whose bytes also stand earlier (smaller doc_id, or earlier in the document).
 
-    Chunks meet by hash and length in an aggregate combined in the map tasks;
-    only chunks whose key repeats are kept with their bytes and compared with
-    the first of their key.
+    Hashes and lengths of all chunks meet first, without their bytes. Only the
+    chunks whose hash and length repeat are read again and compared with the
+    first of their kind; those that differ from it, a collision, are compared by
+    their bytes alone. A chunk that very many documents hold is salted.
     """
-    each = docs.select("doc_id", F.posexplode(line_chunks(F.col("text"), divisor)).alias("place", "lines")).filter(_is_multi_line(F.col("lines")))
-    body = each.select("doc_id", "place", F.array_join("lines", "\n").alias("body"))
-    keyed = body.select("doc_id", "place", F.xxhash64("body").alias("key"), F.octet_length("body").alias("size"), "body")
-    firsts = keyed.groupBy("key", "size").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    several = stored(keyed.join(firsts, ["key", "size"]).withColumn("is_first", F.struct("doc_id", "place") == F.col("first")))
-    first_body = several.filter("is_first").select("key", "size", F.col("body").alias("first_body"))
-    later = several.filter("NOT is_first").join(first_body, ["key", "size"])
-    return later.filter("body = first_body").select("doc_id", "place")
+    each = texts.select("doc_id", F.posexplode(line_chunks(F.col("text"), divisor)).alias("place", "lines")).filter(_is_multi_line(F.col("lines")))
+    body = F.array_join("lines", "\n")
+    kind, spread = ["key", "size"], ["doc_id", "place"]
+    keyed = stored(each.select("doc_id", "place", F.xxhash64(body).alias("key"), F.octet_length(body).alias("size")))
+    firsts = stored(keyed.groupBy(*kind).agg(F.min(F.struct(*spread)).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    hot = stored(hot_keys(keyed, kind))
+    several = join_hot(keyed, firsts, kind, spread, "inner", hot)
+    bodies = stored(_bodies(texts, several, divisor).withColumn("is_first", F.struct(*spread) == F.col("first")))
+    first_body = bodies.filter("is_first").select(*kind, F.col("body").alias("first_body"))
+    compared = join_hot(bodies.filter("NOT is_first").select(*spread, *kind, "body"), first_body, kind, spread, "inner", hot)
+    later = stored(compared.select(*spread, F.when(F.col("body") != F.col("first_body"), F.col("body")).alias("other")))
+    others = later.filter("other IS NOT NULL")
+    repeats = others.join(others.groupBy("other").agg(F.min(F.struct(*spread)).alias("least")), "other").filter(F.struct(*spread) != F.col("least"))
+    return later.filter("other IS NULL").select(*spread).union(repeats.select(*spread))
 
 
 def drop_repeated_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
@@ -78,17 +95,19 @@ def drop_repeated_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
 
     The counts come last, as ``_n_lines, _n_removed_lines, _n_removed_chunks``
     or, where the documents have such a column, with more underscores.
-
     A chunk counts if at least two of its lines are not empty. The first of
     equal chunks stays; the remaining lines are joined by line feeds, nothing
     left gives an empty text. A null text stays null and has one empty line. Rows without
     doc_id are left out, rows repeating one are one document, an empty table
     gives no rows.
+
+    The documents are dealt by doc_id once; after that only hashes, places and
+    repeated chunks are moved.
     """
-    unique = identified(docs)
-    texts = unique.select("doc_id", "text")
+    table = Buckets(docs.sparkSession, ["doc_id"]).append(identified(docs))
+    unique = table.read()
     places_name, built_name, key = (free_name(unique, stem) for stem in ("_places", "_built", "_doc_id"))
-    removed = repeated_chunks(texts, divisor).groupBy("doc_id").agg(F.array_sort(F.collect_list("place")).alias(places_name)).withColumnRenamed("doc_id", key)
+    removed = repeated_chunks(unique.select("doc_id", "text"), divisor).groupBy("doc_id").agg(F.array_sort(F.collect_list("place")).alias(places_name)).withColumnRenamed("doc_id", key)
 
     def marks(places: Column) -> Column:
         """True at each removed place and false before it, so that a look-up takes one step."""
