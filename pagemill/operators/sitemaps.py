@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls
 from pagemill.functions.text import strip
-from pagemill.operators.scale import durable, join_dimension, row_numbers
-from pagemill.sources.sitemaps import sitemap_locs
+from pagemill.operators.scale import Buckets, join_dimension, row_numbers
+from pagemill.sources.sitemaps import listed_locations
 
 _LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
@@ -50,18 +48,28 @@ def robots_sitemaps(responses: DataFrame, jobs: DataFrame, fetched: DataFrame |
     )
 
 
-def sitemap_entries(responses: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Every listed location with its route: sitemap, asset or page; others are dropped.
+def listed(responses: DataFrame) -> DataFrame:
+    """M4: the locations of all stored sitemaps, and their errors, as ``listed_locations`` has them.
 
-    Parsed once for all stored sitemaps; the tree walk then handles narrow rows only.
+    ``responses(job_id, url, status_code)`` with the text as ``body`` or the file as ``content``.
     """
+    content = F.col("content") if "content" in responses.columns else F.col("body").cast("binary")
+    stored = responses.filter((F.col("status_code") < 400) & ~F.col("url").endswith("/robots.txt"))
+    return listed_locations(stored.select("job_id", "url", content.alias("content")))
+
+
+def sitemap_errors(locations: DataFrame) -> DataFrame:
+    """Sitemaps that cannot be read, as rows of K5."""
+    bad = locations.filter(F.col("error_type").isNotNull())
+    return bad.select("job_id", F.col("sitemap_url").alias("url"), F.lit("sitemap").alias("stage"), "error_type", "message")
+
+
+def sitemap_entries(locations: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Every listed location with its route: sitemap, asset or page; others are dropped."""
     dimension = jobs.select(
         "job_id", F.struct("domains", "include_regexes", "exclude_regexes", "listed_extensions").alias("_job")
     )
-    listed = responses.filter(F.col("status_code") < 400).select(
-        "job_id", F.col("url").alias("sitemap_url"), F.explode(sitemap_locs("body")).alias("loc")
-    )
-    normal = listed.withColumn("url", urls.normalize_link("loc", "sitemap_url")).filter(F.col("url").isNotNull())
+    normal = locations.filter(F.col("loc").isNotNull()).withColumn("url", urls.normalize_link("loc", "sitemap_url")).filter(F.col("url").isNotNull())
     job = F.col("_job")
     # The extensions count as configured here: no dot or lower case is added.
     attachment = F.exists(job["listed_extensions"], lambda e: F.lower("url").endswith(e))
@@ -79,31 +87,34 @@ def sitemap_entries(responses: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def reachable_sitemaps(seeds: DataFrame, entries: DataFrame) -> DataFrame:
-    """All sitemaps found from the seeds, each once; ends when a round finds no new one."""
-    nested = durable(
-        entries.filter("kind = 'sitemap'").select("job_id", "sitemap_url", F.col("url").alias("next_url")).distinct()
-    )
-    rounds = [durable(seeds.select("job_id", "sitemap_url").distinct())]
-    while True:
-        seen = reduce(DataFrame.unionByName, rounds)
-        found = (
-            rounds[-1]
-            .join(nested, ["job_id", "sitemap_url"])
-            .select("job_id", F.col("next_url").alias("sitemap_url"))
-            .distinct()
-        )
-        fresh = durable(found.join(seen, ["job_id", "sitemap_url"], "left_anti"))
-        if fresh.isEmpty():
-            return seen
-        rounds.append(fresh)
-
-
-def expand_sitemaps(seeds: DataFrame, responses: DataFrame, jobs: DataFrame) -> DataFrame:
-    """M3: distinct ``(job_id, url, kind)`` of pages and assets under the seeds."""
-    entries = sitemap_entries(responses, jobs)
-    reached = reachable_sitemaps(seeds, entries)
+    """All sitemaps found from the seeds, each once; ends when a round finds no new one.
+
+    ``entries`` in buckets by ``(job_id, sitemap_url)``, as are the sitemaps seen:
+    a round moves the sitemaps it finds and nothing else.
+    """
+    keys = ["job_id", "sitemap_url"]
+    nested = entries.filter("kind = 'sitemap'").select(*keys, F.col("url").alias("next_url"))
+    seen, number = Buckets(entries.sparkSession, keys), 0
+    seen.append(seeds.select(*keys).distinct().withColumn("round", F.lit(0)))
+    while not (latest := seen.read().filter(F.col("round") == number)).isEmpty():
+        found = latest.join(nested, keys).select("job_id", F.col("next_url").alias("sitemap_url")).distinct()
+        number += 1
+        seen.append(found.join(seen.read(), keys, "left_anti").withColumn("round", F.lit(number)))
+    return seen.read().select(*keys)
+
+
+def expand_sitemaps(seeds: DataFrame, responses: DataFrame, jobs: DataFrame, locations: DataFrame | None = None) -> DataFrame:
+    """M3: distinct ``(job_id, url, kind)`` of pages and assets under the seeds.
+
+    Every stored sitemap is read once (``locations``, as ``listed`` gives them,
+    passes on an earlier reading); the walk over the tree has narrow rows in buckets.
+    """
+    entries = sitemap_entries(listed(responses) if locations is None else locations, jobs)
+    store = Buckets(entries.sparkSession, ["job_id", "sitemap_url"]).append(entries)
+    reached = reachable_sitemaps(seeds, store.read())
     return (
-        entries.filter("kind != 'sitemap'")
+        store.read()
+        .filter("kind != 'sitemap'")
         .join(reached, ["job_id", "sitemap_url"], "left_semi")
         .select("job_id", "url", "kind")
         .distinct()

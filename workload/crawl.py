@@ -22,10 +22,13 @@ from pagemill.operators import incremental as I
 from pagemill.operators import sitemaps as S
 from pagemill.operators.jobs import JOB_SCHEMA, effective_domains, prepare_jobs
 from pagemill.operators.links import internal_links, page_decisions
+from pagemill.operators.scale import durable
+from pagemill.sources.sitemaps import read_sitemaps
 from pagemill.sources.sitemaps import sitemap_locs as listed_locs
 from workload import corpus
 from workload.corpus import with_pages
 from workload.registry import query
+from workload.sources import _folder
 
 MAX_DEPTH, MANY_PAGES = 5, 2_000_000_000
 _HELD = "1 + {0} + {0} * {0} + {0} * {0} * {0} + {0} * {0} * {0} * {0} + {0} * {0} * {0} * {0} * {0} >= n"  # within MAX_DEPTH
@@ -330,6 +333,7 @@ def site_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = site_pages(spark, sf_dir).selectExpr("job_id", "page_id", "page_id div 4 AS i", "substring_index(url, '/', 3) AS site")
     maps = rows.selectExpr(
         "job_id",
+        "page_id",
         "CASE WHEN i = 0 THEN concat(site, '/sitemap.xml') ELSE concat(site, '/sm/', i, '.xml') END AS url",
         "CASE WHEN page_id % 23 = 22 THEN 500 ELSE 200 END AS status_code",
         "concat('<x><loc>/sm/', 2 * i + 1, '.xml</loc><loc>', site, '/sm/', 2 * i + 2, '.xml</loc><loc>/sitemap.xml</loc><loc>', site, '/p/', i,"
@@ -351,6 +355,56 @@ def expand_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.expand_sitemaps(seeds, site_maps(spark, sf_dir), jobs)
 
 
+_TREE_OF_MAPS = """, up AS (
+  SELECT k, k AS a FROM p UNION ALL SELECT up.k, ((up.a // 4 - 1) // 2) * 4 + up.a % 4 FROM up WHERE up.a // 4 > 0),
+ok AS (SELECT k FROM up GROUP BY 1 HAVING NOT bool_or(a % 23 = 22))"""
+
+
+@query("sitemap_files", with_pages(_TREE_OF_MAPS + """
+SELECT 'site' || k % 4 AS job_id, 'https://site' || k % 4 || '.example/p/' || k // 4 AS url, 'page' AS kind FROM ok
+UNION ALL SELECT 'site' || k % 4, 'https://site' || k % 4 || '.example/f/' || k // 4 || '.pdf', 'asset' FROM ok
+UNION ALL SELECT DISTINCT 'site' || k % 4, 'https://site' || k % 4 || '.example/common', 'page' FROM ok
+UNION ALL SELECT 'site' || k % 4, 'https://site' || k % 4 || '.example' || CASE WHEN k < 4 THEN '/sitemap.xml' ELSE '/sm/' || k // 4 || '.xml' || CASE WHEN k % 2 = 0 THEN '.gz' ELSE '' END END,
+  'ParseError' FROM p WHERE k % 23 = 22""").replace(")\n\n,", "),").replace("WITH ", "WITH RECURSIVE "))
+def sitemap_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3, M4 from stored files, half of the sites' packed, some cut off: those are listed as errors."""
+    maps = site_maps(spark, sf_dir).drop("status_code")
+    packed = (F.col("page_id") % 2 == 0) & (F.col("page_id") >= 4)
+    body = F.when(F.col("page_id") % 2 == 0, F.regexp_replace("body", r"(/sm/\d+\.xml)", "$1.gz")).otherwise(F.col("body"))
+    broken = F.when(F.col("page_id") % 23 == 22, F.expr("left(body, length(body) - 4)")).otherwise(F.col("body"))
+    files = maps.withColumn("body", body).withColumn("body", broken).select("page_id", F.col("body").alias("value"), packed.alias("packed"))
+    folder = _folder(spark)
+    files.filter("packed").drop("packed").repartition("page_id").write.partitionBy("page_id").option("compression", "gzip").text(f"{folder}/gz")
+    files.filter("NOT packed").drop("packed").repartition("page_id").write.partitionBy("page_id").text(f"{folder}/plain")
+    stored = read_sitemaps(spark, folder).withColumn("page_id", F.regexp_extract("path", r"page_id=(\d+)", 1).cast("bigint"))
+    names = maps.select("page_id", "job_id", F.when(packed, F.concat("url", F.lit(".gz"))).otherwise(F.col("url")).alias("url"))
+    responses = stored.join(names, "page_id").select("job_id", "url", F.lit(200).alias("status_code"), "content")
+    jobs = site_jobs(spark, sf_dir).withColumn("listed_extensions", F.array(F.lit(".pdf")))
+    seeds = jobs.select("job_id", F.expr("concat('https://', job_id, '.example/sitemap.xml') AS sitemap_url"))
+    read = durable(S.listed(responses))
+    errors = S.sitemap_errors(read).select("job_id", "url", F.col("error_type").alias("kind"))
+    return S.expand_sitemaps(seeds, responses, jobs, read).unionByName(errors)
+
+
+@query(
+    "robots_after_redirect",
+    with_pages(
+        """SELECT 'p' || k AS job_id, 'https://moved' || k % 3 || '.example/sitemap.xml' AS sitemap_url FROM n
+UNION ALL SELECT 'p' || k, 'https://moved' || k % 3 || '.example/sm/' || k || '.xml' FROM n WHERE k % 5 <> 0"""
+    ),
+)
+def robots_after_redirect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1: robots.txt and the default sitemap belong to the address a start page ended at."""
+    pages = corpus.pages(spark, sf_dir)
+    moved = "concat('https://moved', page_id % 3, '.example')"
+    robots = pages.selectExpr(
+        "concat('p', page_id) AS job_id", f"inline(array(struct(concat({moved}, '/robots.txt') AS url, 'Sitemap: /sm/' AS start), struct(concat(substring_index(url, '/', 3), '/robots.txt') AS url, 'Sitemap: /wrong/' AS start)))",
+        "CASE WHEN page_id % 5 = 0 THEN 404 ELSE 200 END AS status_code", "page_id",
+    ).withColumn("body", F.concat("start", "page_id", F.lit(".xml")))
+    fetched = pages.select(F.expr("concat('p', page_id) AS job_id"), normalize_url("url").alias("url"), F.expr(f"concat({moved}, '/home') AS normalized_url"))
+    return S.robots_sitemaps(robots, page_jobs(spark, sf_dir), fetched)
+
+
 @query(
     "sitemap_fallback",
     with_pages(
