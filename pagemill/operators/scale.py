@@ -117,6 +117,15 @@ class Buckets:
         self.name = f"buckets_{uuid.uuid4().hex}"
         self.path = f"{ensure_checkpoint_dir(spark)}/{self.name}"
 
+    @classmethod
+    def at(cls, spark: SparkSession, keys: Sequence[str], path: str, fields: str, buckets: int) -> Buckets:
+        """A table at a path of its own, of this or an earlier session; the number of buckets must be the same each time."""
+        table = cls(spark, keys)
+        table.path, table.buckets = path, buckets
+        named = ", ".join(f"`{key}`" for key in table.keys)
+        spark.sql(f"CREATE TABLE {table.name} ({fields}) USING parquet CLUSTERED BY ({named}) INTO {buckets} BUCKETS LOCATION '{path}'")
+        return table
+
     def append(self, rows: DataFrame) -> Buckets:
         dealt = rows.repartition(self.buckets, *self.keys)  # one file for each bucket
         dealt.write.format("parquet").mode("append").bucketBy(self.buckets, *self.keys).option("path", self.path).saveAsTable(self.name)
