@@ -37,6 +37,36 @@ def cached_expression(build: Callable[..., Column]) -> Callable[..., Column]:
     return get
 
 
+SCAN_STEPS = 24
+FEW = 16
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Inclusive running totals of an array under an associative ``combine``.
+
+    Each step reaches twice as far back as the one before, and a step that would
+    reach behind the start is left out: n log n for any length, nothing is
+    appended element by element.
+    """
+
+    def step(found: Column, reach: Column) -> Column:
+        further = F.transform(found, lambda x, k: F.when(k >= reach, combine(F.get(found, k - reach), x)).otherwise(x))
+        return F.when(F.size(found) > reach, further).otherwise(found)
+
+    return F.aggregate(F.array(*[F.lit(1 << power) for power in range(SCAN_STEPS)]), values, step)
+
+
+def count_up_to(values: Column, limit: Column) -> Column:
+    """How many elements of a sorted array are at most ``limit``; a binary search unless there are few."""
+    bits = F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.size(values))).cast("int")), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    found = F.aggregate(
+        F.reverse(bits),
+        F.lit(0),
+        lambda place, bit: F.when(F.get(values, place + bit - 1) <= limit, place + bit).otherwise(place),
+    )
+    return F.when(F.size(values) <= FEW, F.size(F.filter(values, lambda value: value <= limit))).otherwise(found)
+
+
 def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 

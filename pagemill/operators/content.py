@@ -2,7 +2,8 @@
 
 Subtrees are slices of the node array. Dropping them means cutting the array at
 the outermost dropped nodes, and subtree text lengths follow from the totals the
-parse left on every element, so nothing walks a subtree more than once.
+parse left on every element, so nothing walks a subtree more than once. What
+lies within what is found by running totals over the cuts and a search in them.
 """
 
 from __future__ import annotations
@@ -12,11 +13,9 @@ from pyspark.sql import functions as F
 
 from pagemill import rules
 from pagemill.functions import nodes as N
-from pagemill.functions.text import cached_expression, let
+from pagemill.functions.text import cached_expression, count_up_to, let, running
 from pagemill.operators.scale import join_dimension
 
-_CUT = "struct<node_id:int,end_id:int,chars:int,runs:int,blocks:int>"
-
 
 def check_mode(mode: str) -> str:
     normalized = (mode or "main").strip().lower()
@@ -41,13 +40,20 @@ def boilerplate_cuts(nodes: Column, mode: str = "main") -> Column:
             (n["blocks"] + n["tag"].isin(list(rules.SUBSTANTIAL_TAGS)).cast("int")).alias("blocks"),
         ),
     )
-    return F.aggregate(
-        flagged,
-        F.array().cast(f"array<{_CUT}>"),
-        lambda cuts, f: F.when(
-            (F.size(cuts) > 0) & (F.element_at(F.when(F.size(cuts) > 0, cuts), -1)["end_id"] >= f["node_id"]), cuts
-        ).otherwise(F.concat(cuts, F.array(f))),
-    )
+
+    def outermost(found: Column) -> Column:
+        # Subtrees lie within one another or apart: one is inside if any earlier one ends behind its start.
+        ends = running(F.transform(found, lambda f: f["end_id"]), F.greatest)
+        return let(ends, lambda last: F.filter(found, lambda f, k: (k == 0) | (F.get(last, k - 1) < f["node_id"])))
+
+    return let(flagged, outermost)
+
+
+def cut_totals(cuts: Column) -> Column:
+    """Where the cuts start, and the running totals of their text and blocks: what is inside any element follows."""
+    add = lambda a, b: F.struct(*[(a[name] + b[name]).alias(name) for name in ("chars", "runs", "blocks")])
+    own = F.transform(cuts, lambda c: F.struct(c["chars"].alias("chars"), c["runs"].alias("runs"), c["blocks"].alias("blocks")))
+    return F.struct(F.transform(cuts, lambda c: c["node_id"]).alias("starts"), running(own, add).alias("sums"))
 
 
 def without(nodes: Column, cuts: Column) -> Column:
@@ -76,35 +82,29 @@ def strip_boilerplate(parsed: DataFrame, mode: str = "main") -> DataFrame:
     )
 
 
-def _remaining(node: Column, cuts: Column) -> Column:
-    """Text length and block count of an element once the cuts inside it are gone."""
-    inside = F.filter(cuts, lambda c: (c["node_id"] > node["node_id"]) & (c["node_id"] <= node["end_id"]))
-    left = F.aggregate(
-        inside,
-        F.struct(node["chars"].alias("chars"), node["runs"].alias("runs"), node["blocks"].alias("blocks")),
-        lambda acc, c: F.struct(
-            (acc["chars"] - c["chars"]).alias("chars"),
-            (acc["runs"] - c["runs"]).alias("runs"),
-            (acc["blocks"] - c["blocks"]).alias("blocks"),
-        ),
-    )
-    return let(
-        left,
+def _remaining(node: Column, totals: Column) -> Column:
+    """Text length and block count of an element once the cuts inside it are gone; ``totals`` as of ``cut_totals``."""
+
+    def up_to(limit: Column) -> Column:
+        nothing = F.struct(*[F.lit(0).alias(name) for name in ("chars", "runs", "blocks")])
+        return F.coalesce(F.get(totals["sums"], count_up_to(totals["starts"], limit) - 1), nothing)
+
+    def left(before: Column, inside: Column) -> Column:
+        chars, runs, blocks = (node[name] - (inside[name] - before[name]) for name in ("chars", "runs", "blocks"))
         # Runs are joined by single spaces.
-        lambda s: F.struct(
-            (s["chars"] + F.greatest(s["runs"] - 1, F.lit(0))).alias("length"), s["blocks"].alias("blocks")
-        ),
-    )
+        return F.struct((chars + F.greatest(runs - 1, F.lit(0))).alias("length"), blocks.alias("blocks"))
 
+    return let(up_to(node["node_id"]), lambda before: let(up_to(node["end_id"]), lambda inside: left(before, inside)))
 
-def substantial(node: Column, cuts: Column) -> Column:
+
+def substantial(node: Column, totals: Column) -> Column:
     """Enough text and a paragraph, heading or list item below."""
     # Cuts only shrink a subtree, so most elements are settled by their totals.
     possible = (node["chars"] + node["runs"] > rules.SUBSTANTIAL_LENGTH) & (node["blocks"] > 0)
     return F.when(
         possible,
         let(
-            _remaining(node, cuts), lambda s: (s["length"] >= rules.SUBSTANTIAL_LENGTH) & (s["blocks"] > 0)
+            _remaining(node, totals), lambda s: (s["length"] >= rules.SUBSTANTIAL_LENGTH) & (s["blocks"] > 0)
         ),
     ).otherwise(F.lit(False))
 
@@ -112,20 +112,27 @@ def substantial(node: Column, cuts: Column) -> Column:
 def substantial_elements(stripped: DataFrame) -> DataFrame:
     """C3 as rows: text length and verdict of every remaining element."""
     elements = F.filter("kept", lambda n: ~n["tag"].startswith("#"))
-    rows = F.transform(
-        elements,
-        lambda n: F.struct(
-            n["node_id"].alias("node_id"),
-            n["tag"].alias("tag"),
-            _remaining(n, F.col("cuts"))["length"].alias("text_length"),
-            substantial(n, F.col("cuts")).alias("substantial"),
-        ),
-    )
-    return stripped.select("job_id", "page_id", F.inline(rows))
+
+    def rows(totals: Column) -> Column:
+        return F.transform(
+            elements,
+            lambda n: F.struct(
+                n["node_id"].alias("node_id"),
+                n["tag"].alias("tag"),
+                _remaining(n, totals)["length"].alias("text_length"),
+                substantial(n, totals).alias("substantial"),
+            ),
+        )
+
+    return stripped.select("job_id", "page_id", F.inline(let(cut_totals(F.col("cuts")), rows)))
 
 
 def _container(nodes: Column, kept: Column, cuts: Column) -> Column:
     """C4: by selector priority, else the longest div or section, else body."""
+    return let(cut_totals(cuts), lambda totals: _best_container(nodes, kept, totals))
+
+
+def _best_container(nodes: Column, kept: Column, totals: Column) -> Column:
     marked = F.filter(kept, lambda n: N.matches_any(n, rules.CONTAINER_SELECTORS))
 
     def by_selector(found: Column) -> Column:
@@ -134,11 +141,11 @@ def _container(nodes: Column, kept: Column, cuts: Column) -> Column:
             return N.first(F.filter(found, lambda n: N.matches(n, selector)))
 
         firsts = F.array(*[first_of(selector) for selector in rules.CONTAINER_SELECTORS])
-        return N.first(F.filter(firsts, lambda n: n.isNotNull() & substantial(n, cuts)))
+        return N.first(F.filter(firsts, lambda n: n.isNotNull() & substantial(n, totals)))
 
     scored = F.transform(
-        F.filter(kept, lambda n: n["tag"].isin("div", "section") & substantial(n, cuts)),
-        lambda n: F.struct(_remaining(n, cuts)["length"].alias("length"), (-n["node_id"]).alias("back")),
+        F.filter(kept, lambda n: n["tag"].isin("div", "section") & substantial(n, totals)),
+        lambda n: F.struct(_remaining(n, totals)["length"].alias("length"), (-n["node_id"]).alias("back")),
     )
     longest = let(
         F.array_max(scored), lambda best: F.when(best.isNotNull(), F.get(nodes, -best["back"]))

@@ -1,8 +1,11 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions.nodes import text_of
-from pagemill.operators.content import check_mode, extract_content, extract_job_content
+from pagemill.functions.text import count_up_to, running
+from pagemill.operators.content import check_mode, extract_content, extract_job_content, primary_container, strip_boilerplate
 from pagemill.operators.markdown import html_text, to_markdown
 from pagemill.sources.html_tree import parse_pages
 
@@ -84,3 +87,30 @@ def test_html_text_round_trip(make_responses):
     html = '<p class="a&quot;b">x &lt; y<br/><i>z</i></p>'
     pages = parse_pages(make_responses((1, "https://e.com", html)))
     assert pages.select(html_text(F.col("nodes"))).first()[0] == html
+
+
+def test_many_cuts_do_not_square_the_time(spark, make_responses):
+    def seconds(n):
+        html = "<body>" + "".join(f"<div><p>{LONG}{k}</p><nav>x<aside>{LONG}</aside></nav></div>" for k in range(n)) + "</body>"
+        parsed = parse_pages(make_responses((1, "https://e.com", html))).persist()
+        parsed.count()
+        best = float("inf")
+        for _ in range(3):
+            started = time.perf_counter()
+            row = primary_container(strip_boilerplate(parsed)).selectExpr("size(cuts) AS cuts", "container.tag AS tag").first()
+            best = min(best, time.perf_counter() - started)
+        parsed.unpersist()
+        assert (row.cuts, row.tag) == (n, "div")
+        return best
+
+    assert seconds(16_000) < 2 * seconds(8_000) + 1
+
+
+def test_running_totals_and_search_in_arrays(spark):
+    values = [[], [5], [3, 1, 4, 1, 5, 9, 2, 6], list(range(0, 300, 3)), [7] * 40]
+    frame = spark.createDataFrame([(v,) for v in values], "v array<int>")
+    sums = frame.select(running(F.col("v"), lambda a, b: a + b).alias("s"), running(F.col("v"), F.greatest).alias("m")).collect()
+    assert [(r.s, r.m) for r in sums] == [([sum(v[: k + 1]) for k in range(len(v))], [max(v[: k + 1]) for k in range(len(v))]) for v in values]
+    ordered = [sorted(v) for v in values]
+    found = spark.createDataFrame([(v, x) for v in ordered for x in range(-1, 305, 2)], "v array<int>, x int").select("v", "x", count_up_to(F.col("v"), F.col("x")).alias("n"))
+    assert all(r.n == sum(e <= r.x for e in r.v) for r in found.collect())
