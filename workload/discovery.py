@@ -218,3 +218,33 @@ def link_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("normalized_links").cast("bigint").alias("n_normalized"),
         F.array_join(dropped, " ").alias("dropped"),
     )
+
+
+@query("split_link_lists", sql(CANDIDATES + """
+, l AS (SELECT page_id, host, site, normalized_url AS u FROM added WHERE source = 'html-fallback' AND normalized_url IS NOT NULL
+  UNION ALL SELECT page_id, host, site, normalized_url FROM nav)
+SELECT page_id,
+  coalesce(string_agg(DISTINCT u, ' ' ORDER BY u) FILTER (WHERE NOT asset AND host LIKE 'www.%' AND u LIKE site || '/%' AND u NOT LIKE '%/blocked/%'), '') AS internal_links,
+  coalesce(string_agg(DISTINCT u, ' ' ORDER BY u) FILTER (WHERE asset), '') AS asset_links
+FROM (SELECT *, lower(u) LIKE '%.pdf' OR regexp_matches(lower(u), '(favicon|apple-touch-icon|android-chrome|logo|sprite)[^/?]*$') AS asset FROM l) GROUP BY 1"""))
+def split_link_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L9, the addresses themselves."""
+    links = L.extract_links(corpus.rich_parsed(spark, sf_dir)).select("job_id", "page_id", "links")
+    domains = F.array(F.concat(F.lit("www."), F.regexp_replace("job_id", r"^www\.", "")))
+    split = L.split_links(links, corpus.prepared_jobs(spark, sf_dir).withColumn("domains", domains))
+    return split.select("page_id", F.array_join("internal_links", " ").alias("internal_links"), F.array_join("asset_links", " ").alias("asset_links"))
+
+
+@query("link_report_lists", sql(ALL_LINKS + """
+SELECT page_id, coalesce(string_agg(raw_url, ' ' ORDER BY pos) FILTER (WHERE source = 'result.links'), '') AS raw_result_links,
+  string_agg(DISTINCT normalized_url, ' ' ORDER BY normalized_url) AS normalized_links,
+  string_agg(DISTINCT normalized_url, ' ' ORDER BY normalized_url) FILTER (WHERE decision = 'keep') AS kept_links,
+  string_agg(DISTINCT normalized_url, ' ' ORDER BY normalized_url) FILTER (WHERE decision = 'asset') AS kept_assets,
+  string_agg(source || ' ' || raw_url || ' ' || coalesce(normalized_url, '-') || ' ' || reason, '|' ORDER BY source DESC, pos) FILTER (WHERE decision = 'drop') AS dropped
+FROM every GROUP BY 1"""))
+def link_report_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7, every list of the report."""
+    report = L.link_report(decided(spark, sf_dir))
+    dropped = F.transform("dropped_links_with_reason", lambda d: F.concat_ws(" ", d["source"], d["raw_url"], F.coalesce(d["normalized_url"], F.lit("-")), d["reason"]))
+    lists = [F.array_join(name, " ").alias(name) for name in ("raw_result_links", "normalized_links", "kept_links", "kept_assets")]
+    return report.select("page_id", *lists, F.array_join(dropped, "|").alias("dropped"))

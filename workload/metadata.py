@@ -11,7 +11,7 @@ from pagemill.operators import jsonld
 from pagemill.operators import metadata as M
 from workload import corpus
 from workload.corpus import with_pages
-from workload.registry import query
+from workload.registry import ORACLES, query
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,3 +331,35 @@ def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("page_metadata_raw.content_type").alias("raw_content_type"),
         F.col("page_metadata_raw.last_modified_header").alias("raw_modified"),
     )
+
+
+# Every field of the struct by the statement its own operator is checked with.
+_FIELDS = " JOIN ".join(
+    [f"({ORACLES['page_titles']}) q0"]
+    + [f"({ORACLES[name]}) q{k} USING (page_id)" for k, name in enumerate(("canonical_urls", "page_ids", "people", "languages", "page_tags", "page_aliases", "breadcrumbs", "page_visibility", "page_dates", "header_fields", "site_names"), 1)]
+)
+_LISTS = ("authors", "tags", "aliases", "entities", "labels", "breadcrumbs", "section_path")
+_RAW_DATES = ("created_at", "published_at", "updated_at", "last_modified")
+
+
+@query(
+    "page_metadata_fields",
+    f"""SELECT p.page_id, p.url, title, canonical_url, split_part(ids, '|', 1) AS meta_page_id, created_at, published_at, updated_at, updated_at AS last_modified, language, content_type,
+  CASE WHEN p.page_id % 6 = 0 THEN '3.' || p.page_id % 10 END AS version, site_name, visibility, etag, last_modified_header, status_code, content_length,
+  {", ".join(f"nullif({name}, '') AS {name}" for name in _LISTS)},
+  ids AS raw_page_id, created_raw AS raw_created_at, published_raw AS raw_published_at, CASE WHEN p.page_id % 2 = 1 THEN '2026-03-01 12:30:00' END AS raw_updated_at, CASE WHEN p.page_id % 2 = 1 THEN '2026-03-01 12:30:00' END AS raw_last_modified
+FROM {_FIELDS} JOIN pages p USING (page_id)""",
+)
+def page_metadata_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X21, field by field; the page type has its own query."""
+    described = M.page_metadata(corpus.rich_parsed(spark, sf_dir)).select("page_id", F.col("page_metadata").alias("m"), F.col("page_metadata_raw").alias("r"))
+    plain = ("url", "title", "canonical_url", "created_at", "published_at", "updated_at", "last_modified", "language", "content_type", "version", "site_name", "visibility", "etag", "last_modified_header")
+    return described.select(
+        "page_id",
+        *[F.col(f"m.{name}").alias(name) for name in plain],
+        F.col("m.page_id").alias("meta_page_id"),
+        *[F.col(f"m.{name}").cast("bigint").alias(name) for name in ("status_code", "content_length")],
+        *[joined(F.col(f"m.{name}")).alias(name) for name in _LISTS],
+        joined(F.col("r.page_id")).alias("raw_page_id"),
+        *[joined(F.col(f"r.{name}")).alias(f"raw_{name}") for name in _RAW_DATES],
+    )
