@@ -424,3 +424,35 @@ def sitemap_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
         "inline(array(struct(concat(substring_index(url, '/', 3), '/s/', page_id) AS url, 'page' AS kind), struct(concat(substring_index(url, '/', 3), '/s.pdf') AS url, 'asset' AS kind)))",
     )
     return S.sitemap_fallback(pages, expanded, page_jobs(spark, sf_dir)).drop("from_url")
+
+
+@query("fallback_crawl", sql("""
+, up AS (SELECT k, k AS a FROM p UNION ALL SELECT up.k, ((up.a // 4 - 1) // 2) * 4 + up.a % 4 FROM up WHERE up.a // 4 > 0)
+, ok AS (SELECT k FROM up GROUP BY 1 HAVING NOT bool_or(a % 23 = 22))
+, found AS (SELECT f.job_id, site, site || '/p/' || i AS url, NOT failed AS is_page FROM f JOIN ok ON f.k = ok.k WHERE i > 0
+  UNION ALL SELECT DISTINCT f.job_id, site, site || '/common', false FROM f JOIN ok ON f.k = ok.k)
+, visits AS (SELECT job_id, url, 1 AS depth, site || '/p/0' AS discovered_from, 1 + row_number() OVER (PARTITION BY job_id ORDER BY url) AS visit_order, is_page FROM found
+  UNION ALL SELECT job_id, site || '/p/0', 0, NULL, 1, true FROM f WHERE i = 0)
+SELECT job_id, 'visit' AS kind, url, depth::BIGINT AS depth, visit_order::BIGINT AS visit_order, discovered_from, is_page FROM visits
+UNION ALL SELECT f.job_id, 'asset', site || '/f/' || i || '.pdf', -1, -1, site || '/p/0', f.k % 7 <> 0 FROM f JOIN ok ON f.k = ok.k""").replace("WITH ", "WITH RECURSIVE ", 1))
+def fallback_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5 in the crawl: start pages without links, everything else from their sitemaps, assets included."""
+    raw = raw_site_jobs(spark, sf_dir).withColumn("max_pages", F.lit(MANY_PAGES))
+    jobs = prepare_jobs(raw).withColumn("listed_extensions", F.array(F.lit(".pdf")))
+    links = F.when(F.expr("page_id div 4 = 0"), F.array().cast("array<string>")).otherwise(F.array("normalized_url"))
+    pages = site_pages(spark, sf_dir).withColumns({"internal_links": links, "asset_links": F.array().cast("array<string>")})
+    seeds = jobs.select("job_id", F.expr("concat('https://', job_id, '.example/sitemap.xml') AS sitemap_url"))
+    fallback = durable(S.sitemap_fallback(pages, S.expand_sitemaps(seeds, site_maps(spark, sf_dir), jobs), jobs))
+    edges = G.link_edges(pages).unionByName(S.fallback_edges(fallback))
+    visits = G.crawl_frontier(edges, jobs, G.fetched_pages(pages))
+    candidates = I.asset_candidates(pages, visits, jobs, fallback)
+    answers = asset_responses(spark, sf_dir).withColumn("url", F.regexp_replace("url", "PDF$", "pdf")).filter("status_code = 200")
+    every = corpus.pages(spark, sf_dir).selectExpr("page_id", "concat('site', page_id % 4) AS job_id", f"concat({_SITE}, '/f/', page_id div 4, '.pdf') AS url")
+    answers = answers.unionByName(every.join(answers.select("job_id", "url"), ["job_id", "url"], "left_anti").filter("page_id % 7 != 0").selectExpr(
+        "job_id", "url", "200 AS status_code", "'application/pdf' AS content_type", "1L AS body_size", "cast(NULL AS string) AS error_type", "cast(NULL AS string) AS error_message"
+    ))
+    stored = I.manifest_assets(candidates, answers).select("job_id", "url", "discovered_from", "success")
+    failed = I.manifest_errors(pages, visits, candidates, answers).filter("stage = 'asset_download'").join(candidates, ["job_id", "url"]).select("job_id", "url", "discovered_from", F.lit(False).alias("success"))
+    nothing = F.lit(-1).cast("bigint")
+    assets = stored.unionByName(failed).select("job_id", F.lit("asset").alias("kind"), "url", nothing.alias("depth"), nothing.alias("visit_order"), "discovered_from", F.col("success").alias("is_page"))
+    return visits.select("job_id", F.lit("visit").alias("kind"), "url", F.col("depth").cast("bigint"), "visit_order", "discovered_from", "is_page").unionByName(assets)
