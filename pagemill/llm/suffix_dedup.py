@@ -14,7 +14,7 @@ from pagemill.llm.hashing import mixed, prefix_sums
 
 WINDOW = 100
 FIRST_DIGIT = 40
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 19
 
 def anchors(texts: list[bytes], window: int = WINDOW, digit: int = FIRST_DIGIT) -> tuple[np.ndarray, ...]:
     """Suffix classes of all windows of some texts by their first digit.
