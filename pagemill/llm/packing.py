@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import cache
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +23,12 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CACHED_WORDS = 600_000
 RANK_SALTS = 64
 
-ROUNDS = 240
+ROUNDS = 400
+GAP = 0.001
 STEP = 0.25
-LEARNING_RATE = 0.3
-PRICE_POWER = 1.6
+MOST_LACK = 1 / 16
+LEARNING_RATE = 0.5
+PRICE_POWER = 1.1
 
 
 class WordIds(dict):
@@ -126,60 +130,112 @@ def best_values(prices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return value, take
 
 
-def configuration_program(counts: np.ndarray, rounds: int = ROUNDS) -> tuple[list[tuple[Configuration, int]], np.ndarray]:
-    """Solve the configuration program of a length histogram by multiplicative weights, rounded down as it goes.
+def _columns(take: np.ndarray, lengths: np.ndarray, capacity: int) -> list[Configuration]:
+    """For each length the best configuration that holds it, from the knapsack's choices."""
+    choice, found = take.tolist(), []
+    least = next((room for room, length in enumerate(choice) if length), capacity + 1)
+    for length in lengths.tolist():
+        parts, room = {length: 1}, capacity - length
+        while room >= least:
+            if size := choice[room]:
+                parts[size] = parts.get(size, 0) + 1
+                room -= size
+            else:
+                room -= 1
+        found.append(tuple(sorted(parts.items(), reverse=True)))
+    return found
+
+
+@dataclass
+class Program:
+    """A solution of the configuration program: weights of configurations, prices of the lengths, and the bound they prove."""
+
+    weights: dict[Configuration, float]
+    prices: np.ndarray
+    bound: float
+
+
+def configuration_program(counts: np.ndarray, rounds: int = ROUNDS, gap: float = GAP) -> Program:
+    """Solve the configuration program of a length histogram by multiplicative weights.
 
-    ``counts[l]`` pieces have length l; the last index is the capacity. A
-    length's weight grows by exp(rate * uncovered share), its price is that
-    weight times a power of its length over one, so that room goes to few long
-    pieces first. The knapsack gives for every length the best configuration
-    that holds it. Each is taken a whole number of times, a
-    quarter of what the scarcest of its lengths allows. At first only full
-    configurations are taken; the room they may leave doubles whenever a round
-    covers under 1/500 of what is left. Returns the configurations with
-    their copies, and the counts left over.
+    The program: the least total weight of configurations (lengths that fit into
+    one sequence together) that covers the ``counts[l]`` pieces of each length.
+    Each round prices the lengths, and a knapsack finds the best configuration
+    that holds each length; from the longest on, every length takes as much of
+    its own as the ones before have left uncovered. A length that the round covers
+    too often gets cheaper by a factor, one whose best configuration is worth less
+    than the best of all dearer, in steps that shrink. Prices over the knapsack's
+    best worth solve the dual, so each round bounds the sequences from below;
+    every round's weights cover everything, so they bound the program from above.
+    Rounds end when the two are within ``gap``.
     """
     capacity = len(counts) - 1
-    left, lengths = counts.astype(np.int64).copy(), np.arange(capacity + 1)
+    lengths = np.flatnonzero(counts)
+    prices = np.full(capacity + 1, -np.inf)
+    if not len(lengths):
+        return Program({}, prices, 0.0)
+    need, place = counts[lengths].astype(float), np.zeros(capacity + 1, np.int64)
+    place[lengths] = np.arange(len(lengths))
+    bound, proven, best, cheapest = float(need @ lengths) / capacity, lengths / capacity, {}, np.inf
+    price = (lengths / capacity) ** PRICE_POWER
+    for number in range(rounds):
+        prices[lengths] = price
+        value, take = best_values(prices)
+        price, worth = price / value[capacity], (price + value[capacity - lengths]) / value[capacity]
+        if (shown := float(need @ price)) > bound:
+            bound, proven = shown, price
+        taken, given = _cover(_columns(take, lengths[::-1], capacity), lengths[::-1].tolist(), need.tolist(), place.tolist())
+        if (total := sum(taken.values())) < cheapest:
+            cheapest, best = total, taken
+        if cheapest <= (1 + gap) * bound:
+            break
+        step = LEARNING_RATE / (1 + number / 8)
+        price = price * np.exp(step * (np.clip(1 - given / need, -1, 1) + np.minimum((1 - worth) / price, 1)))
+    prices[lengths] = proven
+    return Program(best, prices, bound)
+
+
+def _cover(configurations: Iterable[Configuration], owners: list[int], need: list[float], place: list[int]) -> tuple[dict[Configuration, float], np.ndarray]:
+    """Take of each length's own configuration what is still uncovered of it; returns the weights and the coverage."""
+    left, weights = list(need), {}
+    for config, owner in zip(configurations, owners, strict=True):
+        open_part = left[place[owner]]
+        if open_part <= 0:
+            continue
+        amount = open_part / next(many for size, many in config if size == owner)
+        weights[config] = weights.get(config, 0.0) + amount
+        for size, many in config:
+            left[place[size]] -= amount * many
+    return weights, np.array(need) - np.array(left)
+
+
+def rounded(program: Program, counts: np.ndarray) -> tuple[list[tuple[Configuration, int]], np.ndarray]:
+    """Whole copies of configurations that the program's prices allow, as far as there are pieces; and the counts left over.
+
+    A configuration belongs to a best solution only if its pieces are worth a
+    whole sequence. The best one for each length is taken by whole copies, a
+    quarter of what the scarcest of its lengths allows, then again for the
+    lengths that still have pieces; the worth it may lack grows when few are found.
+    """
+    capacity, left = len(counts) - 1, counts.astype(np.int64).copy()
+    prices = program.prices * (1 + 1e-7 * np.arange(capacity + 1) / capacity)  # of equal ways the one with longer pieces
     chosen: Counter[Configuration] = Counter()
-    if left[capacity]:
-        chosen[((capacity, 1),)] += int(left[capacity])
-        left[capacity] = 0
-    start = np.maximum(left, 1)
-    slack = 0
-    for _ in range(rounds):
+    lack = 0.0
+    while (left > 0).any() and lack <= MOST_LACK:
         there = np.flatnonzero(left)
-        if not len(there):
-            break
-        weights = np.exp(LEARNING_RATE * (left / start - 1))
-        prices = np.where(left > 0, (lengths / capacity) ** PRICE_POWER * weights, -np.inf)
-        _, take = best_values(prices)
-        take, pool = take.tolist(), left.tolist()
-        least = next((room for room, length in enumerate(take) if length), capacity + 1)
-        pending, moved = sum(pool), 0
-        for length in there[::-1].tolist():
-            if not pool[length]:
-                continue
-            parts, room = {length: 1}, capacity - length
-            while room >= least:
-                if size := take[room]:
-                    parts[size] = parts.get(size, 0) + 1
-                    room -= size
-                else:
-                    room -= 1
-            if capacity - sum(size * many for size, many in parts.items()) > slack:
-                continue
-            if most := min(pool[size] // many for size, many in parts.items()):
+        value, take = best_values(np.where(left > 0, prices, -np.inf))
+        near = there[prices[there] + value[capacity - there] >= 1 - lack - 1e-9][::-1]
+        pool, pending, moved = left.tolist(), int(left.sum()), 0
+        for config in _columns(take, near, capacity):
+            if most := min(pool[size] // many for size, many in config):
                 copies = max(1, int(most * STEP))
-                for size, many in parts.items():
+                for size, many in config:
                     pool[size] -= many * copies
-                chosen[tuple(sorted(parts.items(), reverse=True))] += copies
-                moved += copies * sum(parts.values())
+                chosen[config] += copies
+                moved += copies * sum(many for _, many in config)
         left = np.array(pool, np.int64)
         if 500 * moved < pending:
-            slack = max(1, 2 * slack)
-            if slack > capacity // 16:
-                break
+            lack = max(1 / 1024, 2 * lack)
     return list(chosen.items()), left
 
 
@@ -212,10 +268,23 @@ def best_fit(counts: np.ndarray) -> list[tuple[Configuration, int]]:
     return [(parts, copies) for slots in by_gap.values() for parts, copies in slots.items()]
 
 
-def packing_plan(counts: np.ndarray) -> list[tuple[Configuration, int]]:
-    """Configurations and copies that hold exactly the histogram's pieces."""
-    chosen, left = configuration_program(counts)
-    return chosen + best_fit(left)
+@dataclass
+class Plan:
+    """Configurations with their copies, how many sequences they make, and the least that any packing needs."""
+
+    configurations: list[tuple[Configuration, int]]
+    sequences: int
+    bound: int
+
+
+def packing_plan(counts: np.ndarray) -> Plan:
+    """Hold exactly the histogram's pieces: the rounded program or plain best fit, whichever needs fewer sequences."""
+    program = configuration_program(counts)
+    chosen, left = rounded(program, counts)
+    options = [chosen + best_fit(left), best_fit(counts)]
+    made = [sum(copies for _, copies in option) for option in options]
+    least = made.index(min(made))
+    return Plan(options[least], made[least], ceil(program.bound - 1e-6))
 
 
 def _slots(plan: list[tuple[Configuration, int]], capacity: int) -> np.ndarray:
@@ -243,7 +312,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = np.zeros(capacity + 1, np.int64)
     for row in lengths:
         counts[row["length"]] = row["count"]
-    slots = _slots(packing_plan(counts), capacity)
+    slots = _slots(packing_plan(counts).configurations, capacity)
     plan = pieces.sparkSession.sparkContext.broadcast((slots[:, 0] << 40 | slots[:, 1], slots))
 
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_SALTS)).cast("int"))

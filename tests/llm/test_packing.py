@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from pagemill.llm.packing import TOKENIZER, best_fit, best_values, pack_documents, packing_plan, sequences, token_pieces, word_ids
+from pagemill.llm.packing import TOKENIZER, best_fit, best_values, configuration_program, pack_documents, packing_plan, sequences, token_pieces, word_ids
 
 TEXTS = [
     "The quick brown FOX, jumped. over.. the lazy dog!!", "", None, " \n\t ", "éÉ Ünïcode ñandú ß ŸÿĲ 日本語 한국어 é ﬁ", "a<|endoftext|>b <|ENDOFTEXT|> don't we'll I'M",
@@ -45,14 +45,32 @@ def test_plan_holds_all_pieces(seed):
     counts = np.bincount(rng.integers(1, 101, [0, 5, 400, 20_000][seed]), minlength=101)
     plan = packing_plan(counts)
     held = np.zeros(101, np.int64)
-    for parts, copies in plan:
+    for parts, copies in plan.configurations:
         assert sum(length * many for length, many in parts) <= 100 and copies > 0
         for length, many in parts:
             held[length] += many * copies
     assert held.tolist() == counts.tolist()
     least = -(-int((counts * np.arange(101)).sum()) // 100)
-    used = sum(copies for _, copies in plan)
-    assert least <= used <= max(least, sum(copies for _, copies in best_fit(counts)) * 1.002 + 1)
+    used = sum(copies for _, copies in plan.configurations)
+    assert least <= plan.bound <= used == plan.sequences <= sum(copies for _, copies in best_fit(counts))
+    program = configuration_program(counts, rounds=60)
+    if counts.any():  # the prices are a solution of the dual, the weights one of the program
+        assert best_values(program.prices)[0][100] <= 1 + 1e-9
+        assert np.isclose(program.bound, (counts * np.where(counts > 0, program.prices, 0)).sum()) and program.bound <= sum(program.weights.values()) + 1e-6
+        covered = np.zeros(101)
+        for parts, weight in program.weights.items():
+            assert sum(length * many for length, many in parts) <= 100 and weight > 0
+            for length, many in parts:
+                covered[length] += weight * many
+        assert (covered >= counts - 1e-6).all()
+
+
+@pytest.mark.parametrize("low, high", [(51, 100), (30, 60), (1, 100)])
+def test_plan_beats_best_fit_or_equals_it(low, high):
+    counts = np.bincount(np.random.default_rng(low).integers(low, high, 3000), minlength=101)
+    plan, plain = packing_plan(counts), sum(copies for _, copies in best_fit(counts))
+    assert plan.bound <= plan.sequences <= plain
+    assert low > 50 and plan.bound == plan.sequences or plan.sequences <= 1.05 * plan.bound
 
 
 def test_documents_are_packed_without_gaps(spark):
