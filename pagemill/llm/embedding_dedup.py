@@ -143,13 +143,28 @@ def _local_roots(n: int, left: np.ndarray, right: np.ndarray, root: np.ndarray)
         root = following
 
 
+def apart(pivots: np.ndarray, min_cosine: float = MIN_COSINE) -> np.ndarray:
+    """The pivots without those that would link with an earlier one.
+
+    A dense group then has one pivot and lies in its shard as a whole, where
+    several would part it.
+    """
+    kept = np.empty_like(pivots)
+    many = 0
+    for pivot in pivots:
+        if not many or (kept[:many] @ pivot).max() < min_cosine:
+            kept[many] = pivot
+            many += 1
+    return kept[:many]
+
+
 def shards(nodes: DataFrame) -> DataFrame:
     """Nodes with their shards: ``key, mine`` once per shard, ``shards`` all of a node's.
 
     A label with few vectors is a shard. In the others each vector goes to the
     shards of its ``OVERLAP`` nearest pivots; pivots are the vectors with the
     least id hashes, one in ``PIVOT_ROWS`` but at most about ``MAX_PIVOTS``, the
-    bound of what is broadcast. Shards over ``SHARD_ROWS`` are dealt into blocks
+    bound of what is broadcast, without those near another. Shards over ``SHARD_ROWS`` are dealt into blocks
     that meet in pairs, so no task holds more than two blocks.
     """
     group = [F.col("label"), F.size("embedding").alias("size")]
@@ -166,7 +181,8 @@ def shards(nodes: DataFrame) -> DataFrame:
     start = 0
     for name, values in sorted(pivots.items()):
         matrix = np.array(values)
-        packed[name] = (start, matrix / np.linalg.norm(matrix, axis=1, keepdims=True))
+        matrix = apart(matrix / np.linalg.norm(matrix, axis=1, keepdims=True))
+        packed[name] = (start, matrix)
         start += len(matrix)
     shared = nodes.sparkSession.sparkContext.broadcast(packed)
 

@@ -49,6 +49,23 @@ def test_links_equal_brute_force(spark, monkeypatch, small_label):
     assert audit_recall(table, result, every=5) == 1.0
 
 
+def test_a_dense_group_keeps_all_links(spark):
+    """3,000 near copies under one label, with the parameters of production: the links of every vector."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=64)
+    group = base + rng.normal(size=(3000, 64)) * np.linalg.norm(base) * 0.008
+    others = rng.normal(size=(1500, 64))
+    vectors = np.concatenate([group, others]).astype(np.float32)
+    rows = [(k, 1, v) for k, v in enumerate(vectors.tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    result = near_duplicates(table)
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    found = {r.vec_id: r.n_links for r in result.collect()}
+    assert (true[:3000] > 2500).all() and [found[k] for k in range(4500)] == true.tolist()
+    assert audit_recall(table, result) == 1.0
+
+
 def test_search_finds_what_is_in_range():
     rng = np.random.default_rng(7)
     vectors = np.concatenate([rng.normal(size=(300, 8)), rng.normal(size=8) + rng.normal(size=(40, 8)) * 0.03])
