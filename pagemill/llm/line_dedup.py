@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import free_name, identified, stored
+from pagemill.llm.common import discard, free_name, identified, stored
 from pagemill.operators.scale import Buckets, hot_keys, join_hot
 
 DIVISOR = 3
@@ -84,7 +84,9 @@ def repeated_chunks(texts: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     bodies = stored(_bodies(texts, several, divisor).withColumn("is_first", F.struct(*spread) == F.col("first")))
     first_body = bodies.filter("is_first").select(*kind, F.col("body").alias("first_body"))
     compared = join_hot(bodies.filter("NOT is_first").select(*spread, *kind, "body"), first_body, kind, spread, "inner", hot)
-    later = stored(compared.select(*spread, F.when(F.col("body") != F.col("first_body"), F.col("body")).alias("other")))
+    later = stored(compared.select(*spread, F.when(F.col("body") != F.col("first_body"), F.col("body")).alias("other")), release=True)
+    for table in (keyed, firsts, hot, bodies):
+        discard(table)
     others = later.filter("other IS NOT NULL")
     repeats = others.join(others.groupBy("other").agg(F.min(F.struct(*spread)).alias("least")), "other").filter(F.struct(*spread) != F.col("least"))
     return later.filter("other IS NULL").select(*spread).union(repeats.select(*spread))
