@@ -211,7 +211,10 @@ def _content_by_mode() -> Column:
 
 
 def extract_job_content(parsed: DataFrame, jobs: DataFrame, options: tuple[str, ...] = ()) -> DataFrame:
-    """C5 with each job's own mode, and further columns of the job. An unknown mode fails the run."""
+    """C5 with each job's own mode, and further columns of the job. An unknown mode fails the run.
+
+    Pages of a job that is not in the table take no part.
+    """
     dimension = jobs.select(
         "job_id", F.lower(F.trim(F.when(F.col("content_extraction") == "", "main").otherwise(F.col("content_extraction")))).alias("_mode"), *options
     )

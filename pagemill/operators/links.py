@@ -232,7 +232,10 @@ def _decisions() -> Column:
 
 
 def page_decisions(parsed: DataFrame, jobs: DataFrame) -> DataFrame:
-    """One row per page with its ``decisions`` array (L5, L6); other columns stay."""
+    """One row per page with its ``decisions`` array (L5, L6); other columns stay.
+
+    Pages of a job that is not in the table take no part.
+    """
     job_columns = ("bare_domains", "include_regexes", "exclude_regexes", "extensions")
     dimension = jobs.select("job_id", F.struct(*job_columns).alias("_job"))
     joined = join_dimension(parsed, dimension, ["job_id"], ["page_id"])

@@ -14,8 +14,8 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 SALTS = 32
 SMALL_ROWS = 500_000
-HOT_KEYS = 256
 HOT_SHARE = 1 / 1000
+HOT_KEYS = 1000  # no more keys than this can hold that share
 
 
 def is_small(table: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -128,7 +128,7 @@ class Buckets:
 
     def append(self, rows: DataFrame) -> Buckets:
         dealt = rows.repartition(self.buckets, *self.keys)  # one file for each bucket
-        dealt.write.format("parquet").mode("append").bucketBy(self.buckets, *self.keys).option("path", self.path).saveAsTable(self.name)
+        dealt.write.format("parquet").mode("append").option("compression", "zstd").bucketBy(self.buckets, *self.keys).option("path", self.path).saveAsTable(self.name)
         return self
 
     def read(self) -> DataFrame:
