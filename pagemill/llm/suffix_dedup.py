@@ -160,7 +160,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, digit: int = FIRST_DIG
     open_runs = bodies = stored(_bodies(texts.join(starts, "doc_id"), window, digit), release=True)
     for share in (2, 8, window):
         cells = _cells(open_runs, max(1, (window - digit) // share), window)
-        passes.append(stored(_joined(cells, ["block", "check"]), release=True))
+        sorted_cells = _joined(cells, ["block", "check"]).withColumn("body", F.when(F.col("is_open"), F.col("body")))  # others are done
+        passes.append(stored(sorted_cells, release=True))
         open_runs = passes[-1].filter("is_open")
     discard(bodies)
 
@@ -168,7 +169,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, digit: int = FIRST_DIG
     for table in passes:
         part = table.filter("NOT is_first").select("doc_id", "start", (F.col("start") + F.col("n") - 1 + window).alias("stop"))
         result = part if result is None else result.union(part)
-    return result
+    spans = stored(result, release=True)
+    for table in passes:
+        discard(table)
+    return spans
 
 
 def _without(whole_characters: bool) -> Callable[..., Column]:
