@@ -9,7 +9,7 @@ from workload import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ("pages", "orders")
-QUICK = ("normalize_link", "change_counts", "link_decisions")
+QUICK = ("normalize_link", "change_counts", "link_decisions", "document_files", "stream_progress", "page_metadata_fields")
 
 
 @pytest.fixture(scope="module")
