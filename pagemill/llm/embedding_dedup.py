@@ -21,6 +21,8 @@ SMALL_LABEL = 1500
 DEGREE, CANDIDATES, LONG_EDGES, ALPHA = 16, 32, 8, 1.2
 BEAM, MEDOIDS = 16, 8
 QUERY_BLOCK = 256
+ROW_BLOCK = 512
+FRONTIER = 1 << 14
 
 
 def _vectors(rows: pd.Series) -> np.ndarray:
@@ -46,25 +48,30 @@ def robust_prune(sims: np.ndarray, degree: int = DEGREE, candidates: int = CANDI
     n = len(sims)
     if n < 2:
         return np.full((n, 0), -1, np.int64)
-    masked = sims.copy()
-    np.fill_diagonal(masked, -np.inf)
+    far = np.random.default_rng(n).integers(0, n, (n, LONG_EDGES))
+    return np.concatenate([_pruned_rows(sims, np.arange(at, min(n, at + ROW_BLOCK)), far[at : at + ROW_BLOCK], degree, candidates, alpha) for at in range(0, n, ROW_BLOCK)])
+
+
+def _pruned_rows(sims: np.ndarray, own: np.ndarray, far: np.ndarray, degree: int, candidates: int, alpha: float) -> np.ndarray:
+    """``robust_prune`` for some rows; what it holds beside ``sims`` grows with them only."""
+    n, rows, every = len(sims), own[:, None], np.arange(len(own))
+    masked = sims[own].astype(np.float64)
+    masked[every, own] = -np.inf
     near = min(candidates, n - 1)
     nearest = np.argpartition(-masked, near - 1, axis=1)[:, :near]
-    far = np.random.default_rng(n).integers(0, n, (n, LONG_EDGES))
     pool = np.concatenate([nearest, far], axis=1)
-    rows = np.arange(n)[:, None]
-    pool = pool[rows, np.argsort(-masked[rows, pool], axis=1, kind="stable")]
-    away = np.sqrt(np.maximum(0, 2 - 2 * sims[rows, pool]))
+    pool = pool[every[:, None], np.argsort(-masked[every[:, None], pool], axis=1, kind="stable")]
+    away = np.sqrt(np.maximum(0, 2 - 2 * sims[rows, pool].astype(np.float64)))
     alive = pool != rows
-    chosen = np.full((n, degree), -1, np.int64)
+    chosen = np.full((len(own), degree), -1, np.int64)
     for k in range(degree):
         first = alive.argmax(axis=1)
-        there = alive[np.arange(n), first]
+        there = alive[every, first]
         if not there.any():
             break
-        pick = pool[np.arange(n), first]
+        pick = pool[every, first]
         chosen[there, k] = pick[there]
-        between = np.sqrt(np.maximum(0, 2 - 2 * sims[pick[:, None], pool]))
+        between = np.sqrt(np.maximum(0, 2 - 2 * sims[pick[:, None], pool].astype(np.float64)))
         alive &= ~(there[:, None] & ((alpha * between <= away) | (pool == pick[:, None])))
     return chosen
 
@@ -113,19 +120,26 @@ def range_search(vectors: np.ndarray, edges: np.ndarray, wanted: np.ndarray, min
         beam = _greedy(vectors, edges, vectors[block], medoids)
         looked = np.zeros((len(block), len(vectors)), bool)
         inside = np.zeros_like(looked)
-        who = np.concatenate([np.arange(len(block)), np.nonzero(beam >= 0)[0]])
-        what = np.concatenate([block, beam[beam >= 0]])
-        while len(who):
-            code = np.unique(who * len(vectors) + what)
-            who, what = code // len(vectors), code % len(vectors)
+
+        def look(who: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Compare what has not been looked at; returns what is in range."""
             fresh = ~looked[who, what]
-            who, what = who[fresh], what[fresh]
+            code = np.unique(who[fresh] * len(vectors) + what[fresh])
+            who, what = code // len(vectors), code % len(vectors)
             looked[who, what] = True
             close = np.einsum("ij,ij->i", vectors[block[who]], vectors[what]) >= min_cosine
             who, what = who[close], what[close]
             inside[who, what] = True
-            follow = edges[what]
-            who, what = np.repeat(who, follow.shape[1])[follow.ravel() >= 0], follow[follow >= 0]
+            return who, what
+
+        who, what = look(np.concatenate([np.arange(len(block)), np.nonzero(beam >= 0)[0]]), np.concatenate([block, beam[beam >= 0]]))
+        while len(who):
+            steps = []
+            for part in range(0, len(who), FRONTIER):  # a dense group has a frontier of very many pairs
+                follow = edges[what[part : part + FRONTIER]]
+                near = follow >= 0
+                steps.append(look(np.repeat(who[part : part + FRONTIER], follow.shape[1])[near.ravel()], follow[near]))
+            who, what = (np.concatenate(some) for some in zip(*steps, strict=True))
         found = np.nonzero(inside)
         yield block[found[0]], found[1]
 
@@ -221,7 +235,8 @@ def _adjacency(members: DataFrame) -> DataFrame:
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         ids, vectors = rows["vec_id"].to_numpy(), _vectors(rows["embedding"])
-        chosen = robust_prune((vectors.astype(np.float32) @ vectors.astype(np.float32).T).astype(np.float64) if len(ids) > 1 else np.ones((1, 1)))
+        single = vectors.astype(np.float32)
+        chosen = robust_prune(single @ single.T if len(ids) > 1 else np.ones((1, 1)))
         left, right = np.nonzero(chosen >= 0)[0], chosen[chosen >= 0]
         both = pd.DataFrame({"vec_id": np.concatenate([ids[left], ids[right]]), "edge": np.concatenate([ids[right], ids[left]])})
         return both.groupby("vec_id")["edge"].agg(list).reset_index().rename(columns={"edge": "edges"})
