@@ -21,7 +21,7 @@ MIN_STRENGTH = 3.0
 BEGINNINGS = (4, 5, 6)
 FOLDS = 3
 THRESHOLD = 0.5
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 
 _EDGES = b".,;:!?\"'()[]|"
 
