@@ -34,16 +34,19 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
 
 @query
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; null and empty texts have fingerprint zero and link, an empty table gives no rows (``simhash_groups``)."""
     return simhash_groups(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per piece; a null or empty text is its end id alone, an empty table gives no rows (``pack_documents``)."""
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
 @query
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; a null text is empty and keeps nothing, ties go to the smaller doc_id and earlier start (``remove_repeats``)."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span["stop"] - span["start"])
     return remove_repeats(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
@@ -52,6 +55,7 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; a null or empty text has no features, without toxic labels nothing is rejected (``classify``)."""
     scored = classify(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
     toxic = F.col("_chain.toxic") >= THRESHOLD
     return scored.select("doc_id", F.col("_chain.quality").alias("quality_score"), F.col("_chain.toxic").alias("toxic_score"), toxic.alias("toxic"), (~toxic).alias("kept"))
@@ -59,6 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line counts and the MD5 of what is left of every document; null and empty texts have one empty line, rows without or repeating an id as in ``drop_repeated_chunks``."""
     kept = drop_repeated_chunks(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed_lines").alias("n_removed_lines"), F.col("_n_removed_chunks").alias("n_removed_chunks"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))
 
@@ -90,6 +95,7 @@ FROM ranked GROUP BY doc_id
 
 @query
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; a null text has no bytes, a document over the limit is alone in its shard (``assign_shards``)."""
     return assign_shards(read_table(spark, sf_dir, "documents"))
 
 
@@ -112,16 +118,19 @@ FROM chosen WHERE k = 1
 
 @query
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; a null or empty text is its end alone, an empty table gives no rows (``score_documents``)."""
     return score_documents(read_table(spark, sf_dir, "documents")).drop("train_types")
 
 
 @query
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; a null or empty text has no words and fails the base rules, without labels none is trusted (``judge``)."""
     return judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 @query
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; a null or empty text has no ids, an empty table gives no rows (``encode``)."""
     docs = read_table(spark, sf_dir, "documents")
     wanted = identified(docs.select("doc_id", "text")).select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
     n_tokens = (F.octet_length("ids").cast("long") / 4).cast("long")
@@ -132,16 +141,19 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per vector; null, zero or non-finite vectors and null labels link with nothing, an empty table gives no rows (``near_duplicates``)."""
     return near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
 @query
 def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; a null text has size 0, a null source is the last one, ties in size go by id (``mix``)."""
     return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 @query
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to ten rows per item; null and empty texts have no terms, equal scores go by doc_id (``search``)."""
     return search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
@@ -170,6 +182,7 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 1
 
 @query
 def op13_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to five rows per anchor and positive; rows with a null or non-finite part take no part, equal scores go by vec_id (``mine``)."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
     vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), whole_vectors(F.col("embedding")).alias("vector"))
     return mine(vectors, F.col("vec_id") % 100 == 0)
