@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences, a stage at a time."""
+"""From raw documents to packed training sequences, a stage at a time.
+
+For all stages: rows without doc_id are left out, rows repeating one are one
+document (the first by its other columns), further columns pass through
+whatever their names, an empty table gives no rows. Null texts stay null
+until packing, where they are empty.
+"""
 
 from __future__ import annotations
 
@@ -20,30 +26,30 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain rejects go."""
+    """Documents that the classifier chain rejects go; null and empty texts have no features, without toxic labels all stay."""
     return drop_toxic(docs, read_table(tune(spark), sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line chunks leave the texts; every document stays."""
+    """Repeated multi-line chunks leave the texts, the first by doc_id and place stays; every document stays, if need be empty."""
     tune(spark)
     return _recounted(drop_repeated_chunks(docs).select(*docs.columns))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest doc_id."""
+    """One document of each near-duplicate group stays, the one with the smallest doc_id; null and empty texts are one group."""
     tune(spark)
     return drop_near_duplicates(docs, SHINGLE_WORDS, MAX_BITS)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated 100-byte windows leave the texts; every document stays."""
+    """Repeated 100-byte windows leave the texts, the first by doc_id and start stays; every document stays, if need be empty."""
     tune(spark)
     return _recounted(drop_repeats(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in the packed sequences."""
+    """The pieces of all documents and their places in the packed sequences; a null or empty text is its end id alone."""
     tune(spark)
     return pack_documents(docs)
 
