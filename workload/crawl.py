@@ -23,6 +23,7 @@ from pagemill.operators import sitemaps as S
 from pagemill.operators.jobs import JOB_SCHEMA, effective_domains, prepare_jobs
 from pagemill.operators.links import internal_links, page_decisions
 from pagemill.operators.scale import durable
+from pagemill.sources.document_sink import write_files
 from pagemill.sources.sitemaps import read_sitemaps
 from pagemill.sources.sitemaps import sitemap_locs as listed_locs
 from workload import corpus
@@ -360,6 +361,20 @@ _TREE_OF_MAPS = """, up AS (
 ok AS (SELECT k FROM up GROUP BY 1 HAVING NOT bool_or(a % 23 = 22))"""
 
 
+def _as_files(files: DataFrame) -> DataFrame:
+    """A file per page, its rows as lines, dealt over one folder for each task that writes; the sink packs what is named so.
+
+    A folder per page is listed by a task of its own, and Spark merges the tasks
+    of a small shuffle into one that writes all files, unless their number is given.
+    """
+    spark = files.sparkSession
+    folders = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    lines = files.filter("packed IS NOT NULL").groupBy("page_id", "packed").agg(F.concat(F.array_join(F.collect_list("value"), "\n"), F.lit("\n")).alias("text"))
+    dealt = lines.withColumn("job_id", F.pmod(F.xxhash64("page_id"), F.lit(folders)).cast("string")).repartition(folders, "job_id")
+    name = F.concat(F.lit("page_id="), "page_id", F.when(F.col("packed"), ".xml.gz").otherwise(".xml"))
+    return dealt.select("job_id", name.alias("rel_path"), "text")
+
+
 @query("sitemap_files", with_pages(_TREE_OF_MAPS + """
 SELECT 'site' || k % 4 AS job_id, 'https://site' || k % 4 || '.example/p/' || k // 4 AS url, 'page' AS kind FROM ok
 UNION ALL SELECT 'site' || k % 4, 'https://site' || k % 4 || '.example/f/' || k // 4 || '.pdf', 'asset' FROM ok
@@ -374,8 +389,7 @@ def sitemap_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = F.when(F.col("page_id") % 23 == 22, F.expr("left(body, length(body) - 4)")).otherwise(F.col("body"))
     files = maps.withColumn("body", body).withColumn("body", broken).select("page_id", F.col("body").alias("value"), packed.alias("packed"))
     folder = _folder(spark)
-    files.filter("packed").drop("packed").repartition("page_id").write.partitionBy("page_id").option("compression", "gzip").text(f"{folder}/gz")
-    files.filter("NOT packed").drop("packed").repartition("page_id").write.partitionBy("page_id").text(f"{folder}/plain")
+    write_files(_as_files(files), folder)
     stored = read_sitemaps(spark, folder).withColumn("page_id", F.regexp_extract("path", r"page_id=(\d+)", 1).cast("bigint"))
     names = maps.select("page_id", "job_id", F.when(packed, F.concat("url", F.lit(".gz"))).otherwise(F.col("url")).alias("url"))
     responses = stored.join(names, "page_id").select("job_id", "url", F.lit(200).alias("status_code"), "content")
