@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import json
 import posixpath
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from functools import reduce
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -14,10 +13,12 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.types import BinaryType, StructField, StructType
+
+from pagemill.operators.scale import durable
 
-NAME = "document_files"
 _STAGING = "_staging"
+_LISTED, _READ_BYTES = 8192, 16 << 20  # names, and bytes of files, that a task hands on at once
 
 
 def open_root(root: str) -> tuple[fs.FileSystem, str]:
@@ -35,27 +36,16 @@ def document_path(job_id: str, rel_path: str) -> str:
     return f"{quote(job_id, safe=':')}/{path}"
 
 
-@dataclass
-class Staged(WriterCommitMessage):
-    """Where an attempt of a task has put its files."""
-
-    folder: str
-    n_files: int
-
+def _stage(root: str, run: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task that writes its files to a folder of its attempt's own, and names that folder when all are there."""
 
-class _StagingWriter(DataSourceArrowWriter):
-    """Writes each attempt's files to a folder of its own; only those of attempts that count are named at commit."""
-
-    def __init__(self, root: str, run: str):
-        self.root, self.run = root, run
-
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
-        files, base = open_root(self.root)
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = open_root(root)
         context = TaskContext.get()
-        folder, n = f"{_STAGING}/{self.run}/{context.partitionId()}-{context.taskAttemptId()}", 0
+        folder, n = f"{_STAGING}/{run}/{context.partitionId()}-{context.taskAttemptId()}", 0
         made = set()
         try:
-            for batch in iterator:
+            for batch in batches:
                 for job_id, rel_path, text in zip(*(batch.column(name).to_pylist() for name in ("job_id", "rel_path", "text")), strict=True):
                     target = f"{base}/{folder}/{document_path(job_id, rel_path)}"
                     parent = posixpath.dirname(target)
@@ -69,28 +59,10 @@ class _StagingWriter(DataSourceArrowWriter):
             if made:
                 files.delete_dir(f"{base}/{folder}")
             raise
-        return Staged(folder, n)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([folder])], ["folder"])
 
-    def commit(self, messages: list[Staged | None]) -> None:
-        files, base = open_root(self.root)
-        folders = [message.folder for message in messages if message is not None and message.n_files]
-        files.create_dir(f"{base}/{_STAGING}/{self.run}", recursive=True)
-        with files.open_output_stream(f"{base}/{_STAGING}/{self.run}/committed.json") as out:
-            out.write(json.dumps(folders).encode())
-
-    def abort(self, messages: list[Staged | None]) -> None:
-        _clear(self.root, self.run)
-
-
-class DocumentFiles(DataSource):
-    """Sink of ``job_id, rel_path, text`` rows."""
-
-    @classmethod
-    def name(cls) -> str:
-        return NAME
-
-    def writer(self, schema, overwrite: bool) -> _StagingWriter:
-        return _StagingWriter(self.options["root"], self.options["run"])
+    return write
 
 
 def _clear(root: str, run: str) -> None:
@@ -99,14 +71,11 @@ def _clear(root: str, run: str) -> None:
         files.delete_dir(f"{base}/{_STAGING}/{run}")
 
 
-def _publish(spark: SparkSession, root: str, run: str) -> None:
+def _publish(spark: SparkSession, root: str, folders: list[str]) -> None:
     """Move the files of the attempts that count into place, a task for each attempt's folder.
 
     A repeated attempt at it moves what is left, and a move replaces a file as a whole.
     """
-    files, base = open_root(root)
-    with files.open_input_stream(f"{base}/{_STAGING}/{run}/committed.json") as stream:
-        folders = json.loads(stream.read())
     if not folders:
         return
 
@@ -138,9 +107,85 @@ def write_files(documents: DataFrame, root: str) -> None:
     files in place are as they were.
     """
     spark, run = documents.sparkSession, uuid.uuid4().hex
-    spark.dataSource.register(DocumentFiles)
+    files, base = open_root(root)
+    files.create_dir(f"{base}/{_STAGING}/{run}", recursive=True)
     try:
-        documents.select("job_id", "rel_path", "text").write.format(NAME).option("root", root).option("run", run).mode("append").save()
-        _publish(spark, root, run)
+        # One row for each task, from the attempt whose result counts.
+        staged = documents.select("job_id", "rel_path", "text").mapInArrow(_stage(root, run), "folder string").collect()
+        _publish(spark, root, [row["folder"] for row in staged])
     finally:
         _clear(root, run)
+
+
+# --- reading back ------------------------------------------------------------------
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers pass over."""
+    return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """``path`` of every file with content below a folder, or below those a pattern names; hidden ones are left out.
+
+    Spark's file sources list on the driver, a kilobyte for each file. Here tasks
+    list the folders, one level of the tree at a time, and the names stay in
+    tables. Only a store that Arrow's file systems do not reach is listed by Spark.
+    """
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(root)
+    starts = [str(found.getPath().toString()) for found in pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []]
+    try:
+        # A local path is taken as it is, without decoding.
+        bases = [start.removeprefix("file:") if start.startswith("file:") else open_root(start)[1] for start in starts]
+        open_root(root)
+    except (pa.ArrowException, OSError):
+        bases = []
+    if not bases:  # Spark also has the words for a missing path
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = open_root(root)
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                one = files.get_file_info(path)
+                below = [one] if one.type == fs.FileType.File else files.get_file_info(fs.FileSelector(path, allow_not_found=True))
+                for k in range(0, len(below), _LISTED):
+                    rows = []
+                    for found in below[k : k + _LISTED]:
+                        if found.type == fs.FileType.Directory:
+                            if not _hidden(found.base_name) or found.base_name.startswith(("_metadata", "_common_metadata")):
+                                rows.append((found.path, True))
+                        elif found.type == fs.FileType.File and found.size and not _hidden(found.base_name):
+                            rows.append((found.path, False))
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_())], ["path", "is_folder"])
+
+    tasks, levels = int(spark.conf.get("spark.sql.shuffle.partitions")), []
+    folders = spark.createDataFrame([(base,) for base in bases], "path string")
+    n = len(bases)
+    while n:
+        listed = durable(folders.repartition(min(n, tasks)).mapInArrow(names, "path string, is_folder boolean"))
+        levels.append(listed.filter("NOT is_folder").select("path"))
+        folders = listed.filter("is_folder").select("path")
+        n = folders.count()
+    return reduce(DataFrame.unionAll, levels)
+
+
+def read_files(listed: DataFrame, root: str) -> DataFrame:
+    """Adds ``content``, the bytes of each file, to rows with the ``path`` that ``list_files`` gives for files below ``root``."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = open_root(root)
+        for batch in batches:
+            start, contents, size = 0, [], 0
+            for end, path in enumerate(batch.column("path").to_pylist(), 1):
+                with files.open_input_stream(path.removeprefix("file:"), compression=None) as stream:
+                    contents.append(stream.read())
+                size += len(contents[-1])
+                if size >= _READ_BYTES or end == batch.num_rows:
+                    columns = [*batch.slice(start, end - start).columns, pa.array(contents, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "content"])
+                    start, contents, size = end, [], 0
+
+    # A folder's names come from one task; its files are read by many.
+    dealt = listed.repartition(int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+    return dealt.mapInArrow(read, StructType([*dealt.schema.fields, StructField("content", BinaryType())]))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.operators.scale import durable, join_dimension
-from pagemill.sources.document_sink import write_files
+from pagemill.sources.document_sink import list_files, write_files
 
 
 def resolve_paths(documents: DataFrame) -> DataFrame:
@@ -55,7 +55,6 @@ def write_document_files(documents: DataFrame, root: str) -> None:
 
 
 def existing_files(spark: SparkSession, root: str) -> DataFrame:
-    """``job_id, rel_path`` of the files of earlier runs; only their names are read."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    """``job_id, rel_path`` of the files of earlier runs; only their names are read, by tasks."""
     place = F.regexp_extract("path", r"/([^/]+)/((?:html|pages)/.*)$", 1), F.regexp_extract("path", r"/([^/]+)/((?:html|pages)/.*)$", 2)
-    return listed.select(F.url_decode(place[0]).alias("job_id"), place[1].alias("rel_path"))
+    return list_files(spark, root).select(F.url_decode(place[0]).alias("job_id"), place[1].alias("rel_path"))

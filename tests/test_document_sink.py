@@ -1,10 +1,11 @@
 """The file sink: all documents of a write appear, or none."""
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from pagemill.sources import documents as D
-from pagemill.sources.document_sink import document_path, write_files
+from pagemill.sources.document_sink import document_path, list_files, read_files, write_files
 
 DOCUMENT = "job_id string, rel_path string, text string, visit_order long"
 
@@ -57,3 +58,24 @@ def test_only_shared_texts_are_moved(spark):
     plan = D.resolve_paths(rows)._jdf.queryExecution().executedPlan().toString()
     moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert len(moved) == 1 and "LeftAnti" in plan.split("Union")[1].split("BroadcastExchange")[0]  # the one aggregate of shared paths
+
+
+def test_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    rows = [("a.com:81", f"pages/d{k % 3}/e/{k}.md", f"text {k} é", k) for k in range(40)] + [("b/c", "html/_metadata x/1.html", "page", 1), ("b/c", "html/é %20 b.html.gz", "x" * 50, 1)]
+    hidden = [("b/c", f"html/{name}", "no", 1) for name in ("_x/1.html", ".y", "_z", "1._COPYING_")] + [("b/c", "html/empty.html", None, 1), ("b/c", "html/_k=1", "partition", 1)]
+    D.write_document_files(spark.createDataFrame(rows + hidden, DOCUMENT).repartition(3), root := str(tmp_path / "out %41"))
+    listed = list_files(spark, root)
+    assert "binaryFile" not in listed._jdf.queryExecution().toString()  # whose files the driver lists
+    usual = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    want = sorted((row["path"].removeprefix("file:"), bytes(row["content"])) for row in usual.select("path", "content").collect())
+    assert sorted((row["path"], bytes(row["content"])) for row in read_files(listed, root).collect()) == want and len(want) == 43
+    found = {tuple(row) for row in D.existing_files(spark, f"file:{root}").collect()}
+    assert found == {(r[0], r[1]) for r in rows} | {("b/c", "html/_k=1")}
+    assert sorted(map(tuple, D.existing_files(spark, f"{tmp_path}/out*").collect())) == sorted(found)
+
+
+def test_empty_and_missing_folders(spark, tmp_path):
+    D.write_document_files(spark.createDataFrame([], DOCUMENT), str(tmp_path / "out"))
+    assert D.existing_files(spark, str(tmp_path / "out")).count() == 0
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        D.existing_files(spark, str(tmp_path / "absent"))
